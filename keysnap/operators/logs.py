@@ -159,5 +159,6 @@ def archive_stats(runs: DataFrame) -> DataFrame:
     out = runs
     for name in ("copied", "failed"):
         out = with_running_sum(out, order, F.col(name), f"total_{name}")
-    millis = F.unix_millis("ended") - F.unix_millis("started")
+    ended, started = (F.unix_millis(F.col(c).cast("timestamp")) for c in ("ended", "started"))
+    millis = ended - started
     return out.withColumn("duration", duration_text(millis))

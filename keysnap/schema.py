@@ -4,17 +4,36 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+_TYPES = {
+    "string": T.StringType(),
+    "bigint": T.LongType(),
+    "int": T.IntegerType(),
+    "boolean": T.BooleanType(),
+    "timestamp": T.TimestampType(),
+    "decimal(38,0)": T.DecimalType(38, 0),
+    "array<string>": T.ArrayType(T.StringType()),
+}
+
+
+def _struct(columns: str) -> T.StructType:
+    """A schema from ``"name type, ..."``; needs no session, unlike Spark's own parser."""
+    pairs = (c.strip().split(" ") for c in columns.replace("(38,0)", "(38;0)").split(","))
+    return T.StructType(
+        [T.StructField(name, _TYPES[kind.replace(";", ",")]) for name, kind in pairs]
+    )
+
+
 # A slice is identified by these columns; ``slice_id`` names its directory.
 IDENTITY = ["table_name", "start_key", "end_key", "region_id"]
 SLICE_COLS = ["table_name", "slice_id", "start_key", "end_key", "region_id"]
 
-SLICE = T.StructType.fromDDL(
+SLICE = _struct(
     "table_name string, slice_id string, start_key string, end_key string, region_id bigint"
 )
 
 # What a catalog blob (JSON) holds for one slice.
 SLICE_BLOB = T.StructType(
-    SLICE.fields + T.StructType.fromDDL("is_split boolean, is_offline boolean").fields
+    SLICE.fields + _struct("is_split boolean, is_offline boolean").fields
 )
 
 CATALOG_COLS = SLICE_COLS + [
@@ -22,35 +41,35 @@ CATALOG_COLS = SLICE_COLS + [
     "is_split", "is_offline", "split_a", "split_b",
 ]
 
-OUTCOME = T.StructType.fromDDL(
+OUTCOME = _struct(
     "table_name string, slice_id string, start_key string, end_key string, region_id bigint,"
     "attempt int, status string, files bigint, bytes bigint, rows bigint,"
     "checksum decimal(38,0), error string"
 )
 
-FILES = T.StructType.fromDDL(
+FILES = _struct(
     "root string, path string, rel_path string, name string, length bigint,"
     "is_dir boolean, modified timestamp, error string"
 )
 
-COPY_OUTCOME = T.StructType.fromDDL(
+COPY_OUTCOME = _struct(
     "source_path string, dest_path string, used_path string, status string,"
     "bytes bigint, error string"
 )
 
-DESCRIPTOR = T.StructType.fromDDL(
+DESCRIPTOR = _struct(
     "table_name string, schema_json string, key_column string, key_width int"
 )
 
-SNAPSHOT = T.StructType.fromDDL(
+SNAPSHOT = _struct(
     "name string, started timestamp, ended timestamp, tables array<string>, verified boolean"
 )
 
-ISSUE = T.StructType.fromDDL(
+ISSUE = _struct(
     "table_name string, start_key string, end_key string, prev_end_key string, issue string"
 )
 
-RUN_STATS = T.StructType.fromDDL(
+RUN_STATS = _struct(
     "run bigint, started timestamp, ended timestamp, copied bigint, failed bigint,"
     "replaced bigint, expired bigint, days_removed bigint"
 )
