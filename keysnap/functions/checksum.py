@@ -20,10 +20,11 @@ def _hashable(name: str, dtype: T.DataType) -> Column:
 
 
 def row_hash(schema: T.StructType) -> Column:
-    """Hash of all columns. The position goes in too, as hashing alone skips nulls."""
+    """Hash of all columns. Hashing skips nulls, so a flag before each value says whether there
+    is one: values that change places with nulls change the hash."""
     parts: list[Column] = []
-    for i, field in enumerate(schema.fields):
-        parts += [F.lit(i), _hashable(field.name, field.dataType)]
+    for field in schema.fields:
+        parts += [F.col(f"`{field.name}`").isNull(), _hashable(field.name, field.dataType)]
     return F.xxhash64(*parts)
 
 

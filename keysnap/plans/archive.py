@@ -19,7 +19,7 @@ from keysnap.sources.listing import list_files
 from keysnap.sources.storage import exists
 
 
-def scan_sources(spark: SparkSession, sources: Sequence[str], parallelism: int) -> DataFrame:
+def scan_sources(spark: SparkSession, sources: Sequence[str], parallelism: int | None) -> DataFrame:
     """Files below the source directories; ``priority`` is the directory's place in the list."""
     there = [s.rstrip("/") for s in sources if exists(spark, s)]
     places = {s: i for i, s in enumerate(there)}
@@ -29,7 +29,7 @@ def scan_sources(spark: SparkSession, sources: Sequence[str], parallelism: int)
     return listed.where(~F.col("is_dir")).withColumn("priority", priority)
 
 
-def scan_archive(spark: SparkSession, archive: str, parallelism: int) -> DataFrame:
+def scan_archive(spark: SparkSession, archive: str, parallelism: int | None) -> DataFrame:
     """Everything in the archive; ``day`` is the directory directly below it."""
     if not exists(spark, archive):
         dirs: list[str] = []
@@ -47,7 +47,7 @@ def archive_once(
     days: int = 0,
     run: int = 0,
     fallback_roots: Sequence[str] = (),
-    parallelism: int = 64,
+    parallelism: int | None = None,
 ) -> DataFrame:
     """Copies new and grown logs into ``archive/<day of the run>`` and returns one RUN_STATS row.
 

@@ -77,7 +77,7 @@ def _restore_rows(snapshot: Snapshot, table: str, stage: str, schema: T.StructTy
     return have.rows
 
 
-def _restore_files(snapshot: Snapshot, table: str, stage: str, parallelism: int) -> None:
+def _restore_files(snapshot: Snapshot, table: str, stage: str, parallelism: int | None) -> None:
     """Stages the table's files and directories as they are."""
     listed = list_files(snapshot.spark, [f"{snapshot.data}/{table}"], recursive=True)
     plan = listed.select(
@@ -92,7 +92,7 @@ def _restore_files(snapshot: Snapshot, table: str, stage: str, parallelism: int)
 
 def _restore_one(
     snapshot: Snapshot, table: str, target: str, descriptor, retain_original: bool,
-    parallelism: int,
+    parallelism: int | None,
 ) -> tuple:
     """Stage, check, move into place, register; a failure leaves no trace of the table."""
     spark = snapshot.spark
@@ -136,7 +136,7 @@ def restore_tables(
     retain_original: bool = True,
     ignore_bad_name: bool = False,
     allow_unverified: bool = False,
-    parallelism: int = 64,
+    parallelism: int | None = None,
 ) -> DataFrame:
     """Restores tables (all when None) to ``target/<table>``; one outcome row per table.
 

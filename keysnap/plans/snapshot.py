@@ -15,7 +15,7 @@ from keysnap.operators.catalog import select_slices
 from keysnap.operators.cover import coverage_issues
 from keysnap.operators.rounds import remaining_slices, work_units
 from keysnap.schema import DESCRIPTOR, ISSUE, SNAPSHOT
-from keysnap.session import cut
+from keysnap.session import cut, tasks
 from keysnap.sources.files import copy_files, copy_slice_files, delete_paths
 from keysnap.sources.listing import latest_descriptor, list_dirs, list_slice_files
 from keysnap.sources.manifest import Snapshot
@@ -79,7 +79,7 @@ class FileCopier:
 
     def __init__(
         self, root: str, tables: Sequence[str], families: DataFrame,
-        fallback_roots: Sequence[str] = (), parallelism: int = 64,
+        fallback_roots: Sequence[str] = (), parallelism: int | None = None,
     ):
         self.root, self.names, self.families = root, list(tables), families
         self.fallback_roots, self.parallelism = fallback_roots, parallelism
@@ -137,7 +137,7 @@ def take_snapshot(
     catalog: Callable[[int], DataFrame],
     dest: str,
     max_tries: int = 5,
-    n: int = 64,
+    n: int | None = None,
 ) -> Snapshot:
     """Takes a snapshot of the copier's tables below ``dest`` and returns it, sealed.
 
@@ -154,20 +154,21 @@ def take_snapshot(
     attempt, complete = 0, False
     while max_tries == 0 or attempt < max_tries:
         attempt += 1
-        current = catalog(attempt)
+        # One look at the catalog per round, however often the plans below use it.
+        current = cut(catalog(attempt))
         if attempt == 1:
             selected = select_slices(current, names)
         else:
             selected = remaining_slices(current, snapshot.copied(), names)
-        work_units(selected, n, attempt).write.parquet(snapshot.work_path(attempt))
+        work_units(selected, tasks(spark, n), attempt).write.parquet(snapshot.work_path(attempt))
         work = spark.read.parquet(snapshot.work_path(attempt))
-        if attempt == 1:
-            _check_tables(work, names)
-        elif work.isEmpty():
+        found = _check_work(work)
+        if attempt == 1 and set(names) - found:
+            missing = ", ".join(sorted(set(names) - found))
+            raise SnapshotError(f"no slices in the catalog for: {missing}")
+        if not found:
             complete = True
             break
-        if not work.where(~F.col("slice_id").rlike(SAFE_ID)).isEmpty():
-            raise SnapshotError("slice ids may hold only letters, digits, dots, - and _")
         if not coverage_issues(work).where("issue = 'overlap'").isEmpty():
             raise SnapshotError("slices to copy overlap")
         copier.copy(work, snapshot, attempt)
@@ -178,11 +179,14 @@ def take_snapshot(
     return _seal(snapshot, copier, started, complete)
 
 
-def _check_tables(work: DataFrame, names: Sequence[str]) -> None:
-    present = {r.table_name for r in work.select("table_name").distinct().collect()}
-    missing = sorted(set(names) - present)
-    if missing:
-        raise SnapshotError(f"no slices in the catalog for: {', '.join(missing)}")
+def _check_work(work: DataFrame) -> set[str]:
+    """Tables with slices to copy (among the copier's own, so few)."""
+    bad_id = F.max(F.when(~F.col("slice_id").rlike(SAFE_ID), F.col("slice_id")))
+    tables = work.groupBy("table_name").agg(bad_id.alias("bad")).collect()
+    bad = [r.bad for r in tables if r.bad is not None]
+    if bad:
+        raise SnapshotError(f"slice ids may hold only letters, digits, dots, - and _: {bad}")
+    return {r.table_name for r in tables}
 
 
 def _seal(snapshot: Snapshot, copier: Copier, started: datetime, complete: bool) -> Snapshot:

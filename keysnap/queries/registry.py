@@ -206,8 +206,8 @@ def contained_slices_many(spark, sf):
 
 
 def remaining1(spark, sf):
-    catalog2 = typed_catalog(fixture(spark, sf, "catalog2"))
-    return rounds.remaining_slices(catalog2, fixture(spark, sf, "copied1"), BACKED_UP)
+    catalog2 = cut(typed_catalog(fixture(spark, sf, "catalog2")))
+    return rounds.remaining_slices(catalog2, cut(fixture(spark, sf, "copied1")), BACKED_UP)
 
 
 @query
@@ -235,7 +235,7 @@ def coverage_after_retry(spark, sf):
     """Tables whose copied and remaining slices together still fail to tile: none."""
     copied = fixture(spark, sf, "copied1").select(*SLICE_COLS)
     both = copied.unionByName(remaining1(spark, sf).select(*SLICE_COLS))
-    return cover.coverage_issues(both).groupBy("table_name").agg(F.count("*").alias("n_issues"))
+    return cover.coverage_issues(cut(both)).groupBy("table_name").agg(F.count("*").alias("n_issues"))
 
 
 # Snapshots
@@ -265,7 +265,7 @@ def slices_of(spark, sf, fixture_name: str = "slices") -> DataFrame:
 
 
 def snapshot_of(spark, sf, tables, fixture_name="slices", n_slices=N_SLICES, fault=None):
-    catalog = cut(slices_of(spark, sf, fixture_name))
+    catalog = slices_of(spark, sf, fixture_name)
     return take_snapshot(
         spark, RowCopier(tables, fault), lambda attempt: catalog,
         fresh_dir(spark, "snapshot"), n=n_slices,

@@ -52,6 +52,11 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/keysnap/{label}-{uuid.uuid4().hex}"
 
 
+def tasks(spark: SparkSession, parallelism: int | None) -> int:
+    """Tasks for work on files: as asked for, or one for each core."""
+    return parallelism or spark.sparkContext.defaultParallelism
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Computes ``df`` now and keeps it in the shared folder, which outlives lost executors.
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keysnap.schema import COPY_OUTCOME, SLICE_COLS
-from keysnap.session import cut
+from keysnap.session import cut, tasks
 from keysnap.sources.storage import open_fs, parent
 
 CHUNK_BYTES = 8 << 20
@@ -70,7 +70,7 @@ def _copy_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=COPY_OUTCOME.names)
 
 
-def copy_files(plan: DataFrame, parallelism: int = 64) -> DataFrame:
+def copy_files(plan: DataFrame, parallelism: int | None = None) -> DataFrame:
     """Copies files; one outcome row each, in a plan without a shuffle beyond dealing them out.
 
     ``plan``: ``source_path``, ``dest_path`` and optionally ``is_dir`` (make a directory) and
@@ -85,7 +85,7 @@ def copy_files(plan: DataFrame, parallelism: int = 64) -> DataFrame:
         plan = plan.withColumn("fallbacks", F.array().cast("array<string>"))
     return (
         plan.select("source_path", "dest_path", "is_dir", "fallbacks")
-        .repartition(parallelism)
+        .repartition(tasks(plan.sparkSession, parallelism))
         .mapInPandas(_copy_batches, COPY_OUTCOME)
     )
 
@@ -107,19 +107,19 @@ def _delete_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["path", "deleted", "error"])
 
 
-def delete_paths(paths: DataFrame, parallelism: int = 64) -> DataFrame:
+def delete_paths(paths: DataFrame, parallelism: int | None = None) -> DataFrame:
     """Deletes files, or directories with all they hold; what is gone already counts as
     deleted. Deleting happens when the result is computed."""
     return (
         paths.select("path")
-        .repartition(parallelism)
+        .repartition(tasks(paths.sparkSession, parallelism))
         .mapInPandas(_delete_batches, "path string, deleted boolean, error string")
     )
 
 
 def copy_slice_files(
     listed: DataFrame, root: str, dest: str, attempt: int = 1,
-    fallback_roots: Sequence[str] = (), parallelism: int = 64,
+    fallback_roots: Sequence[str] = (), parallelism: int | None = None,
 ) -> DataFrame:
     """Copies the files of slices; a slice counts only if all of its files arrived.
 

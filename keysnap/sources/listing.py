@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keysnap.schema import DESCRIPTOR_PREFIX, FILES, SLICE_COLS, SLICE_MANIFEST
-from keysnap.session import cut
+from keysnap.session import cut, tasks
 from keysnap.sources.storage import children, utc
 
 BATCH = 10_000
@@ -41,10 +41,11 @@ def _as_dirs(spark: SparkSession, dirs: DataFrame | Iterable[str]) -> DataFrame:
     return paths.select(F.col("path").alias("root"), "path").distinct()
 
 
-def list_dirs(dirs: DataFrame, parallelism: int) -> DataFrame:
+def list_dirs(dirs: DataFrame, parallelism: int | None = None) -> DataFrame:
     """Direct children of each directory (``root``, ``path``), one task per share of the
     directories. A directory that cannot be listed gives one row with ``error`` set."""
-    return dirs.repartition(parallelism, "path").mapInPandas(_list_batches, FILES)
+    n = tasks(dirs.sparkSession, parallelism)
+    return dirs.repartition(n, "path").mapInPandas(_list_batches, FILES)
 
 
 class ListingError(RuntimeError):
@@ -56,7 +57,7 @@ def list_files(
     dirs: DataFrame | Iterable[str],
     recursive: bool = False,
     on_missing: str = "fail",
-    parallelism: int = 64,
+    parallelism: int | None = None,
 ) -> DataFrame:
     """Lists directories with everything in them, dot names and empty files included.
 
@@ -69,15 +70,14 @@ def list_files(
     levels: list[DataFrame] = []
     while True:
         level = cut(list_dirs(frontier, parallelism))
-        if on_missing == "fail":
-            bad = level.where("error is not null").select("error").head()
-            if bad:
-                raise ListingError(bad.error)
+        found = level.agg(F.max("error").alias("error"), F.bool_or("is_dir").alias("deeper")).head()
+        if found.error and on_missing == "fail":
+            raise ListingError(found.error)
         level = level.where("error is null")
         levels.append(level)
-        frontier = level.where("is_dir").select("root", "path")
-        if not recursive or frontier.isEmpty():
+        if not (recursive and found.deeper):
             break
+        frontier = level.where("is_dir").select("root", "path")
     out = levels[0]
     for level in levels[1:]:
         out = out.unionByName(level)
@@ -91,7 +91,7 @@ def list_slice_files(
     on_missing: str = "fail",
     descriptor_prefix: str = DESCRIPTOR_PREFIX,
     manifest_name: str = SLICE_MANIFEST,
-    parallelism: int = 64,
+    parallelism: int | None = None,
 ) -> DataFrame:
     """Files of each slice in a ``root/table/slice/family/file`` tree, problems as rows.
 

@@ -20,7 +20,7 @@ def archive_stream(
     every: str = "10 minutes",
     retries: int = 3,
     once: bool = False,
-    parallelism: int = 64,
+    parallelism: int | None = None,
 ) -> StreamingQuery:
     """Runs :func:`archive_once` every ``every``, counted from start to start.
 
