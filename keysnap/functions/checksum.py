@@ -22,6 +22,8 @@ def _hashable(name: str, dtype: T.DataType) -> Column:
 def row_hash(schema: T.StructType) -> Column:
     """Hash of all columns. Hashing skips nulls, so a flag before each value says whether there
     is one: values that change places with nulls change the hash."""
+    if not schema.fields:
+        return F.lit(0).cast("bigint")
     parts: list[Column] = []
     for field in schema.fields:
         parts += [F.col(f"`{field.name}`").isNull(), _hashable(field.name, field.dataType)]

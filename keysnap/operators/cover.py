@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keysnap.functions.keys import end_order
+from keysnap.functions.keys import end_order, is_empty
 from keysnap.operators.ordered import Order, with_previous, with_running_max
 
 RANGE = ["table_name", "start_key", "end_key"]
@@ -22,8 +22,9 @@ def _contained_ranges(candidates: DataFrame, covers: DataFrame, **sizes: int) ->
         F.max(end_order("end_key")).alias("cover_end")
     )
     asked = candidates.select(*RANGE).distinct()
+    no_end = F.lit("").cast(asked.schema["end_key"].dataType)
     rows = best.select(
-        "table_name", "start_key", F.lit(0).alias("kind"), F.lit("").alias("end_key"), "cover_end"
+        "table_name", "start_key", F.lit(0).alias("kind"), no_end.alias("end_key"), "cover_end"
     ).unionByName(
         asked.select("table_name", "start_key", F.lit(1).alias("kind"), "end_key"),
         allowMissingColumns=True,
@@ -56,7 +57,7 @@ def coverage_issues(slices: DataFrame, **sizes: int) -> DataFrame:
     One slice can breach two rules. No rows means that the slices tile every table present.
     """
     ranges = slices.groupBy(*RANGE).agg(F.count(F.lit(1)).alias("copies"))
-    none = F.lit(None).cast("string")
+    none = F.lit(None).cast(ranges.schema["end_key"].dataType)
 
     place = F.struct("start_key", end_order("end_key").alias("end_order"))
     tables = ranges.groupBy("table_name").agg(
@@ -78,10 +79,10 @@ def coverage_issues(slices: DataFrame, **sizes: int) -> DataFrame:
         F.explode(
             F.filter(
                 F.array(
-                    edge(single & ((first_start != "") | (first_end != "")),
+                    edge(single & ~(is_empty(first_start) & is_empty(first_end)),
                          first_start, first_end, "single"),
-                    edge(~single & (first_start != ""), first_start, first_end, "first_start"),
-                    edge(~single & (last_end != ""), last_start, last_end, "last_end"),
+                    edge(~single & ~is_empty(first_start), first_start, first_end, "first_start"),
+                    edge(~single & ~is_empty(last_end), last_start, last_end, "last_end"),
                 ),
                 lambda r: r.isNotNull(),
             )
@@ -91,12 +92,12 @@ def coverage_issues(slices: DataFrame, **sizes: int) -> DataFrame:
     order = Order(("table_name",), ("start_key", "end_key"), ends=("end_key",))
     prev = F.col("prev_end_key")
     start = F.col("start_key")
-    issue = F.when((prev == "") | (start < prev), "overlap").when(start > prev, "gap")
+    issue = F.when(is_empty(prev) | (start < prev), "overlap").when(start > prev, "gap")
     neighbours = with_previous(ranges, order, "end_key", "prev_end_key", **sizes)
     adjacent = neighbours.select(*RANGE, "prev_end_key", issue.alias("issue"))
     # A further copy of the same range follows the first one.
     repeats = (
-        ranges.where("copies > 1 and (end_key = '' or start_key <> end_key)")
+        ranges.where("copies > 1 and (length(end_key) = 0 or start_key <> end_key)")
         .withColumn("prev_end_key", F.col("end_key"))
         .withColumn("issue", F.lit("overlap"))
         .withColumn("copy", F.explode(F.sequence(F.lit(2), F.col("copies"))))

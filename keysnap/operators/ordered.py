@@ -11,21 +11,24 @@ single chunk is used.
 
 from __future__ import annotations
 
+import json
+from base64 import b64encode
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SAMPLE_KEYS = 4096
-CHUNKS = 256
+CHUNKS = 64
 CHUNK = "order_chunk"
 
 
 @dataclass(frozen=True)
 class Order:
     """``group`` columns first, then ``by``; ``ends`` names the columns of ``by`` holding end
-    keys, where the empty key sorts last. Rows with equal ``group`` and ``by`` should be rare,
-    as they cannot be parted into different chunks."""
+    keys, where the empty key sorts last. Few rows may share all of these columns, as such rows
+    cannot be parted into different chunks."""
 
     group: tuple[str, ...]
     by: tuple[str, ...]
@@ -55,7 +58,7 @@ def with_chunks(
 
     Runs a job that brings at most ``sample_keys`` keys to the driver.
     """
-    keys = df.select(order.key().alias("key")).distinct()
+    keys = df.select(order.key().alias("key"))
     hashed = keys.select(F.xxhash64("key").alias("h"), "key")
     picked = [tuple(r.key) for r in hashed.orderBy("h", "key").limit(sample_keys).collect()]
     if len(picked) < sample_keys:
@@ -63,11 +66,32 @@ def with_chunks(
     picked.sort()
     step = len(picked) / chunks
     bounds = sorted({picked[int(i * step)] for i in range(1, chunks)})
-    literal = F.array(
-        *[F.struct(*[F.lit(v).alias(f"k{i}") for i, v in enumerate(b)]) for b in bounds]
-    )
-    key = order.key()
-    return df.withColumn(CHUNK, F.size(F.filter(literal, lambda b: b <= key))), True
+    return _with_place(df, order, bounds, keys.schema["key"].dataType), True
+
+
+def _with_place(df: DataFrame, order: Order, bounds: list[tuple], key_type: T.StructType):
+    """Adds the number of bounds at or before each row's key, by binary search: one projection
+    per halving, all within one stage of generated code. Beyond the last bound the lookup gives
+    null, which counts as "not reached"."""
+    literal = _literal(bounds, key_type)
+    out = df.withColumns({"order_key": order.key(), CHUNK: F.lit(0)})
+    step = 1 << (len(bounds).bit_length() - 1)
+    while step:
+        place = F.col(CHUNK)
+        reached = F.get(literal, place + F.lit(step - 1)) <= F.col("order_key")
+        out = out.withColumn(CHUNK, F.when(reached, place + step).otherwise(place))
+        step //= 2
+    return out.drop("order_key")
+
+
+def _literal(bounds: list[tuple], key_type: T.StructType) -> Column:
+    """The bounds as one constant; Spark folds the parsing away when it plans."""
+
+    def plain(value):
+        return b64encode(value).decode("ascii") if isinstance(value, (bytes, bytearray)) else value
+
+    rows = [dict(zip(key_type.names, map(plain, b))) for b in bounds]
+    return F.from_json(F.lit(json.dumps(rows)), T.ArrayType(key_type))
 
 
 def _windows(order: Order):

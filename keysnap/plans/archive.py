@@ -13,7 +13,7 @@ from keysnap.operators.logs import (
     with_start,
 )
 from keysnap.schema import RUN_STATS
-from keysnap.session import cut
+from keysnap.session import cut, local_frame
 from keysnap.sources.files import copy_files, delete_paths
 from keysnap.sources.listing import list_files
 from keysnap.sources.storage import exists
@@ -106,4 +106,4 @@ def archive_once(
         run, moment, datetime.now(timezone.utc), counts.ok, counts.bad, stale.count(),
         n_expired, n_days,
     )
-    return spark.createDataFrame([row], RUN_STATS)
+    return local_frame(spark, [row], RUN_STATS)

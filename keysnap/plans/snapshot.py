@@ -15,7 +15,7 @@ from keysnap.operators.catalog import select_slices
 from keysnap.operators.cover import coverage_issues
 from keysnap.operators.rounds import remaining_slices, work_units
 from keysnap.schema import DESCRIPTOR, ISSUE, SNAPSHOT
-from keysnap.session import cut, tasks
+from keysnap.session import cut, local_frame, tasks
 from keysnap.sources.files import copy_files, copy_slice_files, delete_paths
 from keysnap.sources.listing import latest_descriptor, list_dirs, list_slice_files
 from keysnap.sources.manifest import Snapshot
@@ -57,8 +57,8 @@ class RowCopier:
         rows = [
             (t.name, t.open(snapshot.spark).schema.json(), t.key, t.width) for t in self.tables
         ]
-        frame = snapshot.spark.createDataFrame(rows, DESCRIPTOR)
-        frame.coalesce(1).write.parquet(f"{snapshot.path}/descriptors")
+        frame = local_frame(snapshot.spark, rows, DESCRIPTOR)
+        frame.write.parquet(f"{snapshot.path}/descriptors")
 
     def copy(self, work: DataFrame, snapshot: Snapshot, attempt: int) -> None:
         for table in self.tables:
@@ -86,9 +86,8 @@ class FileCopier:
 
     def prepare(self, snapshot: Snapshot) -> None:
         spark, base = snapshot.spark, self.root.rstrip("/")
-        dirs = spark.createDataFrame(
-            [(base, f"{base}/{t}", t) for t in self.names],
-            "root string, path string, table_name string",
+        dirs = local_frame(
+            spark, [(base, f"{base}/{t}") for t in self.names], "root string, path string"
         )
         found = list_dirs(dirs, self.parallelism).where("error is null")
         listed = found.withColumn("table_name", F.element_at(F.split("path", "/"), -2))
@@ -151,7 +150,7 @@ def take_snapshot(
     snapshot = Snapshot(spark, f"{dest.rstrip('/')}/{_name(spark, started)}")
     names = copier.names
     copier.prepare(snapshot)
-    attempt, complete = 0, False
+    attempt, complete, failures = 0, False, False
     while max_tries == 0 or attempt < max_tries:
         attempt += 1
         # One look at the catalog per round, however often the plans below use it.
@@ -169,14 +168,13 @@ def take_snapshot(
         if not found:
             complete = True
             break
-        if not coverage_issues(work).where("issue = 'overlap'").isEmpty():
-            raise SnapshotError("slices to copy overlap")
         copier.copy(work, snapshot, attempt)
         last = snapshot.outcomes().where(F.col("attempt") == attempt)
         if last.where("status = 'failed'").isEmpty():
             complete = True
             break
-    return _seal(snapshot, copier, started, complete)
+        failures = True
+    return _seal(snapshot, copier, started, complete, failures)
 
 
 def _check_work(work: DataFrame) -> set[str]:
@@ -189,12 +187,26 @@ def _check_work(work: DataFrame) -> set[str]:
     return {r.table_name for r in tables}
 
 
-def _seal(snapshot: Snapshot, copier: Copier, started: datetime, complete: bool) -> Snapshot:
+def _delete_leftovers(snapshot: Snapshot) -> None:
+    """What a failed slice left behind must not be taken for data."""
+    path = slice_path(snapshot.data, F.col("table_name"), F.col("slice_id"))
+    row_path = slice_path(
+        snapshot.data, F.col("table_name"), F.concat(F.lit("slice_id="), "slice_id")
+    )
+    own = ["table_name", "slice_id"]
+    failed = snapshot.outcomes().where("status = 'failed'").select(*own).distinct()
+    leftover = failed.join(snapshot.copied(), own, "left_anti")
+    cut(delete_paths(leftover.select(F.explode(F.array(path, row_path)).alias("path"))))
+
+
+def _seal(
+    snapshot: Snapshot, copier: Copier, started: datetime, complete: bool, failures: bool
+) -> Snapshot:
     spark, names = snapshot.spark, sorted(copier.names)
     copied = snapshot.copied()
-    tables = spark.createDataFrame([(t,) for t in names], "table_name string")
+    tables = local_frame(spark, [(t,) for t in names], "table_name string")
     uncopied = tables.join(copied.select("table_name").distinct(), "table_name", "left_anti")
-    extra = spark.createDataFrame(copier.extra_issues(snapshot), ISSUE)
+    extra = local_frame(spark, copier.extra_issues(snapshot), ISSUE)
     none = F.lit(None).cast("string")
     issues = (
         coverage_issues(copied)
@@ -207,19 +219,12 @@ def _seal(snapshot: Snapshot, copier: Copier, started: datetime, complete: bool)
         .unionByName(extra)
     )
     issues.write.parquet(f"{snapshot.path}/issues")
-    # What a failed slice left behind must not be taken for data.
-    path = slice_path(snapshot.data, F.col("table_name"), F.col("slice_id"))
-    row_path = slice_path(
-        snapshot.data, F.col("table_name"), F.concat(F.lit("slice_id="), "slice_id")
-    )
-    failed = snapshot.outcomes().where("status = 'failed'").select("table_name", "slice_id")
-    leftover = failed.distinct().join(copied, ["table_name", "slice_id"], "left_anti")
-    places = leftover.select(F.explode(F.array(path, row_path)).alias("path"))
-    cut(delete_paths(places))
+    if failures:
+        _delete_leftovers(snapshot)
     ended = _now()
     row = (
         _name(spark, started, ended), started, ended, names,
         complete and snapshot.issues().isEmpty(),
     )
-    spark.createDataFrame([row], SNAPSHOT).coalesce(1).write.parquet(f"{snapshot.path}/seal")
+    local_frame(spark, [row], SNAPSHOT).write.parquet(f"{snapshot.path}/seal")
     return snapshot

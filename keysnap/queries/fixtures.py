@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from keysnap.session import cut
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
@@ -204,13 +206,13 @@ def _uses(sql: str) -> list[str]:
     return [n for n in CTES if re.search(rf"\b{n}\b", sql)]
 
 
-def _closure(sql: str) -> list[str]:
+def _closure(sql: str, given: tuple[str, ...] = ()) -> list[str]:
     """Fixtures that the text needs, in order of definition."""
     found: set[str] = set()
     todo = _uses(sql)
     while todo:
         name = todo.pop()
-        if name not in found:
+        if name not in found and name not in given:
             found.add(name)
             todo += _uses(CTES[name])
     return [n for n in CTES if n in found]
@@ -226,10 +228,12 @@ def _translate(sql: str, dialect: str) -> str:
     return re.sub(r"\[((?:MS|RUN_DAY|SECONDS_LATER)[^\]]*)\]", put, sql)
 
 
-def with_fixtures(sql: str, dialect: str) -> str:
-    """The query text, preceded by the fixtures it uses."""
-    parts = [f"{n} as ({CTES[n]})" for n in _closure(sql)]
+def with_fixtures(sql: str, dialect: str, given: tuple[str, ...] = ()) -> str:
+    """The query text, preceded by the fixtures it uses, other than ``given`` ones."""
+    parts = [f"{n} as ({CTES[n]})" for n in _closure(sql, given)]
     text = ("with " + ",\n".join(parts) + "\n" if parts else "") + sql
+    for name in given:
+        text = re.sub(rf"\b{name}\b", f"{{{name}}}", text)
     return _translate(text, dialect)
 
 
@@ -238,9 +242,18 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def fixture(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """The fixture as a DataFrame."""
-    sql = with_fixtures(f"select * from {name}", "spark")
-    used = {t: table(spark, sf, t) for t in TABLES if f"{{{t}}}" in sql}
+    """The fixture as a DataFrame.
+
+    Others use the slices several times; those are worked out once, from the whole tables.
+    """
+    query = f"select * from {name}"
+    used: dict[str, DataFrame] = {}
+    given: tuple[str, ...] = ()
+    if name != "slices" and "slices" in _closure(query):
+        given = ("slices",)
+        used["slices"] = cut(fixture(spark, sf, "slices"))
+    sql = with_fixtures(query, "spark", given)
+    used |= {t: table(spark, sf, t) for t in TABLES if f"{{{t}}}" in sql}
     return spark.sql(sql, **used)
 
 

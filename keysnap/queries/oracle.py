@@ -224,6 +224,10 @@ SQL: dict[str, str] = {
     "latest_descriptor": """
     select table_name, max(path) as path from descriptor_files
     where starts_with(name, '.tableinfo') group by table_name""",
+    "older_descriptors": """
+    select table_name, path from descriptor_files d where starts_with(name, '.tableinfo')
+      and path < (select max(path) from descriptor_files m
+                  where m.table_name = d.table_name and starts_with(m.name, '.tableinfo'))""",
     "missing_descriptors": """
     select distinct concat('t', cast(user_id as varchar)) as table_name from {events}
     where user_id not in (select user_id from {events} where event_type <> 'view')

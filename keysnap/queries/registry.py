@@ -341,6 +341,11 @@ def latest_descriptor(spark, sf):
     return listing.latest_descriptor(fixture(spark, sf, "descriptor_files"))
 
 
+@query
+def older_descriptors(spark, sf):
+    return listing.older_descriptors(fixture(spark, sf, "descriptor_files"))
+
+
 @query
 def missing_descriptors(spark, sf):
     users = table(spark, sf, "events").select(

@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # One writer per file and slice: copies are side effects, so no second attempt runs beside the
 # first. Times in names are UTC.
@@ -52,6 +55,15 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/keysnap/{label}-{uuid.uuid4().hex}"
 
 
+def local_frame(spark: SparkSession, rows: list[tuple], schema: T.StructType | str) -> DataFrame:
+    """A few rows as a local relation: it needs no tasks, and the planner knows its size."""
+    if isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    arrow = to_arrow_schema(schema)
+    table = pa.Table.from_pylist([dict(zip(schema.names, r)) for r in rows], schema=arrow)
+    return spark.createDataFrame(table, schema)
+
+
 def tasks(spark: SparkSession, parallelism: int | None) -> int:
     """Tasks for work on files: as asked for, or one for each core."""
     return parallelism or spark.sparkContext.defaultParallelism

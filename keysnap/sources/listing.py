@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keysnap.schema import DESCRIPTOR_PREFIX, FILES, SLICE_COLS, SLICE_MANIFEST
-from keysnap.session import cut, tasks
+from keysnap.session import cut, local_frame, tasks
 from keysnap.sources.storage import children, utc
 
 BATCH = 10_000
@@ -37,7 +37,7 @@ def _as_dirs(spark: SparkSession, dirs: DataFrame | Iterable[str]) -> DataFrame:
     if isinstance(dirs, DataFrame):
         paths = dirs.select("path")
     else:
-        paths = spark.createDataFrame([(d,) for d in dirs], "path string")
+        paths = local_frame(spark, [(d,) for d in dirs], "path string")
     return paths.select(F.col("path").alias("root"), "path").distinct()
 
 
@@ -166,6 +166,14 @@ def latest_descriptor(files: DataFrame, prefix: str = DESCRIPTOR_PREFIX) -> Data
     return named.groupBy("table_name").agg(F.max("path").alias("path"))
 
 
+def older_descriptors(files: DataFrame, prefix: str = DESCRIPTOR_PREFIX) -> DataFrame:
+    """Descriptors that a newer one has replaced. Nothing is deleted here: give the result to
+    :func:`~keysnap.sources.files.delete_paths` to prune them."""
+    named = files.where(F.col("name").startswith(prefix)).select("table_name", "path")
+    newest = latest_descriptor(files, prefix)
+    return named.join(newest, ["table_name", "path"], "left_anti")
+
+
 def missing_descriptors(tables: DataFrame, descriptors: DataFrame) -> DataFrame:
     """Selected tables without any descriptor."""
     return tables.select("table_name").join(descriptors, "table_name", "left_anti")
@@ -188,4 +196,4 @@ def resolve_source(files: DataFrame, candidates: DataFrame) -> DataFrame:
 
 def families_of(spark: SparkSession, families: dict[str, Sequence[str]]) -> DataFrame:
     rows = [(t, f) for t, names in families.items() for f in names]
-    return spark.createDataFrame(rows, "table_name string, family string")
+    return local_frame(spark, rows, "table_name string, family string")

@@ -21,6 +21,7 @@ from keysnap.functions.keys import end_order, padded_key
 from keysnap.operators.ordered import with_row_number
 from keysnap.operators.rounds import KEY_ORDER
 from keysnap.schema import OUTCOME, SLICE_COLS
+from keysnap.session import local_frame
 
 # Slice boundaries of one pass are broadcast; more slices than this are copied in several passes.
 MAX_SLICES_PER_PASS = 50_000
@@ -35,9 +36,12 @@ class KeyedTable:
     """A table to copy by key.
 
     ``source`` is a parquet path or a function that opens the table; it is opened again in each
-    round. ``width`` gives the zero padding of an integral key in the catalog; leave it out for
-    a string key. ``clustered`` says that rows already lie in key order in the source files:
-    they are then written without a shuffle.
+    round. ``width`` gives the zero padding of an integral key in the catalog, for keys of at
+    least 0; leave it out for a string key, or a binary one, which the catalog writes as hex
+    text (upper case, as byte order is kept by it). ``clustered`` says that rows already lie in
+    key order in the source files: they are then written without a shuffle. With
+    ``check='count'`` a slice is checked by its number of rows only, which reads just the key
+    from the source; ``'content'`` compares checksums over all columns.
     """
 
     name: str
@@ -45,6 +49,7 @@ class KeyedTable:
     key: str
     width: int | None = None
     clustered: bool = False
+    check: str = "content"
 
     def open(self, spark: SparkSession) -> DataFrame:
         if callable(self.source):
@@ -52,33 +57,40 @@ class KeyedTable:
         return spark.read.parquet(self.source)
 
 
-def key_column(table: KeyedTable):
-    """The key as the catalog writes it."""
-    return padded_key(table.key, table.width) if table.width else F.col(table.key)
+def _is_binary(df: DataFrame, table: KeyedTable) -> bool:
+    return isinstance(df.schema[table.key].dataType, T.BinaryType)
 
 
-def _bound(table: KeyedTable, key: str):
-    return int(key) if table.width else key
+def key_column(df: DataFrame, table: KeyedTable):
+    """The key as the catalog writes it."""
+    if table.width:
+        return padded_key(table.key, table.width)
+    return F.hex(table.key) if _is_binary(df, table) else F.col(table.key)
 
 
-def _key_range(table: KeyedTable, start: str, end: str):
+def _key_range(df: DataFrame, table: KeyedTable, start: str, end: str):
     """Filter on the source column itself, which the scan can use to skip data."""
+
+    def bound(key: str):
+        if table.width:
+            return int(key)
+        return bytes.fromhex(key) if _is_binary(df, table) else key
+
     col = F.col(table.key)
     inside = col.isNotNull()
     if start:
-        inside = inside & (col >= F.lit(_bound(table, start)))
+        inside = inside & (col >= F.lit(bound(start)))
     if end:
-        inside = inside & (col < F.lit(_bound(table, end)))
+        inside = inside & (col < F.lit(bound(end)))
     return inside
 
 
-def _pruning_filter(table: KeyedTable, slices: list[tuple[str, str, str]]):
+def pruning_filter(df: DataFrame, table: KeyedTable, slices: list[tuple[str, str, str]]):
     """Each slice's range when there are few, else the range that holds them all."""
     if len(slices) <= MAX_PRUNED_SLICES:
-        ranges = [_key_range(table, start, end) for start, end, _ in slices]
-        return reduce(or_, ranges)
+        return reduce(or_, [_key_range(df, table, start, end) for start, end, _ in slices])
     ends = [end for _, end, _ in slices]
-    return _key_range(table, slices[0][0], "" if "" in ends else max(ends))
+    return _key_range(df, table, slices[0][0], "" if "" in ends else max(ends))
 
 
 def _edges(slices: list[tuple[str, str, str]]) -> tuple[list[str], list[str | None], bool]:
@@ -129,7 +141,7 @@ def _segment(df: DataFrame, table: KeyedTable, edges: list[str]) -> DataFrame:
         place = pd.Series(np.searchsorted(bounds, text, side="right") - 1, dtype="Int32")
         return place.where(known.reset_index(drop=True))
 
-    return df.withColumn("segment", search(F.hex(key_column(table))))
+    return df.withColumn("segment", search(F.hex(key_column(df, table))))
 
 
 def _hex(key: str) -> bytes:
@@ -146,16 +158,26 @@ def tag_rows(df: DataFrame, table: KeyedTable, slices: list[tuple[str, str, str]
     spark = df.sparkSession
     if not edges:
         return df.withColumn(SLICE_DIR, F.lit(None).cast("string"))
-    lookup = spark.createDataFrame(
-        [(i, o) for i, o in enumerate(owners) if o is not None], f"segment int, {SLICE_DIR} string"
+    lookup = local_frame(
+        spark,
+        [(i, o) for i, o in enumerate(owners) if o is not None],
+        f"segment int, {SLICE_DIR} string",
     )
     return (
         _segment(df, table, edges).join(F.broadcast(lookup), "segment", "left").drop("segment")
     )
 
 
+def checked_columns(schema: T.StructType, check: str) -> T.StructType:
+    """The columns whose content is compared: all of them, or none."""
+    if check not in ("content", "count"):
+        raise ValueError(f"check is content or count, not {check}")
+    return schema if check == "content" else T.StructType([])
+
+
 def slice_stats(tagged: DataFrame, schema: T.StructType) -> DataFrame:
-    """Rows and checksum pieces per slice; partial sums are built before the shuffle."""
+    """Rows and checksum pieces per slice over the columns of ``schema``; partial sums are built
+    before the shuffle."""
     return (
         tagged.select(SLICE_DIR, row_hash(schema).alias("h"))
         .select(SLICE_DIR, *[c.alias(n) for n, c in hash_pieces(F.col("h")).items()])
@@ -216,6 +238,24 @@ def write_slices(tagged: DataFrame, path: str, clustered: bool) -> None:
     )
 
 
+class OverlapError(RuntimeError):
+    """Slices to copy overlap: their rows would be stored twice."""
+
+
+def check_apart(
+    name: str, slices: list[tuple[str, str, str]], reached: str | None
+) -> str | None:
+    """Raises if slices (in key order) overlap. ``reached`` is where those before them end (None:
+    there were none); returns where these end."""
+    for start, end, slice_id in slices:
+        if end and start >= end:
+            continue
+        if reached is not None and (reached == "" or start < reached):
+            raise OverlapError(f"{name}: slice {slice_id} overlaps the one before it")
+        reached = end
+    return reached
+
+
 def _passes(work: DataFrame, table: str, limit: int):
     """The table's work in runs of at most ``limit`` consecutive slices."""
     own = work.where(F.col("table_name") == table)
@@ -247,6 +287,7 @@ def copy_slices(
     """
     spark = work.sparkSession
     path = f"{root}/{table.name}"
+    reached: str | None = None
     for chosen in _passes(work, table.name, max_slices):
         ordered = chosen.orderBy("start_key", end_order("end_key"))
         # At most max_slices rows.
@@ -254,20 +295,22 @@ def copy_slices(
             (r.start_key, r.end_key, r.slice_id)
             for r in ordered.select("start_key", "end_key", "slice_id").collect()
         ]
+        reached = check_apart(table.name, slices, reached)
         source = table.open(spark)
         schema = source.schema
         if SLICE_DIR in schema.names:
             raise ValueError(f"{table.name}: column name {SLICE_DIR} is taken")
-        source = source.where(_pruning_filter(table, slices))
+        source = source.where(pruning_filter(source, table, slices))
         tagged = tag_rows(source, table, slices)
-        expected = slice_stats(tagged.where(F.col(SLICE_DIR).isNotNull()), schema)
+        checked = checked_columns(schema, table.check)
+        expected = slice_stats(tagged.where(F.col(SLICE_DIR).isNotNull()), checked)
         write_slices(fault(tagged, table.name, attempt) if fault else tagged, path,
                      table.clustered)
         ids = [s[2] for s in slices]
         stored = read_slices(spark, path, schema)
         if len(ids) <= MAX_PRUNED_SLICES:
             stored = stored.where(F.col(SLICE_DIR).isin(ids))
-        outcomes = compare_stats(chosen, expected, stored_stats(stored, schema), attempt)
+        outcomes = compare_stats(chosen, expected, stored_stats(stored, checked), attempt)
         outcomes.write.mode("append").parquet(out)
 
 

@@ -141,3 +141,34 @@ def test_row_number_over_everything(spark):
     df = spark.range(500).withColumn("k", F.lpad(F.col("id").cast("string"), 5, "0"))
     out = with_row_number(df.orderBy(F.rand(1)), Order((), ("k",)), "n", **SMALL)
     assert all(r.id == r.n for r in out.collect())
+
+
+@pytest.mark.parametrize("sizes", [SMALL, ONE])
+def test_binary_keys(spark, sizes):
+    """Keys may be binary: they compare as unsigned bytes, and the empty end is unbounded."""
+    rng = random.Random(6)
+
+    def some(n):
+        out = []
+        for _ in range(n):
+            lo, hi = sorted(rng.sample(range(256), 2))
+            start = b"" if rng.random() < 0.1 else bytes([lo])
+            end = b"" if rng.random() < 0.1 else bytes([hi, 0])
+            out.append(("t", start, end))
+        return out
+
+    ddl = "table_name string, start_key binary, end_key binary"
+    cand, covers = some(120), some(5)
+    cdf, pdf = spark.createDataFrame(cand, ddl), spark.createDataFrame(covers, ddl)
+
+    def within(i, o):
+        return o[1] <= i[1] and (o[2] == b"" or (i[2] != b"" and i[2] <= o[2]))
+
+    got = [tuple(map(bytes, r[1:])) for r in contained_slices(cdf, pdf, **sizes).collect()]
+    assert sorted(got) == sorted(c[1:] for c in cand if any(within(c, p) for p in covers))
+    as_text = [(t, a.hex(), b.hex()) for t, a, b in cand]
+    found = [
+        (r[0], *[None if v is None else bytes(v).hex() for v in r[1:4]], r[4])
+        for r in coverage_issues(cdf, **sizes).collect()
+    ]
+    assert sorted(found, key=repr) == expected_issues(as_text)

@@ -11,7 +11,7 @@ from keysnap.plans.restore import RestoreError, open_snapshot
 from keysnap.plans.snapshot import RowCopier, SnapshotError
 from keysnap.schema import CATALOG_COLS
 from keysnap.sources import rows as rows_module
-from keysnap.sources.rows import read_slices, tag_rows
+from keysnap.sources.rows import OverlapError, read_slices, tag_rows
 
 CHILD = "struct<table_name:string,slice_id:string,start_key:string,end_key:string,region_id:bigint>"
 CATALOG = (
@@ -165,7 +165,7 @@ def test_refusals(spark, numbers, tmp_path):
     crossing = catalog(
         spark, [row("numbers", "x", "", pad(9)), row("numbers", "y", pad(5), "")]
     )
-    with pytest.raises(SnapshotError, match="overlap"):
+    with pytest.raises(OverlapError, match="slice y overlaps"):
         take_snapshot(spark, copier, lambda _: crossing, str(tmp_path / "b"))
     bad = catalog(spark, [row("numbers", "../x", "", "")])
     with pytest.raises(SnapshotError, match="slice ids"):
@@ -285,3 +285,48 @@ def test_copying_again_needs_no_shuffle_when_clustered(spark, numbers):
     tagged = tag_rows(table.open(spark), table, [("", pad(500), "a"), (pad(500), "", "b")])
     plan = tagged.where("slice_id is not null")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+
+
+def test_hot_slice_is_written_by_many_tasks(spark, tmp_path):
+    """Adaptive execution splits a slice that holds most of the rows."""
+    path = str(tmp_path / "hot")
+    spark.range(0, 400_000, 1, 16).select(
+        F.when(F.col("id") % 10 < 9, 7).otherwise(F.col("id")).alias("k"),
+        F.sha2(F.col("id").cast("string"), 256).alias("v"),
+    ).write.parquet(path)
+    table = KeyedTable("hot", path, "k", 6)
+    slices = [("", pad(7), "a"), (pad(7), pad(8), "b"), (pad(8), "", "c")]
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(2 << 20))
+    try:
+        rows_module.write_slices(
+            tag_rows(table.open(spark), table, slices), str(tmp_path / "out"), False
+        )
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    files = {s: len(list((tmp_path / "out" / f"slice_id={s}").glob("*.parquet"))) for s in "abc"}
+    assert files["b"] >= 4 and files["c"] >= 1
+
+
+def test_binary_keys(spark, tmp_path):
+    path = str(tmp_path / "bin")
+    keys = [bytes([a, b]) for a in range(0, 256, 5) for b in (0, 127, 255)] + [b"", b"\x00"]
+    spark.createDataFrame([(bytearray(k), len(k)) for k in keys], "k binary, n int").write.parquet(path)
+    cuts = [b"\x00\x7f", b"\x7f", b"\xc8"]
+    cat = catalog(spark, tiles("bin", [c.hex().upper() for c in cuts]))
+    copier = RowCopier([KeyedTable("bin", path, "k")])
+    snap = take_snapshot(spark, copier, lambda _: cat, str(tmp_path / "s"))
+    assert snap.seal().head().verified
+    edges = [b"", *cuts, b"\xff\xff\xff"]
+    want = {f"s{i}": sum(a <= k < b for k in keys) for i, (a, b) in enumerate(zip(edges, edges[1:]))}
+    assert {r.slice_id: r.rows for r in snap.manifest().collect()} == want
+
+
+def test_check_by_count(spark, numbers, tmp_path):
+    cat = catalog(spark, tiles("numbers", [pad(500)]))
+    copier = RowCopier(
+        [numbers_table(numbers, check="count")],
+        lambda df, t, a: df.where("slice_id <> 's1' or k < 600") if a == 1 else df,
+    )
+    snap = take_snapshot(spark, copier, lambda _: cat, str(tmp_path / "s"))
+    assert sorted((r.slice_id, r.attempt) for r in snap.manifest().collect()) == [("s0", 1), ("s1", 2)]
+    assert restore_tables(spark, snap.path, str(tmp_path / "t")).head().rows == 3000
