@@ -14,7 +14,7 @@ from keysnap.operators.logs import (
 )
 from keysnap.schema import RUN_STATS
 from keysnap.session import cut, local_frame
-from keysnap.sources.files import copy_files, delete_paths
+from keysnap.sources.files import PARTIAL_PREFIX, copy_files, delete_paths
 from keysnap.sources.listing import list_files
 from keysnap.sources.storage import exists
 
@@ -67,6 +67,10 @@ def archive_once(
     logs = cut(list_logs(scan_sources(spark, sources, parallelism)))
     held = with_start(scan_archive(spark, archive, parallelism))
     files = held.where(~F.col("is_dir"))
+    # Half-written files of a run that was cut short.
+    partial = F.col("name").startswith(PARTIAL_PREFIX)
+    cut(delete_paths(files.where(partial), parallelism))
+    files = files.where(~partial)
     archived = files.where("start_ms is not null")
     new = cut(new_logs(logs, archived, mark))
 

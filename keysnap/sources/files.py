@@ -14,6 +14,7 @@ from keysnap.session import cut, tasks
 from keysnap.sources.storage import open_fs, parent
 
 CHUNK_BYTES = 8 << 20
+PARTIAL_PREFIX = ".copying-"
 
 
 def _copy_bytes(source: str, dest: str) -> int:
@@ -25,7 +26,7 @@ def _copy_bytes(source: str, dest: str) -> int:
     if not info.is_file:
         raise FileNotFoundError(source)
     dest_fs.create_dir(parent(dest_path), recursive=True)
-    partial = f"{parent(dest_path)}/.copying-{uuid.uuid4().hex}"
+    partial = f"{parent(dest_path)}/{PARTIAL_PREFIX}{uuid.uuid4().hex}"
     done = 0
     try:
         with source_fs.open_input_stream(source_path) as reader:

@@ -24,9 +24,9 @@ from keysnap.schema import OUTCOME, SLICE_COLS
 from keysnap.session import local_frame
 
 # Slice boundaries of one pass are broadcast; more slices than this are copied in several passes.
-MAX_SLICES_PER_PASS = 50_000
-# Up to this many slices, a pass asks the scan for their key ranges and directories only.
-MAX_PRUNED_SLICES = 32
+MAX_SLICES_PER_PASS = 100_000
+# A pass asks the scan for at most this many key ranges, which together hold its slices.
+MAX_SCAN_RANGES = 32
 SLICE_DIR = "slice_id"
 _EXACT_DOUBLE = 1 << 53
 
@@ -86,11 +86,17 @@ def _key_range(df: DataFrame, table: KeyedTable, start: str, end: str):
 
 
 def pruning_filter(df: DataFrame, table: KeyedTable, slices: list[tuple[str, str, str]]):
-    """Each slice's range when there are few, else the range that holds them all."""
-    if len(slices) <= MAX_PRUNED_SLICES:
-        return reduce(or_, [_key_range(df, table, start, end) for start, end, _ in slices])
-    ends = [end for _, end, _ in slices]
-    return _key_range(df, table, slices[0][0], "" if "" in ends else max(ends))
+    """Key ranges that hold the slices (in key order, apart): touching slices give one range,
+    and where there are too many ranges, neighbours are put together."""
+    ranges: list[tuple[str, str]] = []
+    for start, end, _ in slices:
+        if ranges and ranges[-1][1] == start != "":
+            ranges[-1] = (ranges[-1][0], end)
+        else:
+            ranges.append((start, end))
+    size = -(-len(ranges) // MAX_SCAN_RANGES)
+    groups = [ranges[i : i + size] for i in range(0, len(ranges), size)]
+    return reduce(or_, [_key_range(df, table, g[0][0], g[-1][1]) for g in groups])
 
 
 def _edges(slices: list[tuple[str, str, str]]) -> tuple[list[str], list[str | None], bool]:
@@ -257,16 +263,18 @@ def check_apart(
 
 
 def _passes(work: DataFrame, table: str, limit: int):
-    """The table's work in runs of at most ``limit`` consecutive slices."""
+    """The table's work in runs of at most ``limit`` consecutive slices; also says whether a run
+    is all of it."""
     own = work.where(F.col("table_name") == table)
     total = own.count()
     if total <= limit:
         if total:
-            yield own
+            yield own, True
         return
     numbered = with_row_number(own, KEY_ORDER, "position")
     for start in range(0, total, limit):
-        yield numbered.where(F.col("position").between(start, start + limit - 1)).drop("position")
+        inside = F.col("position").between(start, start + limit - 1)
+        yield numbered.where(inside).drop("position"), False
 
 
 def copy_slices(
@@ -288,7 +296,7 @@ def copy_slices(
     spark = work.sparkSession
     path = f"{root}/{table.name}"
     reached: str | None = None
-    for chosen in _passes(work, table.name, max_slices):
+    for chosen, whole in _passes(work, table.name, max_slices):
         ordered = chosen.orderBy("start_key", end_order("end_key"))
         # At most max_slices rows.
         slices = [
@@ -306,10 +314,10 @@ def copy_slices(
         expected = slice_stats(tagged.where(F.col(SLICE_DIR).isNotNull()), checked)
         write_slices(fault(tagged, table.name, attempt) if fault else tagged, path,
                      table.clustered)
-        ids = [s[2] for s in slices]
         stored = read_slices(spark, path, schema)
-        if len(ids) <= MAX_PRUNED_SLICES:
-            stored = stored.where(F.col(SLICE_DIR).isin(ids))
+        if attempt > 1 or not whole:
+            # Other slices are there as well; their directories are not read.
+            stored = stored.where(F.col(SLICE_DIR).isin([s[2] for s in slices]))
         outcomes = compare_stats(chosen, expected, stored_stats(stored, checked), attempt)
         outcomes.write.mode("append").parquet(out)
 

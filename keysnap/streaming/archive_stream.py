@@ -45,7 +45,7 @@ def archive_stream(
 
     beat = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).load()
     writer = beat.writeStream.foreachBatch(tick).option("checkpointLocation", checkpoint)
-    trigger = {"once": True} if once else {"processingTime": every}
+    trigger = {"availableNow": True} if once else {"processingTime": every}
     return writer.trigger(**trigger).start()
 
 

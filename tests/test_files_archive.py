@@ -199,6 +199,7 @@ def test_archive_runs(spark, tmp_path):
     live, old, arch = (tmp_path / d for d in ("live", "old", "archive"))
     first, second = ms(T0), ms(T0 + timedelta(days=1))
     put(live / f"rs1/w.{first}", b"abc")
+    put(arch / "2024-01-02/.copying-0123", b"left by a run that was cut short")
     put(live / f"rs1/v1.2/empty.{first}", b"")
     put(live / "rs1/v1.2/nosuffix", b"x")
     put(old / f"w.{second}", b"old one")

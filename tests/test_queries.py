@@ -6,6 +6,7 @@ import pytest
 from compare import oracle_rows, spark_rows
 
 from keysnap.queries import oracle_sql, queries
+from keysnap.queries.fixtures import duckdb_sql
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 
@@ -21,3 +22,25 @@ def test_query(spark, name):
     assert columns == want_columns
     assert len(rows) == len(want)
     assert rows == want
+
+
+# What the fixtures hold at this size.
+EXPECTED_ROWS = {
+    "select slices": ("select * from slices", 32),
+    "first attempt": ("select * from work1", 16),
+    "failed": ("select * from att1 where is_failed", 5),
+    "logs": ("select * from logs", 600),
+    "archive": ("select * from archive", 398),
+}
+EXPECTED_RESULTS = {
+    "remaining_slices": 6, "coverage_issues": 5, "coverage_after_retry": 0, "logs_new": 297,
+    "logs_stale": 95, "logs_expired": 303, "archive_run_sequence": 300, "failed_slices": 5,
+}
+
+
+@pytest.mark.skipif(not SF.endswith("sf0.01"), reason="numbers are those of sf0.01")
+def test_fixture_sizes():
+    for sql, n in EXPECTED_ROWS.values():
+        assert len(oracle_rows(SF, duckdb_sql(sql))[1]) == n
+    for name, n in EXPECTED_RESULTS.items():
+        assert len(oracle_rows(SF, oracle_sql()[name])[1]) == n

@@ -263,7 +263,7 @@ def test_number_keys_and_holes(spark, width):
 
 
 def test_many_slices_take_several_passes(spark, numbers, tmp_path, monkeypatch):
-    monkeypatch.setattr(rows_module, "MAX_PRUNED_SLICES", 2)
+    monkeypatch.setattr(rows_module, "MAX_SCAN_RANGES", 2)
     cat = catalog(spark, tiles("numbers", [pad(k) for k in range(300, 3000, 300)]))
     original = rows_module.copy_slices
 
@@ -330,3 +330,20 @@ def test_check_by_count(spark, numbers, tmp_path):
     snap = take_snapshot(spark, copier, lambda _: cat, str(tmp_path / "s"))
     assert sorted((r.slice_id, r.attempt) for r in snap.manifest().collect()) == [("s0", 1), ("s1", 2)]
     assert restore_tables(spark, snap.path, str(tmp_path / "t")).head().rows == 3000
+
+
+def test_scan_asks_for_few_key_ranges(spark, numbers):
+    """A retry of a few slices reads their key ranges only; many are put together."""
+    table = numbers_table(numbers)
+    df = table.open(spark)
+    slices = [(pad(k), pad(k + 10), f"s{k}") for k in range(0, 2000, 20)]
+    kept = df.where(rows_module.pruning_filter(df, table, slices))
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "Or(Or(" in plan.split("PushedFilters: ")[1]
+    inside = F.floor(F.col("k") / 10) % 2 == 0
+    lost = df.where(inside & (F.col("k") < 2000)).exceptAll(kept)
+    assert lost.isEmpty() and kept.where("k >= 2000").isEmpty()
+    few = df.where(rows_module.pruning_filter(df, table, slices[3:5]))
+    assert {r.k for r in few.collect()} <= set(range(60, 70)) | set(range(80, 90))
+    touching = [("", pad(9), "a"), (pad(9), "", "b")]
+    assert df.where(rows_module.pruning_filter(df, table, touching)).count() == 3000
