@@ -301,6 +301,10 @@ SQL: dict[str, str] = {
            case when start_ms >= {RUN_MS - 11 * DAY_MS} then '2024-01-31' else '2024-01-21' end
              as day
     from logs where start_ms > {RUN_MS - 15 * DAY_MS} and start_ms < {RUN_MS}""",
+    "archive_files": f"""
+    select * from {{events}} where user_id in (
+      select user_id from {{events}} group by user_id
+      having epoch_us(min(ts)) // 1000 > {RUN_MS - 29 * DAY_MS})""",
     "archive_stats": """
     select run, cast(copied as bigint) as copied, cast(failed as bigint) as failed,
            cast(sum(copied) over (order by run) as bigint) as total_copied,

@@ -12,6 +12,7 @@ from keysnap.functions.names import format_snapshot_name, parse_snapshot_names
 from keysnap.functions.text import endpoint_host, endpoint_port, relative_path
 from keysnap.operators import catalog as cat
 from keysnap.operators import cover, logs, restore, rounds
+from keysnap.plans.archive import archive_once
 from keysnap.plans.restore import restore_tables
 from keysnap.plans.snapshot import FileCopier, RowCopier, take_snapshot
 from keysnap.queries.fixtures import N_SLICES, WIDTH, fixture, table
@@ -579,6 +580,37 @@ def archive_stats(spark, sf):
     return stats.select("run", "copied", "failed", "total_copied", "total_failed", "duration")
 
 
+@query
+def archive_files(spark, sf):
+    """Events read from archived log files, one file per user: a run that copies all of them,
+    then one that expires those of users first seen on the first day."""
+    events = table(spark, sf, "events")
+    written, live, archive = (fresh_dir(spark, d) for d in ("written", "live", "archive"))
+    (
+        events.withColumn("log_user", F.col("user_id"))
+        .repartition("log_user")
+        .write.partitionBy("log_user")
+        .parquet(written)
+    )
+    started = events.groupBy(F.col("user_id").cast("string").alias("log_user")).agg(
+        F.unix_millis(F.min("ts").cast("timestamp")).cast("string").alias("ms")
+    )
+    parts = listing.list_files(spark, [written], recursive=True).where("name like 'part-%'")
+    user = F.regexp_extract("path", "log_user=([0-9]+)/", 1)
+    name = F.concat(F.lit(f"{live}/host"), "log_user", F.lit("/wal-"), "log_user", F.lit("."), "ms")
+    logs_plan = (
+        parts.withColumn("log_user", user)
+        .join(started, "log_user")
+        .select(F.col("path").alias("source_path"), name.alias("dest_path"))
+    )
+    cut(copy_files_job(logs_plan))
+    end = datetime(2024, 1, 31, tzinfo=timezone.utc)
+    archive_once(spark, [f"{live}/gone", live], archive, end)
+    archive_once(spark, [live], archive, end, days=29)
+    reader = spark.read.schema(events.schema).option("recursiveFileLookup", "true")
+    return reader.parquet(archive)
+
+
 # Files
 
 

@@ -57,6 +57,18 @@ class KeyedTable:
         return spark.read.parquet(self.source)
 
 
+def check_key(df: DataFrame, table: KeyedTable) -> None:
+    kind = df.schema[table.key].dataType
+    integral = isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+    if integral != bool(table.width) or not (
+        integral or isinstance(kind, (T.StringType, T.BinaryType))
+    ):
+        raise ValueError(
+            f"{table.name}: key {table.key} is {kind.simpleString()}; it has to be integral, with "
+            "a width, or string or binary, without one"
+        )
+
+
 def _is_binary(df: DataFrame, table: KeyedTable) -> bool:
     return isinstance(df.schema[table.key].dataType, T.BinaryType)
 
@@ -64,7 +76,13 @@ def _is_binary(df: DataFrame, table: KeyedTable) -> bool:
 def key_column(df: DataFrame, table: KeyedTable):
     """The key as the catalog writes it."""
     if table.width:
-        return padded_key(table.key, table.width)
+        # Keys that do not fit come after all that do, negative ones before.
+        text = F.col(table.key).cast("string")
+        return (
+            F.when(F.col(table.key) < 0, F.lit(""))
+            .when(F.length(text) > table.width, F.concat(F.lit("~"), text))
+            .otherwise(padded_key(table.key, table.width))
+        )
     return F.hex(table.key) if _is_binary(df, table) else F.col(table.key)
 
 
@@ -306,6 +324,7 @@ def copy_slices(
         reached = check_apart(table.name, slices, reached)
         source = table.open(spark)
         schema = source.schema
+        check_key(source, table)
         if SLICE_DIR in schema.names:
             raise ValueError(f"{table.name}: column name {SLICE_DIR} is taken")
         source = source.where(pruning_filter(source, table, slices))

@@ -347,3 +347,36 @@ def test_scan_asks_for_few_key_ranges(spark, numbers):
     assert {r.k for r in few.collect()} <= set(range(60, 70)) | set(range(80, 90))
     touching = [("", pad(9), "a"), (pad(9), "", "b")]
     assert df.where(rows_module.pruning_filter(df, table, touching)).count() == 3000
+
+
+def test_keys_out_of_range(spark):
+    """Negative keys and keys wider than the padding go to the first and the last slice."""
+    slices = [("", pad(5, 18), "a"), (pad(5, 18), str(2**53 + 9).zfill(18), "b"),
+              (str(2**53 + 9).zfill(18), "", "c")]
+    keys = [-7, 0, 4, 5, 2**53, 2**53 + 8, 2**53 + 9, 10**18 + 1]
+    df = spark.createDataFrame([(k,) for k in keys], "k bigint")
+    got = {r.k: r.slice_id for r in tag_rows(df, KeyedTable("t", "", "k", 18), slices).collect()}
+    assert [got[k] for k in keys] == ["a", "a", "a", "b", "b", "b", "c", "c"]
+
+
+def test_key_types(spark, tmp_path):
+    df = spark.range(3)
+    for frame, table in [
+        (df, KeyedTable("t", "", "id")),
+        (df.select(F.col("id").cast("string")), KeyedTable("t", "", "id", 6)),
+        (df.select(F.col("id").cast("double")), KeyedTable("t", "", "id")),
+    ]:
+        with pytest.raises(ValueError, match="has to be integral"):
+            rows_module.check_key(frame, table)
+
+
+def test_catalog_scan_reads_what_it_needs(spark, tmp_path):
+    from keysnap.operators.catalog import decode_catalog, encode_catalog, scan_catalog
+
+    path = str(tmp_path / "catalog")
+    cat = catalog(spark, tiles("t", ["b", "d"]))
+    encode_catalog(cat).withColumn("other", F.lit("x")).write.parquet(path)
+    raw = scan_catalog(spark, path)
+    plan = raw.select("row_key")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<row_key:string>" in plan and "other" not in raw.columns
+    assert same(decode_catalog(raw).select(*CATALOG_COLS), cat)
