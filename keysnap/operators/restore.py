@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keysnap.schema import CATALOG_COLS, COMPACTION_DIR, SLICE_COLS, SYSTEM_TABLES
+from keysnap.schema import CATALOG_COLS, COMPACTION_DIR, SLICE, SLICE_COLS, SYSTEM_TABLES
 
 
 def snapshot_tables(manifest: DataFrame, descriptors: DataFrame) -> DataFrame:
@@ -68,7 +68,6 @@ def restore_catalog_rows(manifest: DataFrame) -> DataFrame:
     """Catalog rows of restored slices: online and not split, whatever they were when copied, as
     a split parent's data was copied from the parent. No server holds them yet."""
     cols = {c: F.col(c) for c in SLICE_COLS}
-    child = "struct<table_name:string,slice_id:string,start_key:string,end_key:string,region_id:bigint>"
     cols |= {
         "row_key": F.concat_ws(",", "table_name", "start_key", F.col("region_id").cast("string")),
         "server": F.lit(None).cast("string"),
@@ -77,8 +76,8 @@ def restore_catalog_rows(manifest: DataFrame) -> DataFrame:
         "server_start_code": F.lit(None).cast("bigint"),
         "is_split": F.lit(False),
         "is_offline": F.lit(False),
-        "split_a": F.lit(None).cast(child),
-        "split_b": F.lit(None).cast(child),
+        "split_a": F.lit(None).cast(SLICE),
+        "split_b": F.lit(None).cast(SLICE),
     }
     return manifest.select(*[cols[c].alias(c) for c in CATALOG_COLS])
 

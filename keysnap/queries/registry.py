@@ -16,7 +16,7 @@ from keysnap.plans.archive import archive_once
 from keysnap.plans.restore import restore_tables
 from keysnap.plans.snapshot import FileCopier, RowCopier, take_snapshot
 from keysnap.queries.fixtures import N_SLICES, WIDTH, fixture, table
-from keysnap.schema import CATALOG_COLS, SLICE_COLS
+from keysnap.schema import CATALOG_COLS, SLICE, SLICE_COLS
 from keysnap.session import cut, fresh_dir
 from keysnap.sources import listing
 from keysnap.sources.files import copy_files as copy_files_job
@@ -248,7 +248,6 @@ def keyed(sf: str, name: str, key: str, width: int | None = WIDTH) -> KeyedTable
 
 def slices_of(spark, sf, fixture_name: str = "slices") -> DataFrame:
     """A plain catalog of one of the slice fixtures: nothing split."""
-    child = "struct<table_name:string,slice_id:string,start_key:string,end_key:string,region_id:bigint>"
     flat = fixture(spark, sf, fixture_name)
     return flat.select(
         "table_name", "slice_id", "start_key", "end_key",
@@ -260,8 +259,8 @@ def slices_of(spark, sf, fixture_name: str = "slices") -> DataFrame:
         F.lit(1).cast("bigint").alias("server_start_code"),
         F.lit(False).alias("is_split"),
         F.lit(False).alias("is_offline"),
-        F.lit(None).cast(child).alias("split_a"),
-        F.lit(None).cast(child).alias("split_b"),
+        F.lit(None).cast(SLICE).alias("split_a"),
+        F.lit(None).cast(SLICE).alias("split_b"),
     )
 
 
@@ -387,9 +386,10 @@ def snapshot_tables(spark, sf):
     manifest = fixture(spark, sf, "slices").select("table_name").unionByName(
         table(spark, sf, "region").select(F.lit(".META.").alias("table_name"))
     )
-    described = table(spark, sf, "orders").select(F.lit("orders").alias("table_name")).unionByName(
-        table(spark, sf, "part").select(F.lit("part").alias("table_name"))
-    ).unionByName(table(spark, sf, "region").select(F.lit(".META.").alias("table_name")))
+    described = table(spark, sf, "region").select(F.lit(".META.").alias("table_name"))
+    for name in ("orders", "part"):
+        rows = table(spark, sf, name).select(F.lit(name).alias("table_name"))
+        described = described.unionByName(rows)
     return restore.snapshot_tables(manifest, described)
 
 
@@ -624,9 +624,8 @@ def file_tree(spark, sf) -> tuple[str, DataFrame, DataFrame]:
     )
     orders = table(spark, sf, "orders")
     stored = read_slices(spark, f"{snapshot.data}/orders", orders.schema)
-    stored.withColumn("family", F.col("o_orderstatus")).hint("rebalance", "slice_id").write.partitionBy(
-        "slice_id", "family"
-    ).parquet(written)
+    by_family = stored.withColumn("family", F.col("o_orderstatus")).hint("rebalance", "slice_id")
+    by_family.write.partitionBy("slice_id", "family").parquet(written)
     found = listing.list_files(spark, [written], recursive=True)
     rel = F.regexp_replace("rel_path", "/(slice_id|family)=", "/")
     data = found.where(F.col("name").endswith(".parquet") & ~F.col("name").startswith(".")).select(
