@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keysnap.llm import packing, pii, quality, simhash, tiling
+from keysnap.llm import licences, packing, pii, quality, sharding, simhash, tiling, urls
 from keysnap.llm.common import hexed, stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,15 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = urls.train(spark, urls.labelled_urls())
+    return urls.judge_urls(table(spark, sf_dir, "pages"), model)
+
+
+def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_licences(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = stored(quality.with_stats(table(spark, sf_dir, "documents"), keep=["doc_id"]), "stats")
     rules = quality.fit_rules(stats, table(spark, sf_dir, "labels"))
@@ -40,6 +49,10 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(pii.find_pii(table(spark, sf_dir, "documents"), keep=["doc_id"]))
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign_shards(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = stored(simhash.with_fingerprint(table(spark, sf_dir, "documents"), keep=["doc_id"]), "fingerprinted")
     return simhash.near_duplicates(docs).select("doc_id", hexed(F.col("fp")).alias("fingerprint"), "component_id")
@@ -47,11 +60,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
+    "op2_url_filter": op2_url_filter,
+    "op3_licences": op3_licences,
     "op4_quality_rules": op4_quality_rules,
     "op6_decontamination": op6_decontamination,
     "op8_pii": op8_pii,
+    "op9_sharding": op9_sharding,
     "op10_simhash": op10_simhash,
 }
 
 # The others are beyond SQL or too slow there on whole tables; tests hold brute force against them.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_licences": licences.oracle_sql()}
