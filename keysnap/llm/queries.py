@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keysnap.llm import licences, packing, pii, quality, sharding, simhash, tiling, urls
+from keysnap.llm import licences, packing, pii, quality, sharding, simhash, suffixes, tiling, urls
 from keysnap.llm.common import hexed, stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,13 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffixes.remove_repeats(table(spark, sf_dir, "documents"), digest=True)
+    return cut.select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.col("kept").alias("kept_sha256")
+    )
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.find_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -63,6 +70,7 @@ QUERIES: dict[str, Query] = {
     "op2_url_filter": op2_url_filter,
     "op3_licences": op3_licences,
     "op4_quality_rules": op4_quality_rules,
+    "op5_repeats": op5_repeats,
     "op6_decontamination": op6_decontamination,
     "op8_pii": op8_pii,
     "op9_sharding": op9_sharding,
