@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keysnap.llm import licences, packing, pii, quality, sharding, simhash, suffixes, tiling, urls
+from keysnap.llm import html_text, licences, packing, pii, quality, sharding, simhash, suffixes, tiling, urls
 from keysnap.llm.common import hexed, stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,11 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.find_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.extract_text(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(pii.find_pii(table(spark, sf_dir, "documents"), keep=["doc_id"]))
 
@@ -72,6 +77,7 @@ QUERIES: dict[str, Query] = {
     "op4_quality_rules": op4_quality_rules,
     "op5_repeats": op5_repeats,
     "op6_decontamination": op6_decontamination,
+    "op7_html": op7_html,
     "op8_pii": op8_pii,
     "op9_sharding": op9_sharding,
     "op10_simhash": op10_simhash,
