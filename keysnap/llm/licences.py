@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from keysnap.llm.license_texts import LICENCES, NOTICES
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-COPYRIGHT = r"(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*"
+# A line that names a holder or a year; "copyright notice" at the start of a wrapped line is text.
+COPYRIGHT = r"(^|\n)[ \t]*(copyright[ \t]*(\(c\)|©|:|by |[0-9]{4})|\(c\)[ \t]*(copyright|[0-9]{4})|©)[^\n]*"
 SPELLINGS = (
     ("licence", "license"), ("sub-license", "sublicense"), ("non-infringement", "noninfringement"),
     ("acknowledgement", "acknowledgment"), ("all rights reserved", " "), (" & ", " and "), ("http://", "https://"),

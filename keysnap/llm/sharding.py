@@ -3,13 +3,13 @@
 Documents with equal texts are linked, each to all others of its group; a link between two shards
 is a cut edge. Every document starts with a label, dealt out evenly. In each round a group's label
 counts (map-side combined: a group of any size is 40 rows at most) give the label that most
-neighbours hold; parts of the group that hold another label join back to it and move there as
-far as the target's quota goes. What does not fit stays and tries again in the next round, with
+neighbours hold, or for a group beyond a quota as many such labels as it needs; parts of the group
+that hold another label join back to it and move there as far as the target's quota goes. What does not fit stays and tries again in the next round, with
 the full targets left out. Rounds end when nothing moves.
 
 The law is ``rows``: numbers of documents per shard at most one apart. After the last round
-documents are numbered in the order of their labels, groups side by side, and dealt out by
-quotas, so a shard's boundary cuts one group at most.
+documents are numbered in the order of their labels, groups side by side: linked ones keep their
+label up to its quota, single ones and the rest fill what is left.
 
 Quotas are enforced in ``buckets`` (by hash of the group), so a round's running sums are spread
 over shards times buckets. Numbering is by range partitions. No group, however large, meets in one
@@ -40,15 +40,25 @@ def _propagate(parts: DataFrame, quota: int, buckets: int, rounds: int) -> DataF
         held = state.groupBy("label").agg(F.sum("n").alias("held"))  # one row per shard
         room = F.broadcast(held.where(F.col("held") >= quota).select(F.col("label").alias("full")))
         counts = state.groupBy("group", "label").agg(F.sum("n").alias("n"))
-        # A full shard is no target, except for the parts that are there.
+        # A group's labels (as many as shards, at most) by what they hold; a full shard comes last.
+        liked = F.struct(F.col("full").isNull(), "n", (-F.col("label")).alias("low"))
         best = stored(
             counts.join(room, counts["label"] == F.col("full"), "left")
-            .groupBy("group").agg(F.max(F.struct(F.col("full").isNull(), "n", (-F.col("label")).alias("low"))).alias("b"))
-            .select("group", (-F.col("b.low")).alias("target")),
+            .groupBy("group").agg(F.sort_array(F.collect_list(liked), asc=False).alias("liked"), F.sum("n").alias("members"))
+            .select("group", "members", F.transform("liked", lambda x: -x["low"]).alias("liked")),
             "targets",
         )
-        wanted = state.join(best, "group").withColumn("moves", (F.col("label") != F.col("target")).cast("int"))
-        order = Window.partitionBy("target", bucket).orderBy("moves", F.desc("n"), "group", "first")
+        # A group that exceeds a shard fills as many as it needs, the labels it likes best first.
+        in_group = Window.partitionBy("group").orderBy(F.array_position("liked", F.col("label")), "first")
+        before = F.sum("n").over(in_group.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+        wanted = (
+            state.join(best, "group")
+            .withColumn("target", F.get("liked", F.floor(before / quota).cast("int")))
+            .withColumn("target", F.coalesce("target", "label"))
+            .withColumn("moves", (F.col("label") != F.col("target")).cast("int"))
+        )
+        # Large groups first: what they crowd out finds its label full and leaves in the next round.
+        order = Window.partitionBy("target", bucket).orderBy(F.desc("members"), "moves", F.desc("n"), "group", "first")
         filled = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))
         fits = filled <= -(-quota // buckets)
         moved = stored(
@@ -64,15 +74,31 @@ def _propagate(parts: DataFrame, quota: int, buckets: int, rounds: int) -> DataF
     return state
 
 
-def shard_of(rank: Column, total: int, shards: int) -> tuple[Column, Column]:
-    """(shard, slot) of a rank: the first ``total % shards`` shards take one more."""
-    quota, more = divmod(total, shards)
-    large = more * (quota + 1)
-    behind = rank - F.lit(large)
-    in_large = rank < large
-    shard = F.when(in_large, F.floor(rank / (quota + 1))).otherwise(more + F.floor(behind / max(quota, 1)))
-    slot = F.when(in_large, rank % (quota + 1)).otherwise(behind % max(quota, 1))
-    return shard.cast("int"), slot.cast("long")
+def _dealt(ranked: DataFrame, loads: dict[int, tuple[int, int]], total: int, shards: int) -> tuple[Column, Column]:
+    """(shard, slot) of rows numbered by label, linked ones first.
+
+    ``loads`` has the rows and the linked rows of each label. Linked rows keep their label up to its
+    quota; the others, in order, fill what is left. All tables here have one entry per shard.
+    """
+    quota = [total // shards + (s < total % shards) for s in range(shards)]
+    rows = [loads.get(s, (0, 0)) for s in range(shards)]
+    keep = [min(linked, q) for (_, linked), q in zip(rows, quota)]
+    starts, fillers, gaps = [0], [0], [0]
+    for (n, _), k, q in zip(rows, keep, quota):
+        starts.append(starts[-1] + n)
+        fillers.append(fillers[-1] + n - k)
+        gaps.append(gaps[-1] + q - k)
+    at = lambda values, i: F.get(F.array(*[F.lit(v) for v in values]), i).cast("long")
+    label = F.col("label")
+    place = F.col("rank") - at(starts, label)
+    stays = place < at(keep, label)
+    filler = at(fillers, label) + place - at(keep, label)
+    # The shard whose gap holds the filler: as many as have their gap's end before it.
+    ends = F.array(*[F.lit(g).cast("long") for g in gaps[1:]])
+    other = F.size(F.filter(ends, lambda end: end <= filler))
+    shard = F.when(stays, label).otherwise(other).cast("int")
+    slot = F.when(stays, place).otherwise(at(keep, other) + filler - at(gaps, other)).cast("long")
+    return shard, slot
 
 
 def assign_shards(
@@ -103,7 +129,8 @@ def assign_shards(
         )
     )
     rank = numbered(placed, ["label", "single", "group", "row"], "ranked")
-    shard, slot = shard_of(F.col("rank"), total, shards)
+    by_label = rank.groupBy("label").agg(F.count("*").alias("n"), F.count_if(~F.col("single")).alias("linked")).collect()
+    shard, slot = _dealt(rank, {r["label"]: (r["n"], r["linked"]) for r in by_label}, total, shards)
     return rank.select(
         F.col("id").alias(doc_id), "size", "text_crc32", F.lit("rows").alias("law"), shard.alias("shard"),
         slot.alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "label",

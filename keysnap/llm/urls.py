@@ -43,19 +43,25 @@ RULES = (
     UrlRule("allow", "com/fr/"), UrlRule("block", "com/de/"),
 )
 
-# The labelled URLs: invented sites. Paths are shared, so that hosts and telling paths decide.
-BLOCKED_SITES = (
-    "cheap-pills", "spam-farm", "casino-bonus", "free-money", "hot-singles", "win-prizes", "adult-cams",
-    "replica-watches", "payday-loans", "warez-crack", "buy-viagra", "bet-slots", "click-rewards",
-    "miracle-diet", "link-farm", "pills-online", "poker-jackpot", "xxx-videos",
+# The labelled URLs: invented sites of two words each. Paths are shared, so that hosts decide.
+BLOCKED_WORDS = (
+    "cheap", "pills", "casino", "bonus", "free", "money", "adult", "cams", "spam", "farm", "win", "prize", "bets", "slots",
+    "ads", "track", "click", "viagra", "payday", "loans", "warez", "crack", "poker", "jackpot", "xxx", "hot", "singles",
 )
-ALLOWED_SITES = (
-    "thenation", "theother", "station-news", "weather-report", "river-museum", "open-science", "city-library",
-    "garden-notes", "history-review", "thunder-mountain", "northern-times", "teaching-math", "healthy-cooking",
-    "writers-forum", "another-world", "edition", "tradition", "thebest-recipes", "travelling-there", "shore-walks",
-    "erosion-lab", "reading-room", "interaction", "painting-hints", "orchard", "heritage", "treatment-guide",
-    "sound-archive", "answers", "chess-club", "enterprise-docs", "heron-watch", "island-ferries", "lessons",
+ALLOWED_WORDS = (
+    "nation", "other", "weather", "station", "river", "museum", "science", "library", "garden", "history", "thunder",
+    "mountain", "northern", "times", "teaching", "math", "cooking", "writers", "another", "world", "edition", "tradition",
+    "recipes", "travelling", "there", "shore", "walks", "erosion", "reading", "interaction", "painting", "orchard", "heritage",
+    "treatment", "sound", "answers", "chess", "enterprise", "heron", "island", "lessons", "the", "then", "thin", "these",
 )
+STEPS = (1, 2, 5, 9)  # each word goes with those so many places behind it
+
+
+def _sites(words: Sequence[str]) -> list[str]:
+    return [f"{w}-{words[(i + s) % len(words)]}" if s % 2 else f"{w}{words[(i + s) % len(words)]}"
+            for i, w in enumerate(words) for s in STEPS]
+
+
 PARTS = ("", "www.", "blog.", "m.")
 ENDS = ("example.com", "example.net", "example.org")
 PATHS = ("/", "/en/12", "/fr/825.html", "/de/7/", "/es/431", "/en/9001")
@@ -64,12 +70,11 @@ PATHS = ("/", "/en/12", "/fr/825.html", "/de/7/", "/es/431", "/en/9001")
 def labelled_urls() -> list[tuple[str, int]]:
     """(url, label), 1 for a URL to block; sites, parts, ends and paths are dealt out in turn."""
     rows = []
-    for label, sites in ((1, BLOCKED_SITES), (0, ALLOWED_SITES)):
-        for i, site in enumerate(sites):
-            for j, part in enumerate(PARTS):
-                for k in range(len(ENDS)):
-                    path = PATHS[(i + j + k) % len(PATHS)]
-                    rows.append((f"https://{part}{site}.{ENDS[k]}{path}", label))
+    for label, words in ((1, BLOCKED_WORDS), (0, ALLOWED_WORDS)):
+        for i, site in enumerate(_sites(words)):
+            for k, end in enumerate(ENDS):
+                path = PATHS[(i + i // len(PATHS) + k) % len(PATHS)]
+                rows.append((f"https://{PARTS[(i + k) % len(PARTS)]}{site}.{end}{path}", label))
     return rows
 
 
