@@ -12,21 +12,45 @@ _BITS = (21, 21, 22)
 PIECES = ["hash_0", "hash_1", "hash_2"]
 
 
-def _hashable(name: str, dtype: T.DataType) -> Column:
-    col = F.col(f"`{name}`")
+def _canonical(value: Column, dtype: T.DataType) -> Column:
+    """A form of the value that can be hashed: maps become sorted arrays of their entries, and
+    each value inside an array, struct or map is preceded by whether it is null."""
     if isinstance(dtype, T.MapType):
-        return F.array_sort(F.map_entries(col))
-    return col
+        entries = F.transform(
+            F.map_entries(value),
+            lambda e: F.struct(
+                _canonical(e["key"], dtype.keyType).alias("key"),
+                e["value"].isNull().alias("null"),
+                _canonical(e["value"], dtype.valueType).alias("value"),
+            ),
+        )
+        return F.array_sort(entries)
+    if isinstance(dtype, T.ArrayType):
+        return F.transform(
+            value,
+            lambda x: F.struct(
+                x.isNull().alias("null"), _canonical(x, dtype.elementType).alias("value")
+            ),
+        )
+    if isinstance(dtype, T.StructType):
+        parts = []
+        for i, field in enumerate(dtype.fields):
+            inner = value.getField(field.name)
+            parts.append(inner.isNull().alias(f"n{i}"))
+            parts.append(_canonical(inner, field.dataType).alias(f"v{i}"))
+        return F.struct(*parts) if parts else value.isNull()
+    return value
 
 
 def row_hash(schema: T.StructType) -> Column:
     """Hash of all columns. Hashing skips nulls, so a flag before each value says whether there
-    is one: values that change places with nulls change the hash."""
+    is one: values that change places with nulls, at any depth, change the hash."""
     if not schema.fields:
         return F.lit(0).cast("bigint")
     parts: list[Column] = []
     for field in schema.fields:
-        parts += [F.col(f"`{field.name}`").isNull(), _hashable(field.name, field.dataType)]
+        column = F.col("`" + field.name.replace("`", "``") + "`")
+        parts += [column.isNull(), _canonical(column, field.dataType)]
     return F.xxhash64(*parts)
 
 

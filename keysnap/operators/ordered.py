@@ -1,26 +1,22 @@
 """Ordered computations (previous row, running maximum, row number) over large groups.
 
 A window partitioned by table alone would put a table with a third of all rows into one task.
-Here the sort order is cut into chunks. Each chunk is its own window partition, and what a chunk
-needs to know about the ones before it comes from a summary with one row per (group, chunk).
+Here rows are dealt out by ranges of the order, and each range is a chunk: a window partition of
+its own. What a chunk needs to know about the ones before it comes from a summary with one row
+per (group, chunk). The plan is the same for inputs of every size; keys and groups may be null.
 
-Building one of these plans runs one bounded job: the keys with the smallest hashes are fetched
-as a uniform sample. If that sample turns out to be the whole input, the input is small and a
-single chunk is used.
+The dealt rows are kept in the shared folder, so windows and summary see the same chunks.
 """
 
 from __future__ import annotations
 
-import json
-from base64 import b64encode
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-SAMPLE_KEYS = 4096
-CHUNKS = 64
+from keysnap.session import cut
+
 CHUNK = "order_chunk"
 
 
@@ -42,56 +38,19 @@ class Order:
             out.append(F.col(name))
         return out
 
-    def key(self) -> Column:
-        cols = self.sort_columns(self.group + self.by)
-        return F.struct(*[c.alias(f"k{i}") for i, c in enumerate(cols)])
-
     def within(self) -> Column:
         cols = self.sort_columns(self.by)
         return F.struct(*[c.alias(f"k{i}") for i, c in enumerate(cols)])
 
 
-def with_chunks(
-    df: DataFrame, order: Order, sample_keys: int = SAMPLE_KEYS, chunks: int = CHUNKS
-) -> tuple[DataFrame, bool]:
-    """Adds the chunk number; also says whether there is more than one chunk.
+def with_chunks(df: DataFrame, order: Order, chunks: int | None = None) -> DataFrame:
+    """Adds the number of the range that a row's key lies in, counted in key order.
 
-    Runs a job that brings at most ``sample_keys`` keys to the driver.
+    As many ranges as shuffle partitions, unless ``chunks`` says otherwise.
     """
-    keys = df.select(order.key().alias("key"))
-    hashed = keys.select(F.xxhash64("key").alias("h"), "key")
-    picked = [tuple(r.key) for r in hashed.orderBy("h", "key").limit(sample_keys).collect()]
-    if len(picked) < sample_keys:
-        return df.withColumn(CHUNK, F.lit(0)), False
-    picked.sort()
-    step = len(picked) / chunks
-    bounds = sorted({picked[int(i * step)] for i in range(1, chunks)})
-    return _with_place(df, order, bounds, keys.schema["key"].dataType), True
-
-
-def _with_place(df: DataFrame, order: Order, bounds: list[tuple], key_type: T.StructType):
-    """Adds the number of bounds at or before each row's key, by binary search: one projection
-    per halving, all within one stage of generated code. Beyond the last bound the lookup gives
-    null, which counts as "not reached"."""
-    literal = _literal(bounds, key_type)
-    out = df.withColumns({"order_key": order.key(), CHUNK: F.lit(0)})
-    step = 1 << (len(bounds).bit_length() - 1)
-    while step:
-        place = F.col(CHUNK)
-        reached = F.get(literal, place + F.lit(step - 1)) <= F.col("order_key")
-        out = out.withColumn(CHUNK, F.when(reached, place + step).otherwise(place))
-        step //= 2
-    return out.drop("order_key")
-
-
-def _literal(bounds: list[tuple], key_type: T.StructType) -> Column:
-    """The bounds as one constant; Spark folds the parsing away when it plans."""
-
-    def plain(value):
-        return b64encode(value).decode("ascii") if isinstance(value, (bytes, bytearray)) else value
-
-    rows = [dict(zip(key_type.names, map(plain, b))) for b in bounds]
-    return F.from_json(F.lit(json.dumps(rows)), T.ArrayType(key_type))
+    n = chunks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = order.sort_columns(order.group + order.by)
+    return cut(df.repartitionByRange(n, *keys).withColumn(CHUNK, F.spark_partition_id()))
 
 
 def _windows(order: Order):
@@ -100,33 +59,39 @@ def _windows(order: Order):
     return local, across
 
 
+def _join_carry(rows: DataFrame, carry: DataFrame, order: Order) -> DataFrame:
+    """Adds the columns of ``carry``, one row per (group, chunk); groups may be null."""
+    keys = [*order.group, CHUNK]
+    own = [f"carry_{k}" for k in keys]
+    renamed = carry.withColumnsRenamed(dict(zip(keys, own)))
+    same = F.lit(True)
+    for key, name in zip(keys, own):
+        same = same & F.col(key).eqNullSafe(F.col(name))
+    return rows.join(renamed, same).drop(*own)
+
+
 def with_previous(df: DataFrame, order: Order, column: str, out: str, **sizes: int) -> DataFrame:
     """Adds ``column`` of the previous row of the same group; null in the first row."""
-    chunked, many = with_chunks(df, order, **sizes)
+    chunked = with_chunks(df, order, **sizes)
     local, across = _windows(order)
-    here = F.lag(column).over(local)
-    if not many:
-        return chunked.withColumn(out, here).drop(CHUNK)
+    first = F.row_number().over(local) == 1
     carry = (
         chunked.groupBy(*order.group, CHUNK)
         .agg(F.max_by(column, order.within()).alias("last"))
         .withColumn("carry", F.lag("last").over(across))
         .drop("last")
     )
-    return (
-        chunked.withColumn("here", here)
-        .join(carry, [*order.group, CHUNK])
-        .withColumn(out, F.coalesce("here", "carry"))
-        .drop("here", "carry", CHUNK)
-    )
+    placed = chunked.withColumns({"here": F.lag(column).over(local), "first": first})
+    joined = _join_carry(placed, carry, order)
+    # The previous value itself may be null: only a chunk's first row asks the chunk before.
+    value = F.when(F.col("first"), F.col("carry")).otherwise(F.col("here"))
+    return joined.withColumn(out, value).drop("here", "first", "carry", CHUNK)
 
 
 def _running(df, order, value, out, aggregate, merge, sizes) -> DataFrame:
-    chunked, many = with_chunks(df, order, **sizes)
+    chunked = with_chunks(df, order, **sizes)
     local, across = _windows(order)
     here = aggregate(value).over(local.rowsBetween(Window.unboundedPreceding, 0))
-    if not many:
-        return chunked.withColumn(out, here).drop(CHUNK)
     carry = (
         chunked.groupBy(*order.group, CHUNK)
         .agg(aggregate(value).alias("whole"))
@@ -136,12 +101,8 @@ def _running(df, order, value, out, aggregate, merge, sizes) -> DataFrame:
         )
         .drop("whole")
     )
-    return (
-        chunked.withColumn("here", here)
-        .join(carry, [*order.group, CHUNK])
-        .withColumn(out, merge(F.col("here"), F.col("carry")))
-        .drop("here", "carry", CHUNK)
-    )
+    joined = _join_carry(chunked.withColumn("here", here), carry, order)
+    return joined.withColumn(out, merge(F.col("here"), F.col("carry"))).drop("here", "carry", CHUNK)
 
 
 def with_running_max(df: DataFrame, order: Order, value: Column, out: str, **sizes: int):

@@ -95,3 +95,23 @@ def test_checksum(spark):
     assert checksum(one.where("a = 1")) + checksum(one.where("a = 2")) == checksum(one)
     hashed = [r[0] % 2**64 for r in one.select(row_hash(one.schema)).collect()]
     assert checksum(one) == sum(hashed)
+
+
+def test_nested_values_are_hashed_whole(spark):
+    """Maps at any depth, and nulls that move inside arrays, structs and maps."""
+    from keysnap.functions.checksum import row_hash
+
+    ddl = "a array<map<string,int>>, b array<int>, c struct<x:int,y:array<string>>, d map<string,array<int>>"
+    base = ([{"k": 1, "m": 2}, None], [1, None, 2], (1, ["u", None]), {"q": [1, None], "r": None})
+    same = ([{"m": 2, "k": 1}, None], [1, None, 2], (1, ["u", None]), {"r": None, "q": [1, None]})
+    others = [
+        (base[0], [None, 1, 2], base[2], base[3]),
+        (base[0], base[1], (1, [None, "u"]), base[3]),
+        (base[0], base[1], (None, ["u", None]), base[3]),
+        (base[0], base[1], base[2], {"q": [None, 1], "r": None}),
+        ([None, {"k": 1, "m": 2}], base[1], base[2], base[3]),
+        (None, base[1], base[2], base[3]),
+    ]
+    df = spark.createDataFrame([base, same, *others], ddl)
+    got = [r.h for r in df.select(row_hash(df.schema).alias("h")).collect()]
+    assert got[0] == got[1] and len(set(got)) == len(others) + 1

@@ -11,8 +11,8 @@ from keysnap.operators.ordered import (
     with_running_sum,
 )
 
-SMALL = {"sample_keys": 40, "chunks": 8}
-ONE = {"sample_keys": 100_000, "chunks": 8}
+SMALL = {"chunks": 8}
+ONE = {"chunks": 1}
 
 
 def inside(inner, outer):
@@ -112,9 +112,9 @@ def test_hot_table_is_cut_into_chunks(spark):
     rows = [("hot", f"{i:05d}", f"{i + 1:05d}") for i in range(2000)] + [("cold", "", "")]
     df = spark.createDataFrame(rows, DDL)
     order = Order(("table_name",), ("start_key", "end_key"), ends=("end_key",))
-    chunked, many = with_chunks(df, order, 256, 16)
+    chunked = with_chunks(df, order, 16)
     sizes = [r["count"] for r in chunked.groupBy("table_name", CHUNK).count().collect()]
-    assert many and len(sizes) >= 16 and max(sizes) < 400
+    assert len(sizes) >= 16 and max(sizes) < 400
 
 
 def test_running_functions(spark):
@@ -172,3 +172,22 @@ def test_binary_keys(spark, sizes):
         for r in coverage_issues(cdf, **sizes).collect()
     ]
     assert sorted(found, key=repr) == expected_issues(as_text)
+
+
+@pytest.mark.parametrize("sizes", [SMALL, ONE, {}])
+def test_null_groups_and_keys(spark, sizes):
+    """Nulls sort first and are a group of their own, whatever the number of chunks."""
+    rng = random.Random(11)
+    data = [(rng.choice(["a", "b", None]), None if i % 50 == 0 else i, rng.choice([1, 2, None])) for i in range(2000)]
+    data = list({(g, i): (g, i, v) for g, i, v in data}.values())
+    df = spark.createDataFrame(data, "g string, i int, v int")
+    order = Order(("g",), ("i",))
+    out = with_row_number(with_previous(df, order, "v", "p", **sizes), order, "n", **sizes)
+    got = {(r.g, r.i): (r.p, r.n) for r in out.collect()}
+    assert len(got) == len(data)
+    for g in ("a", "b", None):
+        before = None
+        rows = sorted((d for d in data if d[0] == g), key=lambda d: (d[1] is not None, d[1]))
+        for n, (_, i, v) in enumerate(rows):
+            assert got[g, i] == (before, n)
+            before = v
