@@ -64,6 +64,36 @@ def missing_slices(dirs: DataFrame, manifest: DataFrame) -> DataFrame:
     )
 
 
+def restore_files_check(files: DataFrame, listing: DataFrame) -> DataFrame:
+    """Files of a snapshot's slices that are ``missing``, of another ``length``, or ``unknown``.
+
+    ``files``: ``table_name, slice_id, rel_path, length, is_dir`` of what was copied; ``listing``:
+    ``table_name, rel_path, length, is_dir`` of what is there, with paths within the table's
+    directory. What lies outside of the slices (descriptors) is not judged. One shuffle of both
+    sides by path; a slice with very many files is spread over all tasks.
+    """
+    had = files.select(
+        "table_name", "rel_path", "slice_id", F.col("length").alias("had"), F.col("is_dir").alias("was_dir")
+    ).distinct()
+    slice_id = F.split("rel_path", "/").getItem(1)
+    has = listing.select("table_name", "rel_path", F.col("length").alias("has"), "is_dir")
+    both = had.join(has, ["table_name", "rel_path"], "full").withColumn(
+        "slice_id", F.coalesce("slice_id", slice_id)
+    )
+    known = files.select("table_name", "slice_id").distinct()
+    problem = (
+        F.when(F.col("is_dir").isNull(), "missing")
+        .when(F.col("was_dir").isNull(), F.when(~F.col("is_dir"), "unknown"))
+        .when(F.col("was_dir") != F.col("is_dir"), "missing")
+        .when(~F.col("is_dir") & (F.col("had") != F.col("has")), "length")
+    )
+    return (
+        both.withColumn("problem", problem).where("problem is not null")
+        .join(known, ["table_name", "slice_id"], "left_semi")
+        .select("table_name", "slice_id", "rel_path", "problem")
+    )
+
+
 def restore_catalog_rows(manifest: DataFrame) -> DataFrame:
     """Catalog rows of restored slices: online and not split, whatever they were when copied, as
     a split parent's data was copied from the parent. No server holds them yet."""

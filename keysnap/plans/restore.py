@@ -13,7 +13,8 @@ from pyspark.sql import types as T
 from keysnap.functions.checksum import combine_pieces, hash_pieces, row_hash, sum_pieces
 from keysnap.functions.names import parse_snapshot_names
 from keysnap.operators.restore import (
-    missing_slices, restore_catalog_rows, restore_checks, restore_manifest_check, snapshot_tables,
+    missing_slices, restore_catalog_rows, restore_checks, restore_files_check, restore_manifest_check,
+    snapshot_tables,
 )
 from keysnap.session import cut, local_frame
 from keysnap.sources.files import copy_files
@@ -80,8 +81,15 @@ def _restore_rows(snapshot: Snapshot, table: str, stage: str, schema: T.StructTy
 
 
 def _restore_files(snapshot: Snapshot, table: str, stage: str, parallelism: int | None) -> None:
-    """Stages the table's files and directories as they are."""
-    listed = list_files(snapshot.spark, [f"{snapshot.data}/{table}"], recursive=True)
+    """Stages the table's files and directories, once all are there with the lengths copied."""
+    if not exists(snapshot.spark, snapshot.files_path):
+        raise ValueError("the snapshot has no list of its files")
+    listed = cut(list_files(snapshot.spark, [f"{snapshot.data}/{table}"], recursive=True))
+    wanted = snapshot.files().where(F.col("table_name") == table)
+    there = listed.withColumn("table_name", F.lit(table))
+    wrong = restore_files_check(wanted, there).orderBy("rel_path").head()
+    if wrong:
+        raise ValueError(f"slice {wrong.slice_id}: {wrong.rel_path} is {wrong.problem}")
     plan = listed.select(
         F.col("path").alias("source_path"),
         F.concat(F.lit(stage), "rel_path").alias("dest_path"),
@@ -122,7 +130,7 @@ def _restore_one(
     except Exception as e:  # other tables go on
         if in_place:
             remove_tree(spark, final)
-        return (table, "failed", None, f"{type(e).__name__}: {str(e)[:500]}")
+        return (table, "failed", None, f"{type(e).__name__}: {e}")
     finally:
         remove_tree(spark, stage.rsplit("/", 1)[0])
     if not retain_original:

@@ -89,7 +89,8 @@ class FileCopier:
         dirs = local_frame(
             spark, [(base, f"{base}/{t}") for t in self.names], "root string, path string"
         )
-        found = list_dirs(dirs, self.parallelism).where("error is null")
+        # A directory that bears the name of a descriptor is none.
+        found = list_dirs(dirs, self.parallelism).where("error is null and not is_dir")
         listed = found.withColumn("table_name", F.element_at(F.split("path", "/"), -2))
         newest = cut(latest_descriptor(listed))
         name = F.substring_index("path", "/", -1)
@@ -97,7 +98,9 @@ class FileCopier:
             F.col("path").alias("source_path"),
             F.concat_ws("/", F.lit(snapshot.data), "table_name", name).alias("dest_path"),
         )
-        cut(copy_files(plan, self.parallelism))
+        failed = cut(copy_files(plan, self.parallelism)).where("status = 'failed'").head()
+        if failed:
+            raise SnapshotError(f"descriptor {failed.source_path}: {failed.error}")
         # Files are opaque here: the descriptor is copied as it is, and names no columns.
         newest.select(
             "table_name",
@@ -111,7 +114,8 @@ class FileCopier:
     def copy(self, work: DataFrame, snapshot: Snapshot, attempt: int) -> None:
         listed = list_slice_files(work, self.root, self.families, parallelism=self.parallelism)
         outcomes = copy_slice_files(
-            listed, self.root, snapshot.data, attempt, self.fallback_roots, self.parallelism
+            listed, self.root, snapshot.data, attempt, self.fallback_roots, self.parallelism,
+            snapshot.files_path,
         )
         outcomes.write.mode("append").parquet(snapshot.outcomes_path)
 

@@ -281,10 +281,9 @@ SQL: dict[str, str] = {
     select * from archive where start_ms > {MARK}
       and name not in (select name from ({new('logs', 'archive')}) n)""",
     "empty_days": """
-    select day from (select distinct strftime(o_orderdate, '%Y-%m-%d') as day from {orders}) d
+    select day from (select distinct strftime(o_orderdate - interval 30 day, '%Y-%m-%d') as day from {orders}) d
     where day <= '2000-01-01' and day not in (
-      select strftime(l_shipdate, '%Y-%m-%d') from {lineitem}
-      where l_returnflag = 'R' and l_quantity >= 50)""",
+      select strftime(l_shipdate, '%Y-%m-%d') from {lineitem})""",
     "resolve_source": """
     select f.rel_path, f.path, f.present,
            case when f.present then f.path else c.path end as source_path
@@ -318,6 +317,10 @@ SQL: dict[str, str] = {
            true as has_data, cast(0 as bigint) as problems
     from slices s where s.table_name = 'orders'""",
     "copy_files": "select * from {orders}",
+    "restore_files_check": """
+    select table_name, slice_id, slice_no = 0 as all_missing,
+           cast(case when slice_no = 1 then 1 else 0 end as bigint) as changed
+    from slices where table_name = 'orders'""",
 }
 
 

@@ -17,9 +17,10 @@ from keysnap.plans.restore import restore_tables
 from keysnap.plans.snapshot import FileCopier, RowCopier, take_snapshot
 from keysnap.queries.fixtures import N_SLICES, WIDTH, fixture, table
 from keysnap.schema import CATALOG_COLS, SLICE, SLICE_COLS
-from keysnap.session import cut, fresh_dir
+from keysnap.session import cut, fresh_dir, local_frame
 from keysnap.sources import listing
 from keysnap.sources.files import copy_files as copy_files_job
+from keysnap.sources.files import delete_paths as delete_paths_job
 from keysnap.sources.rows import KeyedTable, read_slices
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -522,13 +523,13 @@ def logs_retained(spark, sf):
 
 @query
 def empty_days(spark, sf):
-    """Directories named after order days (and some that name no day), holding as files the
-    largest returned line items shipped on that day."""
+    """Directories named after the days thirty days before orders (and some that name no day),
+    holding as files the line items shipped on that day; the earliest are empty."""
     orders, lines = table(spark, sf, "orders"), table(spark, sf, "lineitem")
-    days = orders.select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("day")).unionByName(
+    days = orders.select(F.date_format(F.date_sub("o_orderdate", 30), "yyyy-MM-dd").alias("day")).unionByName(
         orders.select(F.col("o_orderpriority").alias("day"))
     )
-    files = lines.where("l_returnflag = 'R' and l_quantity >= 50").select(
+    files = lines.select(
         F.date_format("l_shipdate", "yyyy-MM-dd").alias("day"), "l_orderkey"
     )
     return logs.empty_days(days.distinct(), files, EMPTY_DAY_MARK)
@@ -614,6 +615,32 @@ def archive_files(spark, sf):
 # Files
 
 
+@query
+def restore_files_check(spark, sf):
+    """A snapshot of a file tree from which one slice is deleted and a file of another is cut:
+    how many of each slice's files a restore finds missing or changed."""
+    root, slices, families = file_tree(spark, sf)
+    copier = FileCopier(root, ["orders"], families)
+    snapshot = take_snapshot(spark, copier, lambda _: slices, fresh_dir(spark, "files"))
+    place = f"{snapshot.data}/orders"
+    gone, changed = [r.slice_id for r in slices.orderBy("start_key").limit(2).collect()]
+    # The store's own marker file, which is empty, takes the place of one data file.
+    files = snapshot.files().where(~F.col("is_dir"))
+    victim = files.where((F.col("slice_id") == changed) & (F.col("length") > 0)).agg(F.min("rel_path").alias("p")).head().p
+    cut(delete_paths_job(local_frame(spark, [(f"{place}/{gone}",), (f"{place}{victim}",)], "path string")))
+    plan = [(f"{place}/.tableinfo.1", f"{place}{victim}")]
+    cut(copy_files_job(local_frame(spark, plan, "source_path string, dest_path string")))
+    there = listing.list_files(spark, [place], recursive=True).withColumn("table_name", F.lit("orders"))
+    found = restore.restore_files_check(files, there)
+    return (
+        files.join(found.drop("slice_id"), ["table_name", "rel_path"], "left").groupBy("table_name", "slice_id")
+        .agg(
+            (F.count_if(F.col("problem") == "missing") == F.count("*")).alias("all_missing"),
+            F.count_if(F.col("problem") == "length").alias("changed"),
+        )
+    )
+
+
 def file_tree(spark, sf) -> tuple[str, DataFrame, DataFrame]:
     """Orders as files, ``root/orders/slice/family/file``: its root, slices and families."""
     root, written = fresh_dir(spark, "tree"), fresh_dir(spark, "written")

@@ -57,6 +57,11 @@ COPY_OUTCOME = _struct(
     "bytes bigint, error string"
 )
 
+# One row for each file (or empty directory) of a slice that was copied as files.
+FILE_ENTRY = _struct(
+    "table_name string, slice_id string, attempt int, rel_path string, length bigint, is_dir boolean"
+)
+
 DESCRIPTOR = _struct(
     "table_name string, schema_json string, key_column string, key_width int"
 )

@@ -121,19 +121,21 @@ def delete_paths(paths: DataFrame, parallelism: int | None = None) -> DataFrame:
 def copy_slice_files(
     listed: DataFrame, root: str, dest: str, attempt: int = 1,
     fallback_roots: Sequence[str] = (), parallelism: int | None = None,
+    files_out: str | None = None,
 ) -> DataFrame:
     """Copies the files of slices; a slice counts only if all of its files arrived.
 
     ``listed`` comes from :func:`~keysnap.sources.listing.list_slice_files`. Work is dealt out by
     file, so a slice with very many files is copied by many tasks. Earlier copies of the slices
-    are deleted first, and those of failed slices afterwards. Runs jobs; returns OUTCOME rows.
+    are deleted first, and those of failed slices afterwards. Runs jobs; returns OUTCOME rows, and
+    appends a FILE_ENTRY row for each file copied to ``files_out``.
     """
     base, target = root.rstrip("/"), dest.rstrip("/")
     listed = cut(listed)
     folder = F.concat_ws("/", F.lit(target), "table_name", "slice_id")
     cut(delete_paths(listed.select(folder.alias("path")).distinct(), parallelism))
     broken = listed.groupBy(*SLICE_COLS).agg(F.max("error").alias("list_error"))
-    rel = F.substring("path", len(base) + 1, 1 << 30)
+    rel = F.substring(F.col("path"), F.lit(len(base) + 1), F.length("path"))
     plan = (
         listed.where("path is not null")
         .join(broken.where("list_error is null"), SLICE_COLS, "left_semi")
@@ -148,10 +150,19 @@ def copy_slice_files(
         )
     )
     copied = cut(copy_files(plan, parallelism))
+    arrived = plan.select(*SLICE_COLS, "source_path", "dest_path", "is_dir").join(
+        copied.drop("dest_path"), "source_path"
+    )
+    if files_out:
+        # Paths within the table's directory, as a restore lists them.
+        skipped = F.length("table_name") + F.lit(len(target) + 2)
+        arrived.where("status = 'copied'").select(
+            "table_name", "slice_id", F.lit(attempt).alias("attempt"),
+            F.substring(F.col("dest_path"), skipped, F.length("dest_path")).alias("rel_path"),
+            F.col("bytes").alias("length"), "is_dir",
+        ).write.mode("append").parquet(files_out)
     per_slice = (
-        plan.select(*SLICE_COLS, "source_path", "is_dir")
-        .join(copied, "source_path")
-        .groupBy(*SLICE_COLS)
+        arrived.groupBy(*SLICE_COLS)
         .agg(
             F.count_if((F.col("status") == "copied") & ~F.col("is_dir")).alias("files"),
             F.sum("bytes").alias("bytes"),

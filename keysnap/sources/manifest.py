@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keysnap.schema import DESCRIPTOR, ISSUE, OUTCOME, SLICE_COLS, SNAPSHOT
+from keysnap.schema import DESCRIPTOR, FILE_ENTRY, ISSUE, OUTCOME, SLICE_COLS, SNAPSHOT
 from keysnap.sources.storage import exists
 
 
@@ -42,6 +42,16 @@ class Snapshot:
     def copied(self) -> DataFrame:
         return self.manifest().select(*SLICE_COLS)
 
+    @property
+    def files_path(self) -> str:
+        return f"{self.path}/files"
+
+    def files(self) -> DataFrame:
+        """Every file of the slices that the snapshot holds; only where files were copied."""
+        listed = self.spark.read.schema(FILE_ENTRY).parquet(self.files_path)
+        held = self.manifest().select("table_name", "slice_id", "attempt")
+        return listed.join(held, ["table_name", "slice_id", "attempt"], "left_semi")
+
     def descriptors(self) -> DataFrame:
         return self.spark.read.schema(DESCRIPTOR).parquet(f"{self.path}/descriptors")
 

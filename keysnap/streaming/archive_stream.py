@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors.exceptions.captured import CapturedException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -18,27 +21,27 @@ def archive_stream(
     stats: str | None = None,
     days: int = 0,
     every: str = "10 minutes",
-    retries: int = 3,
+    retries: int | None = 3,
     once: bool = False,
     parallelism: int | None = None,
 ) -> StreamingQuery:
     """Runs :func:`archive_once` every ``every``, counted from start to start.
 
     The stream only gives the beat. A file stream would not do, as it never gives a file again
-    that has grown. A run cut short by an I/O error is repeated at once, up to ``retries``
-    times. RUN_STATS rows are kept below ``stats``, one directory per run, so that a repeated
+    that has grown. A run cut short by an error of a job or of the file system is repeated at
+    once, up to ``retries`` times (None: for ever). RUN_STATS rows are kept below ``stats``, one directory per run, so that a repeated
     batch replaces its row. With ``once`` a single run is made.
     """
 
     def tick(_: DataFrame, batch: int) -> None:
-        for left in range(retries, -1, -1):
+        for tried in count():
             try:
                 row = archive_once(
                     spark, sources, archive, days=days, run=batch, parallelism=parallelism
                 )
                 break
-            except Exception:
-                if not left:
+            except (OSError, Py4JJavaError, CapturedException):
+                if tried == retries:
                     raise
         if stats:
             row.coalesce(1).write.mode("overwrite").parquet(f"{stats}/batch_{batch:09d}")

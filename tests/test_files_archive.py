@@ -1,10 +1,12 @@
 """Listing, copying and archiving on real directories."""
 
 import os
+import shutil
 from datetime import datetime, timedelta, timezone
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from keysnap import archive_once, archive_stream, restore_tables, take_snapshot
 from keysnap.operators.logs import archive_stats, empty_days, invalid_logs, list_logs
@@ -153,7 +155,7 @@ def test_file_snapshot_and_restore(spark, tmp_path):
     got = sorted((r.slice_id, r.attempt, r.status) for r in snap.outcomes().collect())
     assert got == [("s0", 1, "copied"), ("s1", 1, "failed"), ("s1", 2, "copied"), ("s2", 1, "copied")]
     out = restore_tables(spark, snap.path, str(tmp_path / "back")).head()
-    assert out.status == "restored"
+    assert out.status == "restored", out.error
     back = tree(tmp_path / "back/t")
     assert back[".tableinfo.0000000002"] == b"new" and ".tableinfo.0000000001" not in back
     assert back["s1/f1/file"] == b"s1s1s1" and (tmp_path / "back/t/s1/f2").is_dir()
@@ -261,3 +263,53 @@ def test_log_lists(spark):
     got = empty_days(days, held, ms(T0 + timedelta(days=1)))
     assert [r.day for r in got.collect()] == ["2024-01-02"]
     assert empty_days(days, held, None).isEmpty()
+
+
+@pytest.mark.parametrize("harm", ["slice gone", "file cut", "file gone", "file added", "none"])
+def test_file_restore_proves_completeness(spark, tmp_path, harm):
+    """A restore of files compares every path and length with what was copied."""
+    root = tmp_path / "root"
+    for s in ("s0", "s1"):
+        put(root / "t" / s / ".regioninfo", b"m")
+        for i in range(3):
+            put(root / "t" / s / "f" / f"file{i}", b"x" * 500)
+        (root / "t" / s / "g").mkdir()
+    put(root / "t" / ".tableinfo.1", b"d")
+    (root / "t" / ".tableinfo.9").mkdir()  # bears the name of a newer descriptor, but is none
+    slices = catalog(spark, [row("t", "s0", "", "m"), row("t", "s1", "m", "")])
+    copier = FileCopier(str(root), ["t"], families_of(spark, {"t": ["f", "g"]}))
+    snapshot = take_snapshot(spark, copier, lambda _: slices, str(tmp_path / "dest"))
+    assert snapshot.seal().head().verified
+    place = os.path.join(snapshot.data, "t")
+    assert os.path.isfile(os.path.join(place, ".tableinfo.1"))
+    assert snapshot.files().where("not is_dir").count() == 8
+    if harm == "slice gone":
+        shutil.rmtree(os.path.join(place, "s1"))
+    elif harm == "file cut":
+        with open(os.path.join(place, "s0", "f", "file1"), "wb") as f:
+            f.write(b"x")
+    elif harm == "file gone":
+        os.remove(os.path.join(place, "s0", "f", "file1"))
+    elif harm == "file added":
+        with open(os.path.join(place, "s0", "f", "other"), "wb") as f:
+            f.write(b"x")
+    outcome = restore_tables(spark, snapshot.path, str(tmp_path / "target")).head()
+    assert outcome.status == ("restored" if harm == "none" else "failed")
+    assert (tmp_path / "target" / "t").exists() == (harm == "none")
+
+
+def test_a_descriptor_that_cannot_be_copied_stops_the_snapshot(spark, tmp_path, monkeypatch):
+    from keysnap.plans import snapshot as plans
+
+    root = tmp_path / "root"
+    put(root / "t" / "s0" / ".regioninfo", b"m")
+    put(root / "t" / ".tableinfo.1", b"d")
+
+    def failing(plan, parallelism=None):
+        return copy_files(plan.withColumn("source_path", F.concat("source_path", F.lit("-gone"))), parallelism)
+
+    monkeypatch.setattr(plans, "copy_files", failing)
+    slices = catalog(spark, [row("t", "s0", "", "")])
+    copier = FileCopier(str(root), ["t"], families_of(spark, {"t": []}))
+    with pytest.raises(plans.SnapshotError, match="descriptor"):
+        take_snapshot(spark, copier, lambda _: slices, str(tmp_path / "dest"))
