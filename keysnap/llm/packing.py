@@ -12,7 +12,7 @@ A null text is an empty one: its only id is the end id. Repeated rows are packed
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 WINDOW = 2048
 END = 1
-CACHE = 300_000  # words whose ids a task remembers
+CACHE = 400_000  # words, and pieces of words, whose ids a process remembers
 
 
 class BestFit:
@@ -71,30 +71,85 @@ class BestFit:
         return window, offset
 
 
-def word_encoder(path: str) -> Callable[[str | None], bytes]:
-    """Text to little-endian 32-bit ids, for a tokenizer that never joins across white space.
+def _byte_letters() -> list[str]:
+    """The letter that byte-level tokenizers write for each byte: itself where it prints."""
+    prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b) if b in prints else chr(next(others)) for b in range(256)]
 
-    Words between ASCII spaces are encoded apart and remembered, up to a bound.
-    """
-    from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    known: dict[bytes, bytes] = {}
+class WordEncoder:
+    """Text to little-endian 32-bit ids, for a byte-level tokenizer whose pieces never hold white space.
+
+    The tokenizer lower-cases, splits a text into pieces and looks for merges in each piece. Words
+    and pieces met before are remembered, up to a bound, and only new pieces are given to its merge
+    model. Words whose lower case or composed form depends on neighbouring characters go through the
+    whole tokenizer.
+    """
 
-    def encode(text: str | None) -> bytes:
+    # Fixed value: the pieces of this vocabulary.
+    PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+    def __init__(self, path: str):
+        import regex
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.pieces = regex.compile(self.PIECE).findall
+        self.letters = _byte_letters()
+        self.words: dict[bytes, bytes] = {}
+        self.known: dict[str, bytes] = {}
+
+    def _piece(self, piece: str) -> bytes:
+        if not piece.isascii():
+            piece = "".join([self.letters[b] for b in piece.encode("utf-8")])
+        return np.array([t.id for t in self.model.tokenize(piece)], "<u4").tobytes()
+
+    def _word(self, word: bytes) -> bytes:
+        from unicodedata import is_normalized
+
+        text = word.decode("utf-8")
+        low = text.lower()
+        plain = text.isascii() or (len(low) == len(text) and "\u03a3" not in text and is_normalized("NFC", text))
+        if not plain or not low.isprintable() or "<|" in text:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        out, known = [], self.known
+        for piece in self.pieces(low):
+            ids = known.get(piece)
+            if ids is None:
+                if len(known) >= CACHE:
+                    known.clear()
+                ids = known[piece] = self._piece(piece)
+            out.append(ids)
+        return b"".join(out)
+
+    def __call__(self, text: str | None) -> bytes:
         words = (text or "").encode("utf-8").split()
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        if len(known) + len(new) > CACHE:
+        known = self.words
+        try:
+            return b"".join([known[w] for w in words])
+        except KeyError:
+            pass
+        if len(known) >= CACHE:
             known.clear()
-            new = list(dict.fromkeys(words))
-        for at in range(0, len(new), 1024):
-            some = new[at : at + 1024]
-            found = tokenizer.encode_batch_fast([w.decode("utf-8") for w in some], add_special_tokens=False)
-            for w, e in zip(some, found):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(known.__getitem__, words))
-
-    return encode
+        out = []
+        for w in words:
+            ids = known.get(w)
+            if ids is None:
+                ids = known[w] = self._word(w)
+            out.append(ids)
+        return b"".join(out)
+
+
+_encoders: dict[str, WordEncoder] = {}
+
+
+def word_encoder(path: str) -> WordEncoder:
+    """One for each tokenizer and process: what it has learned serves the next task too."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
 
 
 PIECES = T.StructType(

@@ -210,6 +210,16 @@ def test_packing_odd_rows(spark, odd):
     assert packing.pack(odd.limit(0), Q.tokenizer_path()).count() == 0
 
 
+def test_encoder_equals_the_tokenizer(documents, monkeypatch):
+    odd = ["It's THE they'll o'clock're", "İstanbul ΣΑΣ ΌΔΟΣ.", "e\u0301 E\u0301 H\u0331 a\u030a\u0327", "x\u00a0y\u2003z a\u200bb",
+           "<|endoftext|> a<|startoftext|>b", "漢字 かな １２³ ½ 👩\u200d👩", "\x1c\x1d\x00a \x7f\x85", "ﬁ ŉ ẞ ß ǅ \u1e9e", "don’t 3.14e-10%%$"]
+    for cache in (packing.CACHE, 3):
+        monkeypatch.setattr(packing, "CACHE", cache)
+        encoder = packing.WordEncoder(Q.tokenizer_path())
+        for text in [*odd, *ODD, *list(documents.values())[::5]]:
+            assert np.frombuffer(encoder(text), "<u4").tolist() == tokens(text)[:-1], text
+
+
 def test_best_fit_is_tightest():
     rng = np.random.default_rng(5)
     sizes = sorted(rng.integers(1, 101, 400).tolist(), reverse=True)
