@@ -6,7 +6,6 @@ day of the run that copied them.
 
 from __future__ import annotations
 
-from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -141,18 +140,6 @@ def archive_plan(
     return frames[0].unionByName(frames[1]).unionByName(frames[2]).unionByName(frames[3])
 
 
-def next_archive(
-    logs: DataFrame, archive: DataFrame, run_start_ms: int, days: int, day: date
-) -> DataFrame:
-    """The archive after a run in which every copy succeeds."""
-    cols = ["name", "length", "start_ms", "day"]
-    new = new_logs(logs, archive, expiry_mark(run_start_ms, days))
-    kept = retained_logs(archive, new, run_start_ms, days)
-    return kept.select(*cols).unionByName(
-        new.withColumn("day", F.lit(day.isoformat())).select(*cols)
-    )
-
-
 def archive_stats(runs: DataFrame) -> DataFrame:
     """Each run with the totals so far and its duration as text."""
     order = Order((), ("run",))

@@ -316,6 +316,21 @@ SQL: dict[str, str] = {
            (select count(distinct o_orderstatus) from {orders}) as family_dirs,
            true as has_data, cast(0 as bigint) as problems
     from slices s where s.table_name = 'orders'""",
+    "slice_files_lenient": """
+    select s.table_name, s.slice_id,
+           cast(case when slice_no = 0 then 0 else 1 end as bigint) as manifests,
+           (select count(distinct o_orderstatus) from {orders})
+             - case when slice_no = 1 then 1 else 0 end as family_dirs,
+           cast(0 as bigint) as problems
+    from slices s where s.table_name = 'orders'""",
+    "copy_fallback": """
+    select u.user_id % 2 = 1 as was_gone,
+           cast(sum(case when u.user_id % 2 = 1 then 1 else 0 end) as bigint) as by_fallback,
+           count(*) as files, any_value(e.events) as events, any_value(e.id_sum) as id_sum
+    from (select distinct user_id from {events}) u,
+         (select count(*) as events, cast(sum(event_id) as bigint) as id_sum from {events}) e
+    group by 1""",
+    "archive_stream_run": "select * from {events}",
     "copy_files": "select * from {orders}",
     "restore_files_check": """
     select table_name, slice_id, slice_no = 0 as all_missing,

@@ -22,6 +22,7 @@ from keysnap.sources import listing
 from keysnap.sources.files import copy_files as copy_files_job
 from keysnap.sources.files import delete_paths as delete_paths_job
 from keysnap.sources.rows import KeyedTable, read_slices
+from keysnap.streaming.archive_stream import archive_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -557,12 +558,28 @@ def archive_plan_many(spark, sf):
     return plan
 
 
+def put_files(plan: DataFrame) -> None:
+    """Writes files of given lengths; ``plan``: ``path, length``."""
+    from keysnap.sources.storage import open_fs, parent
+
+    def write(batches):
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                fs, path, _ = open_fs(row.path)
+                fs.create_dir(parent(path), recursive=True)
+                with fs.open_output_stream(path) as out:
+                    out.write(b"x" * row.length)
+            yield batch
+
+    cut(plan.select("path", "length").mapInPandas(write, "path string, length bigint"))
+
+
 @query
 def archive_run_sequence(spark, sf):
-    """The archive after three runs ten days apart, keeping 15 days; logs of the last day before
-    a run show half their length."""
+    """The archive after three real runs ten days apart, keeping 15 days; logs of the last day
+    before a run have half their length, and have grown by the next."""
     every = cut(fixture(spark, sf, "logs"))
-    held = every.withColumn("day", F.lit("")).where("false")
+    live, archive = fresh_dir(spark, "live"), fresh_dir(spark, "archive")
     for day in (11, 21, 31):
         moment = datetime(2024, 1, day, tzinfo=timezone.utc)
         ms = int(moment.timestamp() * 1000)
@@ -571,8 +588,11 @@ def archive_run_sequence(spark, sf):
             "length",
             F.when(young, F.floor(F.col("length") / 2).cast("bigint")).otherwise(F.col("length")),
         )
-        held = cut(logs.next_archive(seen, held, ms, 15, moment.date()))
-    return held
+        put_files(seen.withColumn("path", F.concat_ws("/", F.lit(live), "name")))
+        archive_once(spark, [live], archive, moment, days=15)
+    files = listing.list_files(spark, [archive], recursive=True).where("not is_dir")
+    held = logs.with_start(files)
+    return held.select("name", "length", "start_ms", F.split("rel_path", "/").getItem(1).alias("day"))
 
 
 @query
@@ -581,12 +601,10 @@ def archive_stats(spark, sf):
     return stats.select("run", "copied", "failed", "total_copied", "total_failed", "duration")
 
 
-@query
-def archive_files(spark, sf):
-    """Events read from archived log files, one file per user: a run that copies all of them,
-    then one that expires those of users first seen on the first day."""
+def event_logs(spark, sf) -> tuple[str, DataFrame]:
+    """Events as one file per user, and a plan that brings them to ``live/host<user>``."""
     events = table(spark, sf, "events")
-    written, live, archive = (fresh_dir(spark, d) for d in ("written", "live", "archive"))
+    written, live = fresh_dir(spark, "written"), fresh_dir(spark, "live")
     (
         events.withColumn("log_user", F.col("user_id"))
         .repartition("log_user")
@@ -599,17 +617,64 @@ def archive_files(spark, sf):
     parts = listing.list_files(spark, [written], recursive=True).where("name like 'part-%'")
     user = F.regexp_extract("path", "log_user=([0-9]+)/", 1)
     name = F.concat(F.lit(f"{live}/host"), "log_user", F.lit("/wal-"), "log_user", F.lit("."), "ms")
-    logs_plan = (
+    plan = (
         parts.withColumn("log_user", user)
         .join(started, "log_user")
-        .select(F.col("path").alias("source_path"), name.alias("dest_path"))
+        .select("log_user", F.col("path").alias("source_path"), name.alias("dest_path"))
     )
-    cut(copy_files_job(logs_plan))
+    return live, plan
+
+
+def read_events(spark, sf, path: str) -> DataFrame:
+    reader = spark.read.schema(table(spark, sf, "events").schema)
+    return reader.option("recursiveFileLookup", "true").parquet(path)
+
+
+@query
+def copy_fallback(spark, sf):
+    """Events read from copies of log files; those of users with odd numbers are gone from where
+    they were listed and are found in the second of two other places."""
+    _, plan = event_logs(spark, sf)
+    odd = F.col("log_user").cast("int") % 2 == 1
+    place = fresh_dir(spark, "copied")
+    gone = F.when(odd, F.concat("source_path", F.lit(".gone"))).otherwise(F.col("source_path"))
+    outcomes = cut(
+        copy_files_job(
+            plan.select(
+                gone.alias("source_path"),
+                F.concat_ws("/", F.lit(place), F.substring_index("dest_path", "/", -1)).alias("dest_path"),
+                F.array(F.concat("source_path", F.lit(".lost")), F.col("source_path")).alias("fallbacks"),
+            )
+        )
+    )
+    used = outcomes.groupBy(F.col("source_path").endswith(".gone").alias("was_gone")).agg(
+        F.count_if(F.col("used_path") != F.col("source_path")).alias("by_fallback"), F.count("*").alias("files")
+    )
+    n = read_events(spark, sf, place).agg(F.count("*").alias("events"), F.sum("event_id").alias("id_sum"))
+    return used.join(F.broadcast(n))
+
+
+@query
+def archive_stream_run(spark, sf):
+    """Events read from an archive that one tick of the periodic job has filled."""
+    live, plan = event_logs(spark, sf)
+    cut(copy_files_job(plan.drop("log_user")))
+    archive, state, stats = (fresh_dir(spark, d) for d in ("archive", "stream", "stats"))
+    archive_stream(spark, [live], archive, state, stats, once=True).awaitTermination()
+    return read_events(spark, sf, archive)
+
+
+@query
+def archive_files(spark, sf):
+    """Events read from archived log files, one file per user: a run that copies all of them,
+    then one that expires those of users first seen on the first day."""
+    live, plan = event_logs(spark, sf)
+    cut(copy_files_job(plan.drop("log_user")))
+    archive = fresh_dir(spark, "archive")
     end = datetime(2024, 1, 31, tzinfo=timezone.utc)
     archive_once(spark, [f"{live}/gone", live], archive, end)
     archive_once(spark, [live], archive, end, days=29)
-    reader = spark.read.schema(events.schema).option("recursiveFileLookup", "true")
-    return reader.parquet(archive)
+    return read_events(spark, sf, archive)
 
 
 # Files
@@ -687,6 +752,23 @@ def slice_files(spark, sf):
     )
 
 
+@query
+def slice_files_lenient(spark, sf):
+    """The same where the first slice has lost its manifest and the second a family directory,
+    which a lenient listing passes over."""
+    root, slices, families = file_tree(spark, sf)
+    first, second = [r.slice_id for r in slices.orderBy("start_key").limit(2).collect()]
+    family = families.agg(F.min("family")).head()[0]
+    lost = [(f"{root}/orders/{first}/.regioninfo",), (f"{root}/orders/{second}/{family}",)]
+    cut(delete_paths_job(local_frame(spark, lost, "path string")))
+    listed = cut(listing.list_slice_files(slices, root, families, on_missing="skip"))
+    return listed.groupBy("table_name", "slice_id").agg(
+        F.count_if(F.col("name") == ".regioninfo").alias("manifests"),
+        F.count_if("is_dir").alias("family_dirs"),
+        F.count("error").alias("problems"),
+    )
+
+
 @query
 def copy_files(spark, sf):
     """Orders read from a restored copy of the file tree."""
