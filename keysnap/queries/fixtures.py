@@ -48,7 +48,7 @@ def uniform_slices(keys: str) -> str:
            n_rows, key_sum
     from (select table_name, slice_no, min(k) as lo, max(k) + 1 as hi, count(*) as n_rows,
                  sum(k) as key_sum
-          from (select k.table_name, k.k,
+          from (select /*+ broadcast(m) */ k.table_name, k.k,
                        cast(floor(k.k * {N_SLICES}.0 / m.n) as int) as slice_no
                 from {keys} k
                 join (select table_name, max(k) + 1 as n from {keys} group by table_name) m

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 from operator import or_
 
-import numpy as np
 import pandas as pd
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession
@@ -153,21 +153,20 @@ def _segment(df: DataFrame, table: KeyedTable, edges: list[str]) -> DataFrame:
             known = F.when(F.col(table.key).isNotNull(), F.col("bucket").cast("int") - shift)
             return found.withColumn("segment", known).drop("key_number", "bucket")
 
-    # Hex text keeps byte order and has no zero bytes, which fixed-width arrays cannot hold.
-    bounds = np.array([_hex(e) for e in edges], dtype="S")
+    # Keys of any length are compared as they are: an array of fixed width would pad them all to
+    # the longest. Hex text keeps byte order.
+    bounds = [_hex(e) for e in edges]
 
     @F.pandas_udf("int")
     def search(keys: pd.Series) -> pd.Series:
-        known = keys.notna()
-        text = np.array(keys.fillna("").to_list(), dtype="S")
-        place = pd.Series(np.searchsorted(bounds, text, side="right") - 1, dtype="Int32")
-        return place.where(known.reset_index(drop=True))
+        places = [bisect_right(bounds, k) - 1 if isinstance(k, str) else None for k in keys]
+        return pd.Series(places, dtype="Int32")
 
     return df.withColumn("segment", search(F.hex(key_column(df, table))))
 
 
-def _hex(key: str) -> bytes:
-    return key.encode("utf-8").hex().upper().encode("ascii")
+def _hex(key: str) -> str:
+    return key.encode("utf-8").hex().upper()
 
 
 def tag_rows(df: DataFrame, table: KeyedTable, slices: list[tuple[str, str, str]]) -> DataFrame:
