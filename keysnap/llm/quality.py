@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keysnap.llm.common import map_text
+from keysnap.llm.common import map_text, stored
 
 WINDOW = 5
 MAX_LABELS = 20_000
@@ -83,6 +83,18 @@ def with_stats(df: DataFrame, text: str = "text", keep: list[str] | None = None)
     return map_text(df, text, STATS, lambda: lambda t: text_stats(t), df.columns if keep is None else keep)
 
 
+def drop_rejected(
+    documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", **parameters
+) -> DataFrame:
+    """The documents that the base rules and a list learned from ``labels`` keep, whatever their
+    columns are called."""
+    own = [f"c{i}" for i in range(len(documents.columns))]
+    place = dict(zip(documents.columns, own))
+    stats = stored(with_stats(documents.toDF(*own), place[text]), "stats")
+    rules = fit_rules(stats.drop(place[text]), labels, place[doc_id], **parameters)
+    return judged(stats, rules).where("kept").select(own).toDF(*documents.columns)
+
+
 def base_failed(stats: Sequence[str] = ("n_words", "n_repeat_words")) -> Column:
     words, repeats = map(F.col, stats)
     return (words < 10) | (100 * repeats > 20 * words)
@@ -208,12 +220,12 @@ def as_condition(rules: Sequence[Rule]) -> Column:
 
 def fit_rules(
     stats: DataFrame, labels: DataFrame, doc_id: str = "doc_id", quality: str = "quality",
-    max_labels: int = MAX_LABELS,
+    max_labels: int = MAX_LABELS, label_id: str = "doc_id",
 ) -> list[Rule]:
     """Learns from labelled statistics; documents that fail the base rules teach nothing."""
     sample = (
-        labels.where(F.col(doc_id).isNotNull() & F.col(quality).isNotNull())
-        .select(F.col(doc_id).alias("id"), F.col(quality).cast("int").alias("label"))
+        labels.where(F.col(label_id).isNotNull() & F.col(quality).isNotNull())
+        .select(F.col(label_id).alias("id"), F.col(quality).cast("int").alias("label"))
         .orderBy(F.xxhash64("id"), "id", "label").limit(max_labels)
     )
     known = features()

@@ -94,17 +94,17 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", fp: str = "fp"
     )
     ids = stored(placed.groupBy("root").agg(F.min("first").alias("component_id")), "component-ids")
     of = stored(placed.join(ids, "root").select("fp", "component_id"), "components")
-    name = unused(documents, "component_id")
-    return documents.join(of.toDF("fp_of", name), documents[fp] == F.col("fp_of")).drop("fp_of")
+    name, key = unused(documents, "component_id"), unused(documents, "component_fp")
+    return documents.join(of.toDF(key, name), documents[fp] == F.col(key)).drop(key)
 
 
 def drop_near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each component stays: that of the smallest document id (nulls come last)."""
-    fp, row = unused(documents, "fp"), unused(documents, "row")
-    tagged = stored(
-        with_fingerprint(documents.withColumn(row, F.monotonically_increasing_id()), text, fp), "tagged"
-    )
-    narrow = tagged.select(F.col(doc_id).alias("id"), F.col(row).alias("row"), F.col(fp).alias("fp"))
+    own = [f"c{i}" for i in range(len(documents.columns))]  # no name can clash
+    place = dict(zip(documents.columns, own))
+    plain = documents.toDF(*own).withColumn("row", F.monotonically_increasing_id())
+    tagged = stored(with_fingerprint(plain, place[text]), "tagged")
+    narrow = tagged.select(F.col(place[doc_id]).alias("id"), "row", "fp")
     distinct = stored(
         narrow.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("first")), "fingerprints"
     )
@@ -112,6 +112,6 @@ def drop_near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str
     stays = (
         distinct.join(root.withColumnRenamed("node", "fp"), "fp", "left")
         .groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
-        .select(F.col("first.row").alias("stays"))
+        .select(F.col("first.row").alias("row"))
     )
-    return tagged.join(stored(stays, "stays"), tagged[row] == F.col("stays"), "left_semi").select(documents.columns)
+    return tagged.join(stored(stays, "stays"), "row", "left_semi").select(own).toDF(*documents.columns)

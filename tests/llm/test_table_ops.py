@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from keysnap.llm import html_text, licences, pii, quality, sharding, simhash, tiling, urls
@@ -373,3 +374,16 @@ def test_stages_with_odd_rows(spark):
         for _, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, SF)
         assert sorted(r["doc_id"] for r in docs.select("doc_id").distinct().collect()) == ([] if some is not frame else [5, 6])
+
+
+def test_stages_with_clashing_columns(spark):
+    """Extra columns come through, whatever they are called."""
+    docs = table(spark, SF, "documents")
+    extra = docs.withColumns({c: F.lit(c) for c in ("row", "fp", "n_words", "kept", "rule", "stays", "masked", "id", "rank", "c0")})
+    plain = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        extra, plain = stage(spark, extra, SF), stage(spark, plain, SF)
+        assert extra.columns[:5] == docs.columns and len(extra.columns) == 15
+        assert extra.where("row <> 'row' or n_words <> 'n_words' or c0 <> 'c0'").isEmpty()
+        plain, extra = plain.cache(), extra.cache()
+        assert sorted(map(tuple, extra.select(docs.columns).collect())) == sorted(map(tuple, plain.collect()))
