@@ -112,10 +112,11 @@ class FileCopier:
         ).write.parquet(f"{snapshot.path}/descriptors")
 
     def copy(self, work: DataFrame, snapshot: Snapshot, attempt: int) -> None:
-        listed = list_slice_files(work, self.root, self.families, parallelism=self.parallelism)
+        # As many tasks as the work has units, unless the copier was given a number.
+        n = self.parallelism or work.select("unit").distinct().count()
+        listed = list_slice_files(work, self.root, self.families, parallelism=n)
         outcomes = copy_slice_files(
-            listed, self.root, snapshot.data, attempt, self.fallback_roots, self.parallelism,
-            snapshot.files_path,
+            listed, self.root, snapshot.data, attempt, self.fallback_roots, n, snapshot.files_path,
         )
         outcomes.write.mode("append").parquet(snapshot.outcomes_path)
 

@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import os
+from functools import lru_cache
 from collections.abc import Iterator
 from datetime import datetime, timezone
 
 from pyspark.sql import SparkSession
 
 
+# Schemes under which Hadoop knows stores that pyarrow knows by another.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
 def open_fs(path: str):
     """The pyarrow file system of a path or URI, the path within it, and the URI's front part."""
     from pyarrow import fs
@@ -18,10 +23,25 @@ def open_fs(path: str):
     if path.startswith("file:"):
         inner = "/" + path[len("file:"):].lstrip("/")
         return fs.LocalFileSystem(), inner, "file:"
-    filesystem, inner = fs.FileSystem.from_uri(path)
+    scheme, _, rest = path.partition("://")
+    authority, slash, key = rest.partition("/")
+    filesystem, base = _connect(SCHEMES.get(scheme, scheme), authority)
+    inner = f"{base.rstrip('/')}/{key}" if slash else base
     return filesystem, inner, path[: len(path) - len(inner)] if path.endswith(inner) else ""
 
 
+@lru_cache(maxsize=64)
+def _connect(scheme: str, authority: str):
+    """One handle for each store and process. What pyarrow cannot open is an error of the file
+    system, like any other: callers make it a row."""
+    from pyarrow import ArrowException, fs
+
+    try:
+        return fs.FileSystem.from_uri(f"{scheme}://{authority}/")
+    except ArrowException as e:
+        raise OSError(f"{scheme}://{authority}: {e}") from e
+
+
 def children(path: str) -> Iterator[tuple[str, str, int, bool, datetime | None]]:
     """Direct children: path, name, length, whether a directory, time of change. Dot names,
     underscore names, empty files and empty directories are all listed."""

@@ -313,3 +313,21 @@ def test_a_descriptor_that_cannot_be_copied_stops_the_snapshot(spark, tmp_path,
     copier = FileCopier(str(root), ["t"], families_of(spark, {"t": []}))
     with pytest.raises(plans.SnapshotError, match="descriptor"):
         take_snapshot(spark, copier, lambda _: slices, str(tmp_path / "dest"))
+
+
+def test_an_unknown_store_gives_failed_rows(spark, tmp_path):
+    put(tmp_path / "a")
+    plan = spark.createDataFrame(
+        [("nostore://host/a/b", str(tmp_path / "x")), (str(tmp_path / "a"), "nostore://host/c"), (str(tmp_path / "a"), str(tmp_path / "y"))],
+        "source_path string, dest_path string",
+    )
+    rows = {r.source_path + " " + r.dest_path: (r.status, r.error) for r in copy_files(plan).collect()}
+    assert sorted(s for s, _ in rows.values()) == ["copied", "failed", "failed"]
+    assert all("nostore" in e for s, e in rows.values() if s == "failed")
+
+
+def test_uris_of_local_files(tmp_path):
+    from keysnap.sources.storage import open_fs
+
+    fs, inner, front = open_fs(f"file://{tmp_path}/x")
+    assert inner == f"{tmp_path}/x" and front == "file:"
