@@ -114,4 +114,6 @@ def drop_near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str
         .groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
         .select(F.col("first.row").alias("row"))
     )
-    return tagged.join(stored(stays, "stays"), "row", "left_semi").select(own).toDF(*documents.columns)
+    # The plan of every size: ids are hashed in each partition, and texts stream past them unsorted.
+    ids = stored(stays, "stays").hint("shuffle_hash")
+    return tagged.join(ids, "row", "left_semi").select(own).toDF(*documents.columns)
