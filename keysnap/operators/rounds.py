@@ -11,7 +11,6 @@ from keysnap.operators.catalog import select_slices
 from keysnap.operators.cover import not_contained_slices
 from keysnap.operators.ordered import Order, with_row_number
 from keysnap.schema import IDENTITY, SLICE_COLS
-from keysnap.session import cut
 
 KEY_ORDER = Order((), ("table_name", "start_key", "end_key", "region_id"), ends=("end_key",))
 
@@ -19,9 +18,9 @@ KEY_ORDER = Order((), ("table_name", "start_key", "end_key", "region_id"), ends=
 def work_units(slices: DataFrame, n: int, attempt: int = 1, **sizes: int) -> DataFrame:
     """Deals slices out in key order over ``n`` units, or over fewer when there are fewer
     slices. Each slice keeps the server that holds it."""
-    slices = cut(slices)  # counted and numbered from one evaluation
-    total = slices.agg(F.count(F.lit(1)).alias("total")).scalar()
+    # Counted from the numbered rows, which are kept: ``slices`` is evaluated once.
     numbered = with_row_number(slices, KEY_ORDER, "position", **sizes)
+    total = numbered.agg(F.count(F.lit(1)).alias("total")).scalar()
     unit = F.pmod("position", F.least(F.lit(n).cast("bigint"), total)).cast("int")
     return numbered.select(
         *SLICE_COLS, "server", unit.alias("unit"), F.lit(attempt).alias("attempt")
