@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from keysnap.llm import similar
 from keysnap.llm.common import map_text, stored, unused
 from keysnap.llm.components import components
 
@@ -99,19 +100,24 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", fp: str = "fp"
 
 
 def drop_near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each component stays: that of the smallest document id (nulls come last)."""
+    """One row of each group of near copies stays: that of the smallest document id (nulls come last).
+
+    Near copies share 0.8 of their five-word shingles (``similar``); fingerprints of such texts
+    differ in far more bits than the two of the query.
+    """
     own = [f"c{i}" for i in range(len(documents.columns))]  # no name can clash
     place = dict(zip(documents.columns, own))
     plain = documents.toDF(*own).withColumn("row", F.monotonically_increasing_id())
-    tagged = stored(with_fingerprint(plain, place[text]), "tagged")
-    narrow = tagged.select(F.col(place[doc_id]).alias("id"), "row", "fp")
+    tagged = stored(similar.with_bands(plain, place[text], plain.columns), "tagged")
+    narrow = tagged.select(F.col(place[doc_id]).alias("id"), "row", "digest")
     distinct = stored(
-        narrow.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("first")), "fingerprints"
+        narrow.groupBy("digest").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("first"))
+        .select("first", F.col("first.row").alias("node")), "sets",
     )
-    root = components(links(distinct.select("fp")), "fp", "other")
+    root = similar.similar_components(tagged, distinct.select(F.col("node").alias("row")), place[text])
     stays = (
-        distinct.join(root.withColumnRenamed("node", "fp"), "fp", "left")
-        .groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
+        distinct.join(root, "node", "left")
+        .groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
         .select(F.col("first.row").alias("row"))
     )
     # The plan of every size: ids are hashed in each partition, and texts stream past them unsorted.
