@@ -1,5 +1,7 @@
 """Known licence texts and notices, as published, without copyright lines."""
 
+from importlib import resources
+
 # Short public licences and the notices that name longer ones.
 _WARRANTY_MIT = (
     'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED '
@@ -106,3 +108,43 @@ NOTICES: tuple[tuple[str, str], ...] = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "Released under CC0 1.0."),
 )
+
+# Long licences, as published.
+_FILES = (
+    ("Apache-2.0", "Apache-2.0"), ("GPL-2.0", "GPL-2"), ("GPL-3.0", "GPL-3"), ("LGPL-2.1", "LGPL-2.1"), ("LGPL-3.0", "LGPL-3"),
+    ("MPL-2.0", "MPL-2.0"),
+)
+LICENCES += tuple(
+    (name, resources.files(__package__).joinpath("licence_files", f"{file}.txt").read_text(encoding="utf-8"))
+    for name, file in _FILES
+)
+
+# Notices are one sentence in many wordings: subject, verb, article, name and version.
+_SUBJECTS = ("", "This work is ", "This software is ", "This program is ", "This project is ")
+_VERBS = ("licensed under", "released under", "distributed under")
+_NAMES: tuple[tuple[str, tuple[str, ...], tuple[str, ...]], ...] = (
+    ("MIT", ("MIT License", "MIT"), ()),
+    ("ISC", ("ISC License",), ()),
+    ("BSD-2-Clause", ("BSD 2-Clause License", "2-Clause BSD License"), ()),
+    ("BSD-3-Clause", ("BSD 3-Clause License", "3-Clause BSD License"), ()),
+    ("Apache-2.0", ("Apache License", "Apache"), ("2.0", "2")),
+    ("GPL-2.0", ("GNU General Public License", "GNU GPL", "GPL"), ("2.0", "2")),
+    ("GPL-3.0", ("GNU General Public License", "GNU GPL", "GPL"), ("3.0", "3")),
+    ("LGPL-2.1", ("GNU Lesser General Public License", "GNU LGPL", "LGPL"), ("2.1",)),
+    ("LGPL-3.0", ("GNU Lesser General Public License", "GNU LGPL", "LGPL"), ("3.0", "3")),
+    ("AGPL-3.0", ("GNU Affero General Public License", "GNU AGPL", "AGPL"), ("3.0", "3")),
+    ("MPL-2.0", ("Mozilla Public License", "MPL"), ("2.0", "2")),
+    ("CC-BY-4.0", ("CC BY 4.0",), ()),
+    ("CC-BY-SA-4.0", ("CC BY-SA 4.0",), ()),
+    ("CC-BY-NC-4.0", ("CC BY-NC 4.0",), ()),
+    ("CC0-1.0", ("CC0 1.0",), ()),
+)
+NOTICES += tuple(
+    (licence, f"{subject}{verb} {article}{name}{version}")
+    for licence, names, numbers in _NAMES
+    for name in names
+    for version in [f"{mark}{n}" for n in numbers for mark in (" v", " v. ", " version ", " ")] or [""]
+    for article in ("the ", "")
+    for verb in _VERBS
+    for subject in _SUBJECTS
+)
