@@ -5,15 +5,16 @@ is a cut edge. Every document starts with a label, dealt out evenly. In each rou
 counts (map-side combined: a group of any size is 40 rows at most) give the label that most
 neighbours hold, or for a group beyond a quota as many such labels as it needs; parts of the group
 that hold another label join back to it and move there as far as the target's quota goes. What does not fit stays and tries again in the next round, with
-the full targets left out. Rounds end when nothing moves.
+the full targets left out. Rounds end when nothing moves, or, after ``ROUNDS``, when a round leaves the
+groups in no fewer parts than the best before, which then counts: so they do end.
 
 The law is ``rows``: numbers of documents per shard at most one apart. After the last round
 documents are numbered in the order of their labels, groups side by side: linked ones keep their
 label up to its quota, single ones and the rest fill what is left.
 
-Quotas are enforced in ``buckets`` (by hash of the group), so a round's running sums are spread
-over shards times buckets. Numbering is by range partitions. No group, however large, meets in one
-task.
+Quotas hold for whole shards at every size: a round's parts are numbered in the order in which a
+shard takes them, running sums are taken in chunks of ``CHUNK`` numbers, and the sum of the chunks
+before is carried. Numbering is by range partitions. No group, however large, meets in one task.
 
 Defined results: a null text counts as an empty one. Repeated rows are documents of their own,
 linked like other copies; null ids are kept. Fewer documents than shards leave shards empty.
@@ -29,14 +30,14 @@ from keysnap.llm.common import numbered, stored
 SHARDS = 40
 OVERHEAD = 16
 ROUNDS = 4
-GROUPS_IN_BUCKET = 50_000
+CHUNK = 1 << 16
 
 
-def _propagate(parts: DataFrame, quota: int, buckets: int, rounds: int) -> DataFrame:
+def _propagate(parts: DataFrame, quota: int, rounds: int) -> DataFrame:
     """``parts`` (group, first, n) with the label that each part ends with."""
     state = stored(parts.withColumn("label", F.col("first")), "labels")
-    for _ in range(rounds):
-        bucket = F.pmod(F.xxhash64("group"), F.lit(buckets))
+    best_state, fewest, done = state, state.count(), 0
+    while True:
         held = state.groupBy("label").agg(F.sum("n").alias("held"))  # one row per shard
         room = F.broadcast(held.where(F.col("held") >= quota).select(F.col("label").alias("full")))
         counts = state.groupBy("group", "label").agg(F.sum("n").alias("n"))
@@ -58,20 +59,35 @@ def _propagate(parts: DataFrame, quota: int, buckets: int, rounds: int) -> DataF
             .withColumn("moves", (F.col("label") != F.col("target")).cast("int"))
         )
         # Large groups first: what they crowd out finds its label full and leaves in the next round.
-        order = Window.partitionBy("target", bucket).orderBy(F.desc("members"), "moves", F.desc("n"), "group", "first")
-        filled = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))
-        fits = filled <= -(-quota // buckets)
+        taken = numbered(
+            wanted.select(
+                "group", "first", "n", "label", "target", "moves", (-F.col("members")).alias("by_members"), (-F.col("n")).alias("by_n")
+            ),
+            ["target", "by_members", "moves", "by_n", "group", "first"], "taken", "place",
+        )
+        taken = stored(taken.withColumn("chunk", F.floor(F.col("place") / CHUNK)), "taken")
+        sums = taken.groupBy("target", "chunk").agg(F.sum("n").alias("sum"))
+        over = Window.partitionBy("target").orderBy("chunk").rowsBetween(Window.unboundedPreceding, 0)
+        carried = sums.select("target", "chunk", (F.sum("sum").over(over) - F.col("sum")).alias("carried"))
+        order = Window.partitionBy("target", "chunk").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+        filled = F.sum("n").over(order)
+        fits = F.col("filled") + F.col("carried") <= quota
         moved = stored(
-            wanted.withColumn("fits", fits).select(
+            taken.withColumn("filled", filled).join(F.broadcast(carried), ["target", "chunk"]).withColumn("fits", fits).select(
                 "group", "first", "n", F.when(F.col("fits"), F.col("target")).otherwise(F.col("label")).alias("label"),
                 (F.col("fits") & (F.col("moves") == 1)).alias("moved"),
             ),
             "labels",
         )
-        state = moved.drop("moved")
+        state, done = moved.drop("moved"), done + 1
+        now = state.select("group", "label").distinct().count()
+        if now < fewest:
+            best_state, fewest = state, now
+        elif done >= rounds:
+            break
         if moved.where("moved").isEmpty():
             break
-    return state
+    return best_state
 
 
 def _dealt(ranked: DataFrame, loads: dict[int, tuple[int, int]], total: int, shards: int) -> tuple[Column, Column]:
@@ -118,9 +134,7 @@ def assign_shards(
     parts = base.groupBy("group", "first").agg(F.count("*").alias("n"))
     sums = parts.groupBy("group").agg(F.sum("n").alias("members")).where("members > 1").select("group")
     linked = stored(stored(parts, "parts").join(stored(sums, "groups"), "group"), "linked")
-    n_groups = linked.count()
-    buckets = max(1, n_groups // (shards * GROUPS_IN_BUCKET))
-    labels = _propagate(linked, -(-total // shards), buckets, rounds)
+    labels = _propagate(linked, -(-total // shards), rounds)
     placed = (
         base.join(labels.select("group", "first", "label"), ["group", "first"], "left")
         .select(
