@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keysnap.llm import html_text, licences, packing, pii, quality, sharding, simhash, suffixes, tiling, urls
+from keysnap.llm import conversations, html_text, language, licences, packing, pii, quality, sharding, simhash, suffixes, tiling, urls
 from keysnap.llm.common import hexed, stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,6 +70,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(docs).select("doc_id", hexed(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
+def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op2_url_filter": op2_url_filter,
@@ -81,6 +89,8 @@ QUERIES: dict[str, Query] = {
     "op8_pii": op8_pii,
     "op9_sharding": op9_sharding,
     "op10_simhash": op10_simhash,
+    "op11_conversations": op11_conversations,
+    "op13_language": op13_language,
 }
 
 # The others are beyond SQL or too slow there on whole tables; tests hold brute force against them.
