@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keysnap.llm import conversations, html_text, language, licences, packing, pii, quality, sharding, simhash, suffixes, tiling, urls
+from keysnap.llm import conversations, html_text, language, lexical, licences, packing, pii, quality, sharding, simhash, suffixes, tiling, urls
 from keysnap.llm.common import hexed, stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,6 +74,10 @@ def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair_damaged(table(spark, sf_dir, "conversations"))
 
 
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
@@ -90,8 +94,9 @@ QUERIES: dict[str, Query] = {
     "op9_sharding": op9_sharding,
     "op10_simhash": op10_simhash,
     "op11_conversations": op11_conversations,
+    "op12_lexical": op12_lexical,
     "op13_language": op13_language,
 }
 
 # The others are beyond SQL or too slow there on whole tables; tests hold brute force against them.
-ORACLE_SQL: dict[str, str] = {"op3_licences": licences.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {"op3_licences": licences.oracle_sql(), "op12_lexical": lexical.oracle_sql()}
