@@ -207,12 +207,13 @@ def search_block(tree: Treap, docs: np.ndarray, rows: np.ndarray, weights: np.nd
     # One prefix is left at the root: the height covers all rows.
     reach = int(paths.weight[top][0] * tree.most[top][0])
     queue: list[tuple] = [(-reach, 0, top, np.zeros(1, np.int64), np.zeros(1, np.int64))]
-    opened, step = 0, 1
+    opened = 0
     while queue and -queue[0][0] >= best.least:
         levels: dict[int, list[tuple]] = {}
-        step = min(2 * step, STEP)  # a few at first: they raise what others have to reach
-        for _ in range(min(step, len(queue))):
-            if -queue[0][0] < best.least:
+        # In one step only ranges that reach about as high: the best raise what others have to reach.
+        least = max(best.least, -queue[0][0] // 2)
+        for _ in range(min(STEP, len(queue))):
+            if -queue[0][0] < least:
                 break
             _, column, level, prefix, node = heapq.heappop(queue)
             levels.setdefault(level, []).append((column, prefix, node))
