@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from keysnap.operators.catalog import select_slices
 from keysnap.operators.cover import not_contained_slices
-from keysnap.operators.ordered import Order, with_row_number
+from keysnap.operators.ordered import Order, with_row_number, with_running_sum
 from keysnap.schema import IDENTITY, SLICE_COLS
 
 KEY_ORDER = Order((), ("table_name", "start_key", "end_key", "region_id"), ends=("end_key",))
@@ -27,6 +27,24 @@ def work_units(slices: DataFrame, n: int, attempt: int = 1, **sizes: int) -> Dat
     )
 
 
+def byte_units(
+    rows: DataFrame, n: int, size: str, order: Order, name: str = "unit", **sizes: int
+) -> DataFrame:
+    """Adds the unit (0 to ``n`` - 1) of each row: sizes are summed up in the given order, and the
+    sum is cut into ``n`` equal shares. A row belongs to the share in which it begins, so a unit
+    holds at most the mean and one row more. Rows without size, or all of size 0, count as 1.
+
+    Give ``repartitionById(n, unit)`` the result to have each unit done by one task.
+    """
+    weight = F.greatest(F.coalesce(F.col(size), F.lit(0)), F.lit(0)) + 1
+    summed = with_running_sum(rows, order, weight, "weight_sum", **sizes)
+    # One row: the sum over everything.
+    total = summed.agg(F.max("weight_sum").alias("total")).scalar()
+    before = (F.col("weight_sum") - weight).cast("decimal(38,0)")
+    unit = F.floor(before * n / F.greatest(total, F.lit(1))).cast("int")
+    return summed.withColumn(name, F.least(unit, F.lit(n - 1))).drop("weight_sum")
+
+
 def failed_slices(outcomes: DataFrame, attempt: int) -> DataFrame:
     """Slices whose copy failed in the given attempt."""
     return outcomes.where((F.col("status") == "failed") & (F.col("attempt") == attempt)).select(

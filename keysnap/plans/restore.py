@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Sequence
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,12 +17,16 @@ from keysnap.operators.restore import (
     missing_slices, restore_catalog_rows, restore_checks, restore_files_check, restore_manifest_check,
     snapshot_tables,
 )
-from keysnap.session import cut, local_frame
+from keysnap.operators.ordered import Order
+from keysnap.operators.rounds import byte_units
+from keysnap.plans.together import LIMIT, run_together
+from keysnap.session import cut, local_frame, tasks
+from keysnap.sources.commits import CommitLog
 from keysnap.sources.files import copy_files
 from keysnap.sources.listing import list_dirs, list_files
 from keysnap.sources.manifest import Snapshot
-from keysnap.sources.rows import SLICE_DIR, read_slices
-from keysnap.sources.storage import exists, remove_tree, rename
+from keysnap.sources.rows import SLICE_DIR, checked_columns, read_slices
+from keysnap.sources.storage import exists, names_in, remove_empty, remove_tree
 
 
 class RestoreError(RuntimeError):
@@ -29,7 +34,52 @@ class RestoreError(RuntimeError):
 
 
 RESTORE_OUTCOME = "table_name string, status string, rows bigint, error string"
-CATALOG_DIR = "restored-catalog"
+LOG_DIR = "versions"
+
+
+class ConflictError(RuntimeError):
+    """Another restore has published a version of the table meanwhile."""
+
+
+def table_log(spark: SparkSession, target: str, table: str) -> CommitLog:
+    """The versions of a restored table: the newest entry names the directory that holds it."""
+    return CommitLog(spark, f"{target.rstrip('/')}/{table}/{LOG_DIR}")
+
+
+def restored_path(spark: SparkSession, target: str, table: str) -> str:
+    """The directory with the newest version's rows or files."""
+    entry = table_log(spark, target, table).latest()
+    if entry is None:
+        raise FileNotFoundError(f"{target}/{table} holds no restored table")
+    return f"{target.rstrip('/')}/{table}/{entry['data']}"
+
+
+def read_restored(spark: SparkSession, target: str, table: str) -> DataFrame:
+    """The rows of a table that was restored from a snapshot of rows."""
+    entry = table_log(spark, target, table).latest()
+    path = restored_path(spark, target, table)
+    if not entry["schema"]:
+        raise ValueError(f"{table} was restored as files: read {path}")
+    return spark.read.schema(T.StructType.fromJson(json.loads(entry["schema"]))).parquet(path)
+
+
+def read_restored_catalog(spark: SparkSession, target: str, tables: Sequence[str]) -> DataFrame:
+    """The catalog rows that the newest versions of the tables register."""
+    base = target.rstrip("/")
+    entries = [(t, table_log(spark, base, t).latest()) for t in tables]
+    return spark.read.parquet(*[f"{base}/{t}/{e['catalog']}" for t, e in entries if e])
+
+
+def delete_old_versions(spark: SparkSession, target: str, table: str, keep: int = 1) -> list[str]:
+    """Deletes all but the newest ``keep`` versions of a table, and what restores that never ended
+    have left. Not to be run while a restore of the table is running. Returns the directories."""
+    base = f"{target.rstrip('/')}/{table}"
+    held = table_log(spark, target, table).entries()[-keep:]
+    wanted = {LOG_DIR} | {e[c] for e in held for c in ("data", "catalog")}
+    gone = [n for n in names_in(spark, base) if n not in wanted]
+    for name in gone:
+        remove_tree(spark, f"{base}/{name}")
+    return gone
 
 
 def open_snapshot(spark: SparkSession, path: str, ignore_bad_name: bool = False) -> Snapshot:
@@ -66,22 +116,24 @@ def _slice_listing(snapshot: Snapshot, table: str) -> DataFrame:
     )
 
 
-def _restore_rows(snapshot: Snapshot, table: str, stage: str, schema: T.StructType) -> int:
-    """Stages the table's rows, map-only, and checks the stage against the manifest."""
+def _restore_rows(
+    snapshot: Snapshot, table: str, place: str, schema: T.StructType, content_checked: bool
+) -> int:
+    """Writes the table's rows to their place, map-only, and checks them against the manifest. A
+    snapshot that was checked by count alone has no checksums to compare with."""
     spark = snapshot.spark
     rows = read_slices(spark, f"{snapshot.data}/{table}", schema).drop(SLICE_DIR)
-    rows.write.parquet(stage)
+    rows.write.parquet(place)
     want = snapshot.table_stats().where(F.col("table_name") == table).head()
-    have = table_totals(spark.read.schema(schema).parquet(stage), schema).head()
-    # A snapshot checked by count alone has no checksums.
-    counted_only = want.checksum == 0
-    if have.rows != want.rows or not (counted_only or have.checksum == want.checksum):
-        raise ValueError(f"{have.rows} rows staged, {want.rows} expected, or content differs")
+    checked = checked_columns(schema, "content" if content_checked else "count")
+    have = table_totals(spark.read.schema(schema).parquet(place), checked).head()
+    if have.rows != want.rows or have.checksum != want.checksum:
+        raise ValueError(f"{have.rows} rows written, {want.rows} expected, or content differs")
     return have.rows
 
 
-def _restore_files(snapshot: Snapshot, table: str, stage: str, parallelism: int | None) -> None:
-    """Stages the table's files and directories, once all are there with the lengths copied."""
+def _restore_files(snapshot: Snapshot, table: str, place: str, parallelism: int | None) -> None:
+    """Copies the table's files and directories, once all are there with the lengths copied."""
     if not exists(snapshot.spark, snapshot.files_path):
         raise ValueError("the snapshot has no list of its files")
     listed = cut(list_files(snapshot.spark, [f"{snapshot.data}/{table}"], recursive=True))
@@ -92,24 +144,30 @@ def _restore_files(snapshot: Snapshot, table: str, stage: str, parallelism: int
         raise ValueError(f"slice {wrong.slice_id}: {wrong.rel_path} is {wrong.problem}")
     plan = listed.select(
         F.col("path").alias("source_path"),
-        F.concat(F.lit(stage), "rel_path").alias("dest_path"),
+        F.concat(F.lit(place), "rel_path").alias("dest_path"),
         "is_dir",
+        "length",
     )
-    bad = cut(copy_files(plan, parallelism)).where("status = 'failed'").select("error").head()
+    n = tasks(snapshot.spark, parallelism)
+    units = byte_units(plan, n, "length", Order((), ("source_path",)))
+    bad = cut(copy_files(units, n)).where("status = 'failed'").select("error").head()
     if bad:
         raise OSError(bad.error)
 
 
 def _restore_one(
     snapshot: Snapshot, table: str, target: str, descriptor, retain_original: bool,
-    parallelism: int | None,
+    parallelism: int | None, number: int,
 ) -> tuple:
-    """Stage, check, move into place, register; a failure leaves no trace of the table."""
+    """Writes, checks and publishes one table. Nothing is moved: data and catalog rows are written
+    where they stay, and a commit entry, written last, makes them the table's newest version. A
+    failure or a lost race leaves the earlier version, or no table."""
     spark = snapshot.spark
-    stage = f"{target}/staging-{uuid.uuid4().hex}/{table}"
-    final = f"{target}/{table}"
+    log = table_log(spark, target, table)
+    version = uuid.uuid4().hex
+    names = {"data": f"data-{version}", "catalog": f"catalog-{version}"}
+    places = {k: f"{target}/{table}/{n}" for k, n in names.items()}
     manifest = snapshot.manifest().where(F.col("table_name") == table)
-    in_place = False
     try:
         listing = cut(_slice_listing(snapshot, table))
         unknown = restore_manifest_check(listing, manifest).head()
@@ -121,23 +179,37 @@ def _restore_one(
             if lost:
                 raise ValueError(f"slice {lost.slice_id} has no data")
             schema = T.StructType.fromJson(json.loads(descriptor.schema_json))
-            rows = _restore_rows(snapshot, table, stage, schema)
+            rows = _restore_rows(snapshot, table, places["data"], schema, descriptor.content_checked)
         else:
-            _restore_files(snapshot, table, stage, parallelism)
-        rename(spark, stage, final)
-        in_place = True
-        restore_catalog_rows(manifest).write.mode("append").parquet(f"{target}/{CATALOG_DIR}")
+            _restore_files(snapshot, table, places["data"], parallelism)
+        restore_catalog_rows(manifest).write.parquet(places["catalog"])
+        entry = {**names, "table": table, "schema": descriptor.schema_json, "rows": rows, "snapshot": snapshot.path}
+        if not log.commit(number, entry):
+            raise ConflictError(f"another restore has published version {number}")
     except Exception as e:  # other tables go on
-        if in_place:
-            remove_tree(spark, final)
+        for place in places.values():
+            remove_tree(spark, place)
+        if not names_in(spark, log.path):
+            remove_empty(spark, f"{target}/{table}")
         return (table, "failed", None, f"{type(e).__name__}: {e}")
-    finally:
-        remove_tree(spark, stage.rsplit("/", 1)[0])
     if not retain_original:
-        remove_tree(spark, f"{snapshot.data}/{table}")
+        try:
+            remove_tree(spark, f"{snapshot.data}/{table}")
+        except Exception as e:  # the table is in place all the same
+            return (table, "restored", rows, f"original not deleted: {type(e).__name__}: {e}")
     return (table, "restored", rows, None)
 
 
+def _is_free(spark: SparkSession, target: str, table: str) -> bool:
+    return table_log(spark, target, table).latest() is None
+
+
+def _is_foreign(spark: SparkSession, target: str, table: str) -> bool:
+    """Whether the table's directory holds anything that no restore has written."""
+    own = (LOG_DIR, "data-", "catalog-")
+    return any(not n.startswith(own) for n in names_in(spark, f"{target}/{table}"))
+
+
 def restore_tables(
     spark: SparkSession,
     path: str,
@@ -147,11 +219,16 @@ def restore_tables(
     ignore_bad_name: bool = False,
     allow_unverified: bool = False,
     parallelism: int | None = None,
+    replace: bool = False,
+    at_once: int = LIMIT,
 ) -> DataFrame:
-    """Restores tables (all when None) to ``target/<table>``; one outcome row per table.
+    """Restores tables (all when None) below ``target/<table>``; one outcome row per table.
 
     Nothing is written unless every requested table is in the snapshot and none exists at the
-    target. After that each table succeeds or fails by itself. With ``retain_original=False`` a
+    target; with ``replace`` existing ones get a new version instead, and readers see the old one
+    until the new one is complete. After that each table succeeds or fails by itself, ``at_once`` of
+    them side by side. Of two restores of a table at a time one fails. Read the tables with
+    :func:`read_restored`, files at :func:`restored_path`. With ``retain_original=False`` a
     table's data is deleted from the snapshot once it is in place. A snapshot whose slices did
     not tile the key space is refused unless ``allow_unverified``.
     """
@@ -163,7 +240,9 @@ def restore_tables(
     if tables is None:
         tables = sorted(r.table_name for r in available.collect())
     requested = local_frame(spark, [(t,) for t in tables], "table_name string")
-    there = [(t,) for t in tables if exists(spark, f"{target}/{t}")]
+    # A version's number is settled here: one that is published from now on is a conflict.
+    numbers = {t: table_log(spark, target, t).next_number() for t in tables}
+    there = [(t,) for t in tables if not (replace or _is_free(spark, target, t)) or _is_foreign(spark, target, t)]
     existing = local_frame(spark, there, "table_name string")
     problems = restore_checks(requested, available, existing).orderBy("table_name").collect()
     if problems:
@@ -171,8 +250,13 @@ def restore_tables(
     # One row per requested table.
     wanted = snapshot.descriptors().where(F.col("table_name").isin(list(tables)))
     descriptors = {r.table_name: r for r in wanted.collect()}
-    outcomes = [
-        _restore_one(snapshot, t, target, descriptors[t], retain_original, parallelism)
+    work = {
+        t: partial(_restore_one, snapshot, t, target, descriptors[t], retain_original, parallelism, numbers[t])
         for t in tables
+    }
+    results = run_together(spark, "restore", work, at_once)
+    outcomes = [
+        (t, "failed", None, f"{type(r).__name__}: {r}") if isinstance(r, Exception) else r
+        for t, r in results.items()
     ]
     return local_frame(spark, outcomes, RESTORE_OUTCOME)

@@ -80,7 +80,7 @@ def sliced(table: str, key: str, slices: str = "slices") -> str:
     on s.table_name = '{table}' and {SLICE_OF.format(k=k)}"""
 
 
-def attempt_rows(table: str, key: str) -> str:
+def attempt_rows(table: str, key: str, retry: int = 2) -> str:
     """Which slice holds each row after the retry, and in which attempt it was copied."""
     k = K(key)
     return f"""
@@ -88,7 +88,7 @@ def attempt_rows(table: str, key: str) -> str:
            case when a.is_failed and a.slice_no = 2
                 then concat(a.slice_id, case when {k} < a.mid_key then 'a' else 'b' end)
                 else a.slice_id end as slice_id,
-           cast(case when a.is_failed then 2 else 1 end as int) as attempt
+           cast(case when a.is_failed then {retry} else 1 end as int) as attempt
     from {{{table}}} t join att1 a on a.table_name = '{table}'
       and a.start_key <= {k} and (a.end_key = '' or {k} < a.end_key)"""
 
@@ -217,6 +217,31 @@ SQL: dict[str, str] = {
     from slices where table_name in ('part', 'supplier')""",
     "snapshot_retry_roundtrip": f"""
     {attempt_rows('orders', 'o_orderkey')} union all {attempt_rows('customer', 'c_custkey')}""",
+    "snapshot_resume_roundtrip": f"""
+    {attempt_rows('orders', 'o_orderkey', 3)} union all {attempt_rows('customer', 'c_custkey')}""",
+    "snapshot_failing_table": """
+    select table_name, cast(case when table_name = 'part' then 2 else 1 end as int) as attempt,
+           'copied' as status, cast(null as varchar) as error, count(*) as slices, cast(sum(n_rows) as bigint) as rows
+    from slices where table_name in ('orders', 'customer', 'part', 'supplier') group by table_name
+    union all
+    select table_name, cast(1 as int), 'failed', 'RuntimeError: no space left', count(*), cast(0 as bigint)
+    from slices where table_name = 'part' group by table_name""",
+    "restore_versions": "select *, false as late_one_won from {customer} where c_acctbal > 0",
+    "work_units_bytes": """
+    select unit as task, unit, count(*) as files, cast(sum(length) as bigint) as bytes
+    from (select length, cast(least(63, floor((w - length - 1) * 64 // total)) as int) as unit
+          from (select length, cast(sum(length + 1) over (order by o_orderkey) as hugeint) as w,
+                       cast(sum(length + 1) over () as hugeint) as total
+                from (select o_orderkey, o_orderkey % 97 * o_custkey % 1009 * o_custkey as length from {orders}) f) s) u
+    group by unit""",
+    "descriptor_families": """
+    select distinct o_orderpriority as table_name, o_orderstatus as family, cast(null as varchar) as error from {orders}
+    union all
+    select distinct concat('user', cast(user_id as varchar)), event_type, null from {events}""",
+    "slice_files_failed": """
+    select table_name, slice_id, case when slice_no = 0 then 'failed' else 'copied' end as status,
+           slice_no > 0 as has_files, case when slice_no = 0 then 'family missing: F' end as error
+    from slices where table_name = 'orders'""",
     "snapshot_name_format": f"""
     select o_orderkey, concat('bak-', {stamp('t1')}) as running_name,
            concat('bak-', {stamp('t1')}, '-', {stamp('t2')}) as sealed_name

@@ -13,15 +13,21 @@ from keysnap.functions.text import endpoint_host, endpoint_port, relative_path
 from keysnap.operators import catalog as cat
 from keysnap.operators import cover, logs, restore, rounds
 from keysnap.plans.archive import archive_once
-from keysnap.plans.restore import restore_tables
-from keysnap.plans.snapshot import FileCopier, RowCopier, take_snapshot
+from keysnap.operators.ordered import Order
+from keysnap.plans.restore import (
+    read_restored, read_restored_catalog, restore_tables, restored_path, table_log,
+)
+from keysnap.plans.snapshot import FileCopier, RowCopier, resume_snapshot, take_snapshot
 from keysnap.queries.fixtures import N_SLICES, WIDTH, fixture, table
 from keysnap.schema import CATALOG_COLS, SLICE, SLICE_COLS
 from keysnap.session import cut, fresh_dir, local_frame
 from keysnap.sources import listing
+from keysnap.sources.descriptors import format_descriptor, is_descriptor, read_families
 from keysnap.sources.files import copy_files as copy_files_job
+from keysnap.sources.files import copy_slice_files
 from keysnap.sources.files import delete_paths as delete_paths_job
 from keysnap.sources.rows import KeyedTable, read_slices
+from keysnap.sources.storage import names_in, open_fs, parent
 from keysnap.streaming.archive_stream import archive_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -149,6 +155,19 @@ def work_units_many(spark, sf):
     return rounds.work_units(ranges, 64)
 
 
+@query
+def work_units_bytes(spark, sf):
+    """Orders as files of very different sizes, dealt out over 64 tasks by bytes: each task's files
+    and bytes, counted by the task itself."""
+    files = table(spark, sf, "orders").select(
+        "o_orderkey", (F.col("o_orderkey") % 97 * F.col("o_custkey") % 1009 * F.col("o_custkey")).alias("length")
+    )
+    dealt = rounds.byte_units(files, 64, "length", Order((), ("o_orderkey",))).repartitionById(64, F.col("unit"))
+    return dealt.withColumn("task", F.spark_partition_id()).groupBy("task", "unit").agg(
+        F.count("*").alias("files"), F.sum("length").alias("bytes")
+    )
+
+
 @query
 def slice_paths(spark, sf):
     return cat.slice_paths(catalog1(spark, sf), "/store/")
@@ -298,10 +317,35 @@ def slice_manifest(spark, sf):
     )
 
 
+class Lost(RuntimeError):
+    """Stands for a driver that is lost."""
+
+
+class LosingCopier(RowCopier):
+    """Copies one table in the second round, then is gone."""
+
+    def copy(self, work, snapshot, attempt):
+        if attempt != 2:
+            return super().copy(work, snapshot, attempt)
+        self._copy_one(work, self.tables[1], snapshot, attempt)
+        raise Lost
+
+
 @query
 def snapshot_retry_roundtrip(spark, sf):
     """Some slices lose rows in the first attempt, and one split parent is gone in the second;
     every row is stored once, in the slice and attempt that copied it."""
+    return retried_snapshot(spark, sf, RowCopier)
+
+
+@query
+def snapshot_resume_roundtrip(spark, sf):
+    """The same, with a run that is lost in the second round, when it has copied customers only; the
+    run that resumes it copies just what is left of orders, in a third."""
+    return retried_snapshot(spark, sf, LosingCopier)
+
+
+def retried_snapshot(spark, sf, kind) -> DataFrame:
     flat = cut(fixture(spark, sf, "catalog1"))
     losing = {t: [] for t in BACKED_UP}
     for r in fixture(spark, sf, "att1").where("is_failed").collect():  # at most 16 slices
@@ -315,9 +359,12 @@ def snapshot_retry_roundtrip(spark, sf):
         return typed_catalog(flat if attempt == 1 else flat.where(~gone))
 
     tables = [keyed(sf, "orders", "o_orderkey"), keyed(sf, "customer", "c_custkey")]
-    snapshot = take_snapshot(
-        spark, RowCopier(tables, fault), fresh, fresh_dir(spark, "snapshot"), n=4
-    )
+    dest = fresh_dir(spark, "snapshot")
+    try:
+        snapshot = take_snapshot(spark, kind(tables, fault), fresh, dest, n=4)
+    except Lost:
+        unsealed = names_in(spark, dest)[0]
+        snapshot = resume_snapshot(spark, RowCopier(tables, fault), fresh, f"{dest}/{unsealed}", n=4)
     stored = [
         read_slices(spark, f"{snapshot.data}/{t.name}", t.open(spark).schema).select(
             F.lit(t.name).alias("table_name"), F.col(t.key).alias("row_id"), "slice_id"
@@ -328,6 +375,23 @@ def snapshot_retry_roundtrip(spark, sf):
     return stored[0].unionByName(stored[1]).join(attempts, ["table_name", "slice_id"])
 
 
+@query
+def snapshot_failing_table(spark, sf):
+    """Slices and rows by table, round and outcome, of four tables copied side by side; the first job
+    of one of them fails as a whole, which its own slices alone are retried for."""
+
+    def fault(rows, name, attempt):
+        if name == "part" and attempt == 1:
+            raise RuntimeError("no space left")
+        return rows
+
+    keys = {"orders": "o_orderkey", "customer": "c_custkey", "part": "p_partkey", "supplier": "s_suppkey"}
+    snapshot = snapshot_of(spark, sf, [keyed(sf, t, k) for t, k in keys.items()], fault=fault)
+    return snapshot.outcomes().groupBy("table_name", "attempt", "status", "error").agg(
+        F.count("*").alias("slices"), F.sum("rows").alias("rows")
+    )
+
+
 @query
 def snapshot_name_format(spark, sf):
     times = fixture(spark, sf, "name_times")
@@ -428,7 +492,7 @@ def restore_roundtrip(spark, sf):
     snapshot = snapshot_of(spark, sf, tables, "line_slices")
     target = fresh_dir(spark, "restored")
     cut(restore_tables(spark, snapshot.path, target))
-    return spark.read.parquet(f"{target}/lineitem")
+    return read_restored(spark, target, "lineitem")
 
 
 @query
@@ -438,7 +502,23 @@ def restore_roundtrip_text_keys(spark, sf):
     snapshot = snapshot_of(spark, sf, tables, "page_slices")
     target = fresh_dir(spark, "restored")
     cut(restore_tables(spark, snapshot.path, target))
-    return spark.read.parquet(f"{target}/pages")
+    return read_restored(spark, target, "pages")
+
+
+@query
+def restore_versions(spark, sf):
+    """Customers as readers see them after a restore of all, one of those with a balance that
+    replaces it, one that was cut off before it could publish, and one that lost the race."""
+    every = keyed(sf, "customer", "c_custkey")
+    rich = KeyedTable("customer", lambda s: table(s, sf, "customer").where("c_acctbal > 0"), "c_custkey", WIDTH)
+    first, second = snapshot_of(spark, sf, [every]), snapshot_of(spark, sf, [rich])
+    target = fresh_dir(spark, "restored")
+    cut(restore_tables(spark, first.path, target))
+    cut(restore_tables(spark, second.path, target, replace=True))
+    table(spark, sf, "customer").write.parquet(f"{target}/customer/data-cut-off")
+    number = table_log(spark, target, "customer").next_number() - 1
+    late = table_log(spark, target, "customer").commit(number, {"data": "data-cut-off"})
+    return read_restored(spark, target, "customer").withColumn("late_one_won", F.lit(late))
 
 
 @query
@@ -451,7 +531,7 @@ def restored_catalog(spark, sf):
     snapshot = snapshot_of(spark, sf, tables)
     target = fresh_dir(spark, "restored")
     cut(restore_tables(spark, snapshot.path, target, ["part", "customer"]))
-    return spark.read.parquet(f"{target}/restored-catalog").select(
+    return read_restored_catalog(spark, target, ["part", "customer"]).select(
         *SLICE_COLS, "is_split", "is_offline"
     )
 
@@ -560,7 +640,6 @@ def archive_plan_many(spark, sf):
 
 def put_files(plan: DataFrame) -> None:
     """Writes files of given lengths; ``plan``: ``path, length``."""
-    from keysnap.sources.storage import open_fs, parent
 
     def write(batches):
         for batch in batches:
@@ -684,8 +763,8 @@ def archive_files(spark, sf):
 def restore_files_check(spark, sf):
     """A snapshot of a file tree from which one slice is deleted and a file of another is cut:
     how many of each slice's files a restore finds missing or changed."""
-    root, slices, families = file_tree(spark, sf)
-    copier = FileCopier(root, ["orders"], families)
+    root, slices = file_tree(spark, sf)
+    copier = FileCopier(root, ["orders"])
     snapshot = take_snapshot(spark, copier, lambda _: slices, fresh_dir(spark, "files"))
     place = f"{snapshot.data}/orders"
     gone, changed = [r.slice_id for r in slices.orderBy("start_key").limit(2).collect()]
@@ -693,7 +772,7 @@ def restore_files_check(spark, sf):
     files = snapshot.files().where(~F.col("is_dir"))
     victim = files.where((F.col("slice_id") == changed) & (F.col("length") > 0)).agg(F.min("rel_path").alias("p")).head().p
     cut(delete_paths_job(local_frame(spark, [(f"{place}/{gone}",), (f"{place}{victim}",)], "path string")))
-    plan = [(f"{place}/.tableinfo.1", f"{place}{victim}")]
+    plan = [(f"{place}/.tableinfo.0000000001", f"{place}{victim}")]
     cut(copy_files_job(local_frame(spark, plan, "source_path string, dest_path string")))
     there = listing.list_files(spark, [place], recursive=True).withColumn("table_name", F.lit("orders"))
     found = restore.restore_files_check(files, there)
@@ -706,8 +785,9 @@ def restore_files_check(spark, sf):
     )
 
 
-def file_tree(spark, sf) -> tuple[str, DataFrame, DataFrame]:
-    """Orders as files, ``root/orders/slice/family/file``: its root, slices and families."""
+def file_tree(spark, sf) -> tuple[str, DataFrame]:
+    """Orders as files, ``root/orders/slice/family/file``, with a family for each status: its root
+    and slices."""
     root, written = fresh_dir(spark, "tree"), fresh_dir(spark, "written")
     catalog = cut(slices_of(spark, sf).where("table_name = 'orders'"))
     snapshot = take_snapshot(
@@ -724,25 +804,87 @@ def file_tree(spark, sf) -> tuple[str, DataFrame, DataFrame]:
         F.col("path").alias("source_path"),
         F.concat(F.lit(f"{root}/orders"), rel).alias("dest_path"),
     )
-    # The writer's empty marker file serves as descriptor and as manifest of each slice.
+    # The writer's empty marker file serves as manifest of each slice.
     mark = F.lit(f"{written}/_SUCCESS").alias("source_path")
     base = F.lit(f"{root}/orders")
     manifests = catalog.select(
         mark, F.concat_ws("/", base, "slice_id", F.lit(".regioninfo")).alias("dest_path")
     )
-    descriptor = catalog.select(mark, F.concat(base, F.lit("/.tableinfo.1")).alias("dest_path"))
-    cut(copy_files_job(data.unionByName(manifests).unionByName(descriptor.distinct())))
-    families = orders.select(
-        F.lit("orders").alias("table_name"), F.col("o_orderstatus").alias("family")
+    cut(copy_files_job(data.unionByName(manifests)))
+    families = orders.agg(F.collect_set("o_orderstatus").alias("families"))
+    put_descriptors(families.select(F.lit("orders").alias("name"), "families"), root, 1)
+    return root, catalog
+
+
+def put_descriptors(tables: DataFrame, root: str, version: int, binary: bool = False) -> None:
+    """Writes a descriptor for each table (``name, families``) below its directory."""
+    form = binary_descriptor if binary else format_descriptor
+
+    def write(batches):
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                fs, path, _ = open_fs(f"{root}/{row.name}/.tableinfo.{version:010d}")
+                fs.create_dir(parent(path), recursive=True)
+                with fs.open_output_stream(path) as out:
+                    out.write(form(row.name, list(row.families)))
+            yield batch[["name"]]
+
+    cut(tables.select("name", "families").mapInPandas(write, "name string"))
+
+
+def binary_descriptor(table: str, families: list[str]) -> bytes:
+    """The serialised form, each with a property."""
+
+    def number(n: int) -> bytes:
+        return n.to_bytes(4, "big")
+
+    def name(text: str) -> bytes:
+        data = text.encode()
+        long = b"" if len(data) < 128 else bytes([256 - 112 - 2]) + len(data).to_bytes(2, "big")
+        return (long or bytes([len(data)])) + data
+
+    properties = number(1) + number(3) + b"key" + number(5) + b"value"
+    out = number(4) + name(table) + b"\0\0" + properties + number(len(families))
+    return out + b"".join(b"\x08" + name(f) + properties for f in families)
+
+
+@query
+def descriptor_families(spark, sf):
+    """Families as read from the newest descriptors, text and binary ones; older versions name
+    families that are gone."""
+    root = fresh_dir(spark, "described")
+    by_priority = table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("name")).agg(
+        F.collect_set("o_orderstatus").alias("families")
+    )
+    by_user = table(spark, sf, "events").groupBy(F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("name")).agg(
+        F.collect_set("event_type").alias("families")
+    )
+    for tables, binary in ((by_priority, False), (by_user, True)):
+        put_descriptors(tables.withColumn("families", F.array(F.lit("gone"))), root, 1, not binary)
+        put_descriptors(tables, root, 2, binary)
+    files = listing.list_files(spark, [root], recursive=True).withColumn("table_name", F.split("rel_path", "/").getItem(1))
+    newest = listing.latest_descriptor(files.where(is_descriptor()))
+    return read_families(newest).select("table_name", "family", "error")
+
+
+@query
+def slice_files_failed(spark, sf):
+    """Outcomes of copying a tree in which the descriptor names a family that the first slice lacks."""
+    root, slices = file_tree(spark, sf)
+    first = slices.orderBy("start_key").head().slice_id
+    cut(delete_paths_job(local_frame(spark, [(f"{root}/orders/{first}/F",)], "path string")))
+    listed = listing.list_slice_files(slices, root)
+    outcomes = copy_slice_files(listed, root, fresh_dir(spark, "copied"))
+    return outcomes.select("table_name", "slice_id", "status", F.col("files") > 0, "error").toDF(
+        "table_name", "slice_id", "status", "has_files", "error"
     )
-    return root, catalog, families.distinct()
 
 
 @query
 def slice_files(spark, sf):
     """Per slice: listed manifests, family directories, problems."""
-    root, slices, families = file_tree(spark, sf)
-    listed = cut(listing.list_slice_files(slices, root, families))
+    root, slices = file_tree(spark, sf)
+    listed = cut(listing.list_slice_files(slices, root))
     is_manifest = F.col("name") == ".regioninfo"
     return listed.groupBy("table_name", "slice_id").agg(
         F.count_if(is_manifest).alias("manifests"),
@@ -756,12 +898,12 @@ def slice_files(spark, sf):
 def slice_files_lenient(spark, sf):
     """The same where the first slice has lost its manifest and the second a family directory,
     which a lenient listing passes over."""
-    root, slices, families = file_tree(spark, sf)
+    root, slices = file_tree(spark, sf)
     first, second = [r.slice_id for r in slices.orderBy("start_key").limit(2).collect()]
-    family = families.agg(F.min("family")).head()[0]
+    family = table(spark, sf, "orders").agg(F.min("o_orderstatus")).head()[0]
     lost = [(f"{root}/orders/{first}/.regioninfo",), (f"{root}/orders/{second}/{family}",)]
     cut(delete_paths_job(local_frame(spark, lost, "path string")))
-    listed = cut(listing.list_slice_files(slices, root, families, on_missing="skip"))
+    listed = cut(listing.list_slice_files(slices, root, on_missing="skip"))
     return listed.groupBy("table_name", "slice_id").agg(
         F.count_if(F.col("name") == ".regioninfo").alias("manifests"),
         F.count_if("is_dir").alias("family_dirs"),
@@ -772,10 +914,10 @@ def slice_files_lenient(spark, sf):
 @query
 def copy_files(spark, sf):
     """Orders read from a restored copy of the file tree."""
-    root, slices, families = file_tree(spark, sf)
-    copier = FileCopier(root, ["orders"], families)
+    root, slices = file_tree(spark, sf)
+    copier = FileCopier(root, ["orders"])
     snapshot = take_snapshot(spark, copier, lambda _: slices, fresh_dir(spark, "files"))
     target = fresh_dir(spark, "restored")
     cut(restore_tables(spark, snapshot.path, target))
     reader = spark.read.schema(table(spark, sf, "orders").schema)
-    return reader.option("recursiveFileLookup", "true").parquet(f"{target}/orders")
+    return reader.option("recursiveFileLookup", "true").parquet(restored_path(spark, target, "orders"))

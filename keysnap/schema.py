@@ -62,8 +62,10 @@ FILE_ENTRY = _struct(
     "table_name string, slice_id string, attempt int, rel_path string, length bigint, is_dir boolean"
 )
 
+# ``content_checked``: whether the manifest's checksums cover the rows' content, or nothing.
 DESCRIPTOR = _struct(
-    "table_name string, schema_json string, key_column string, key_width int"
+    "table_name string, schema_json string, key_column string, key_width int,"
+    "content_checked boolean"
 )
 
 SNAPSHOT = _struct(

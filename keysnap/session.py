@@ -15,6 +15,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.speculation": "false",
+    # Jobs of several tables share the cores evenly.
+    "spark.scheduler.mode": "FAIR",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keysnap.operators.ordered import Order
+from keysnap.operators.rounds import byte_units
 from keysnap.schema import COPY_OUTCOME, SLICE_COLS
 from keysnap.session import cut, tasks
 from keysnap.sources.storage import open_fs, parent
@@ -74,8 +76,9 @@ def _copy_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def copy_files(plan: DataFrame, parallelism: int | None = None) -> DataFrame:
     """Copies files; one outcome row each, in a plan without a shuffle beyond dealing them out.
 
-    ``plan``: ``source_path``, ``dest_path`` and optionally ``is_dir`` (make a directory) and
-    ``fallbacks`` (array of other paths to try in order). Copying happens when the result is
+    ``plan``: ``source_path``, ``dest_path`` and optionally ``is_dir`` (make a directory),
+    ``fallbacks`` (array of other paths to try in order) and ``unit``, the number of the task (0 to
+    ``parallelism`` - 1) that copies the row; without it rows are dealt out by their number. Copying happens when the result is
     computed, and again whenever it is recomputed: checkpoint or write the result. Files are
     streamed in blocks, so memory does not grow with their size.
     """
@@ -84,11 +87,10 @@ def copy_files(plan: DataFrame, parallelism: int | None = None) -> DataFrame:
         plan = plan.withColumn("is_dir", F.lit(False))
     if "fallbacks" not in cols:
         plan = plan.withColumn("fallbacks", F.array().cast("array<string>"))
-    return (
-        plan.select("source_path", "dest_path", "is_dir", "fallbacks")
-        .repartition(tasks(plan.sparkSession, parallelism))
-        .mapInPandas(_copy_batches, COPY_OUTCOME)
-    )
+    n = tasks(plan.sparkSession, parallelism)
+    dealt = plan.repartitionById(n, F.col("unit")) if "unit" in cols else plan.repartition(n)
+    own = dealt.select("source_path", "dest_path", "is_dir", "fallbacks")
+    return own.mapInPandas(_copy_batches, COPY_OUTCOME)
 
 
 def _delete_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -126,7 +128,8 @@ def copy_slice_files(
     """Copies the files of slices; a slice counts only if all of its files arrived.
 
     ``listed`` comes from :func:`~keysnap.sources.listing.list_slice_files`. Work is dealt out by
-    file, so a slice with very many files is copied by many tasks. Earlier copies of the slices
+    the files' bytes: each task copies a run of files, in order of path, of about the same size, so
+    a slice with very many files is copied by many tasks. Earlier copies of the slices
     are deleted first, and those of failed slices afterwards. Runs jobs; returns OUTCOME rows, and
     appends a FILE_ENTRY row for each file copied to ``files_out``.
     """
@@ -144,12 +147,15 @@ def copy_slice_files(
             F.col("path").alias("source_path"),
             F.concat(F.lit(target), rel).alias("dest_path"),
             "is_dir",
+            "length",
             F.array(*[F.concat(F.lit(r.rstrip("/")), rel) for r in fallback_roots])
             .cast("array<string>")
             .alias("fallbacks"),
         )
     )
-    copied = cut(copy_files(plan, parallelism))
+    n = tasks(plan.sparkSession, parallelism)
+    units = byte_units(plan, n, "length", Order((), ("source_path",)))
+    copied = cut(copy_files(units, n))
     arrived = plan.select(*SLICE_COLS, "source_path", "dest_path", "is_dir").join(
         copied.drop("dest_path"), "source_path"
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from keysnap.schema import DESCRIPTOR_PREFIX, FILES, SLICE_COLS, SLICE_MANIFEST
 from keysnap.session import cut, local_frame, tasks
+from keysnap.sources.descriptors import is_descriptor, read_families
 from keysnap.sources.storage import children, utc
 
 BATCH = 10_000
@@ -87,7 +88,6 @@ def list_files(
 def list_slice_files(
     slices: DataFrame,
     root: str,
-    families: DataFrame,
     on_missing: str = "fail",
     descriptor_prefix: str = DESCRIPTOR_PREFIX,
     manifest_name: str = SLICE_MANIFEST,
@@ -95,11 +95,11 @@ def list_slice_files(
 ) -> DataFrame:
     """Files of each slice in a ``root/table/slice/family/file`` tree, problems as rows.
 
-    ``families`` has ``table_name`` and ``family``. Each slice gives its manifest, each family
-    directory (also an empty one) and the files directly in it. What is missing — descriptor,
-    slice directory, manifest, family directory — gives a row with ``error`` set: a slice with
-    such a row is to be treated as failed. With ``on_missing='skip'`` a missing manifest or
-    family gives no row, but a missing descriptor still gives an error.
+    Which families a table has is read from its newest descriptor. Each slice gives its manifest,
+    each family directory (also an empty one) and the files directly in it. What is missing —
+    descriptor, slice directory, manifest, family directory — gives a row with ``error`` set: a
+    slice with such a row is to be treated as failed. With ``on_missing='skip'`` a missing manifest
+    or family gives no row, but a missing or unreadable descriptor still gives an error.
     """
     base = root.rstrip("/")
     own = [*SLICE_COLS, "path", "name", "length", "is_dir", "error"]
@@ -107,15 +107,17 @@ def list_slice_files(
     table_dirs = tables.select(
         F.lit(base).alias("root"), F.concat_ws("/", F.lit(base), "table_name").alias("path")
     )
-    described = (
-        list_dirs(table_dirs, parallelism)
-        .where(F.col("name").startswith(descriptor_prefix) & ~F.col("is_dir"))
-        .select(F.element_at(F.split("path", "/"), -2).alias("table_name"))
-        .distinct()
+    in_tables = list_dirs(table_dirs, parallelism).where(is_descriptor(descriptor_prefix)).withColumn(
+        "table_name", F.element_at(F.split("path", "/"), -2)
     )
-    no_descriptor = slices.join(described, "table_name", "left_anti").select(
+    # Kept, so that all slices are judged by one reading of the descriptors.
+    newest = cut(latest_descriptor(in_tables, descriptor_prefix))
+    families = cut(read_families(newest, parallelism))
+    unreadable = families.where("error is not null").select("table_name", "error")
+    families = families.where("error is null").select("table_name", "family")
+    no_descriptor = slices.join(newest, "table_name", "left_anti").select(
         *SLICE_COLS, F.lit("descriptor missing").alias("error")
-    )
+    ).unionByName(slices.join(unreadable, "table_name").select(*SLICE_COLS, "error"))
 
     at = F.concat_ws("/", F.lit(base), "table_name", "slice_id")
     dirs = slices.select(*SLICE_COLS, at.alias("slice_dir"))
@@ -192,8 +194,3 @@ def resolve_source(files: DataFrame, candidates: DataFrame) -> DataFrame:
     return files.join(best, "rel_path", "left").select(
         *files.columns, source.alias("source_path")
     )
-
-
-def families_of(spark: SparkSession, families: dict[str, Sequence[str]]) -> DataFrame:
-    rows = [(t, f) for t, names in families.items() for f in names]
-    return local_frame(spark, rows, "table_name string, family string")

@@ -10,7 +10,7 @@ from operator import or_
 
 import pandas as pd
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,7 +19,7 @@ from keysnap.functions.keys import end_order, padded_key
 from keysnap.operators.ordered import with_row_number
 from keysnap.operators.rounds import KEY_ORDER
 from keysnap.schema import OUTCOME, SLICE_COLS
-from keysnap.session import local_frame
+from keysnap.session import cut, local_frame
 
 # Slice boundaries of one pass are broadcast; more slices than this are copied in several passes.
 MAX_SLICES_PER_PASS = 100_000
@@ -196,6 +196,25 @@ def checked_columns(schema: T.StructType, check: str) -> T.StructType:
     return schema if check == "content" else T.StructType([])
 
 
+TOTALS = ["total_0", "total_1", "total_2"]
+
+
+def in_slice(hashed: Column) -> Column:
+    """A row's hash together with its slice: a row in the wrong slice changes the sum."""
+    return F.xxhash64(hashed, F.col(SLICE_DIR))
+
+
+def observed_totals(tagged: DataFrame, schema: T.StructType, seen: Observation) -> DataFrame:
+    """``tagged``, whose rows are counted and summed up in ``seen`` on their way to the writer."""
+    name = "row_hash_"
+    while name in tagged.columns:
+        name += "_"
+    pieces = hash_pieces(F.col(name)).values()
+    sums = [F.coalesce(F.sum(p), F.lit(0)).alias(t) for p, t in zip(pieces, TOTALS)]
+    hashed = tagged.withColumn(name, in_slice(row_hash(schema)))
+    return hashed.observe(seen, F.count(F.lit(1)).alias("rows"), *sums).drop(name)
+
+
 def slice_stats(tagged: DataFrame, schema: T.StructType) -> DataFrame:
     """Rows and checksum pieces per slice over the columns of ``schema``; partial sums are built
     before the shuffle."""
@@ -208,7 +227,9 @@ def slice_stats(tagged: DataFrame, schema: T.StructType) -> DataFrame:
 
 
 def stored_stats(stored: DataFrame, schema: T.StructType) -> DataFrame:
-    """As :func:`slice_stats` for slices on disk, with their files and bytes."""
+    """As :func:`slice_stats` for slices on disk, with their files and bytes, and the sums that
+    :func:`observed_totals` gives over all rows."""
+    totals = [F.sum(t).alias(t) for t in TOTALS]
     return (
         stored.select(
             SLICE_DIR,
@@ -219,15 +240,17 @@ def stored_stats(stored: DataFrame, schema: T.StructType) -> DataFrame:
         .select(
             SLICE_DIR, "file", "size",
             *[c.alias(n) for n, c in hash_pieces(F.col("h")).items()],
+            *[c.alias(t) for t, c in zip(TOTALS, hash_pieces(in_slice(F.col("h"))).values())],
         )
         .groupBy(SLICE_DIR, "file")
-        .agg(F.count(F.lit(1)).alias("rows"), F.max("size").alias("size"), *sum_pieces())
+        .agg(F.count(F.lit(1)).alias("rows"), F.max("size").alias("size"), *sum_pieces(), *totals)
         .groupBy(SLICE_DIR)
         .agg(
             F.sum("rows").alias("rows"),
             F.count(F.lit(1)).alias("files"),
             F.sum("size").alias("bytes"),
             *sum_pieces(),
+            *totals,
         )
     )
 
@@ -303,8 +326,10 @@ def copy_slices(
 ) -> None:
     """Copies the table's slices in ``work`` below ``root`` and appends OUTCOME rows to ``out``.
 
-    A slice counts as copied when what was stored has the row count and checksum of the source.
-    An error of the job as a whole is raised. Rows without a key belong to no slice; they are
+    A slice counts as copied when what was stored has the row count and checksum of the source. The
+    source is read once: its rows are summed up (each hash together with the slice) on their way to
+    the writer, and compared with the sums of what was stored. Only if those differ is the source
+    read again, to tell which slices are wrong. An error of the job as a whole is raised. Rows without a key belong to no slice; they are
     reported by :func:`rows_without_key`. ``fault`` is for tests: it changes the rows on their
     way to the writer.
     """
@@ -327,17 +352,29 @@ def copy_slices(
         source = source.where(pruning_filter(source, table, slices))
         tagged = tag_rows(source, table, slices)
         checked = checked_columns(schema, table.check)
-        expected = slice_stats(tagged.where(F.col(SLICE_DIR).isNotNull()), checked)
-        write_slices(fault(tagged, table.name, attempt) if fault else tagged, path,
+        inside = tagged.where(F.col(SLICE_DIR).isNotNull())
+        seen = Observation()
+        watched = observed_totals(inside, checked, seen)
+        write_slices(fault(watched, table.name, attempt) if fault else watched, path,
                      table.clustered)
         stored = read_slices(spark, path, schema)
         if attempt > 1 or not whole:
             # Other slices are there as well; their directories are not read.
             stored = stored.where(F.col(SLICE_DIR).isin([s[2] for s in slices]))
-        outcomes = compare_stats(chosen, expected, stored_stats(stored, checked), attempt)
+        found = cut(stored_stats(stored, checked))  # a row for each slice
+        expected = found if same_totals(seen, found) else slice_stats(inside, checked)
+        outcomes = compare_stats(chosen, expected, found, attempt)
         outcomes.write.mode("append").parquet(out)
 
 
+def same_totals(seen: Observation, found: DataFrame) -> bool:
+    """Whether the rows on their way to the writer and those in the store sum up to the same."""
+    names = ["rows", *TOTALS]
+    have = found.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names]).head()
+    want = seen.get
+    return all(int(want[c]) == int(have[c]) for c in names)
+
+
 def compare_stats(
     work: DataFrame, expected: DataFrame, found: DataFrame, attempt: int
 ) -> DataFrame:

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import os
+import uuid
 from functools import lru_cache
 from collections.abc import Iterator
 from datetime import datetime, timezone
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -72,12 +74,63 @@ def exists(spark: SparkSession, path: str) -> bool:
     return filesystem.exists(jvm_path)
 
 
-def rename(spark: SparkSession, source: str, dest: str) -> None:
-    filesystem, jvm_source = _hadoop(spark, source)
-    _, jvm_dest = _hadoop(spark, dest)
-    filesystem.mkdirs(jvm_dest.getParent())
-    if filesystem.exists(jvm_dest) or not filesystem.rename(jvm_source, jvm_dest):
-        raise OSError(f"cannot rename {source} to {dest}")
+def create_if_absent(spark: SparkSession, path: str, data: bytes) -> bool:
+    """Creates a small file; False where there is one already. Of several callers one creates it.
+
+    A local file appears with all its content, by a link. Other stores are asked not to overwrite,
+    and object stores that know conditional writes to check that when the file is closed.
+    """
+    filesystem, jvm_path = _hadoop(spark, path)
+    filesystem.mkdirs(jvm_path.getParent())
+    if filesystem.getScheme() == "file":
+        inner = jvm_path.toUri().getPath()
+        partial = f"{inner}.{uuid.uuid4().hex}.partial"
+        with open(partial, "wb") as out:
+            out.write(data)
+        try:
+            os.link(partial, inner)
+        except FileExistsError:
+            return False
+        finally:
+            os.unlink(partial)
+        return True
+    if filesystem.exists(jvm_path):
+        return False
+    try:
+        builder = filesystem.createFile(jvm_path).overwrite(False)
+        out = builder.opt("fs.option.create.conditional.overwrite", "true").build()
+        out.write(bytearray(data))
+        out.close()
+    except Py4JJavaError as e:
+        if filesystem.exists(jvm_path):
+            return False
+        raise OSError(f"cannot create {path}: {e.java_exception}") from e
+    return read_bytes(spark, path) == data
+
+
+def read_bytes(spark: SparkSession, path: str) -> bytes:
+    """The content of a small file."""
+    filesystem, jvm_path = _hadoop(spark, path)
+    stream = filesystem.open(jvm_path)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+    finally:
+        stream.close()
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names directly in a directory of few entries; none if it does not exist."""
+    filesystem, jvm_path = _hadoop(spark, path)
+    if not filesystem.exists(jvm_path):
+        return []
+    return sorted(s.getPath().getName() for s in filesystem.listStatus(jvm_path))
+
+
+def remove_empty(spark: SparkSession, path: str) -> None:
+    """Deletes a directory that holds nothing, or only empty directories."""
+    filesystem, jvm_path = _hadoop(spark, path)
+    if filesystem.exists(jvm_path) and filesystem.getContentSummary(jvm_path).getFileCount() == 0:
+        filesystem.delete(jvm_path, True)
 
 
 def remove_tree(spark: SparkSession, path: str) -> None:

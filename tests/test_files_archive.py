@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from keysnap import archive_once, archive_stream, restore_tables, take_snapshot
 from keysnap.operators.logs import archive_stats, empty_days, invalid_logs, list_logs
+from keysnap.plans.restore import restored_path
 from keysnap.plans.snapshot import FileCopier
+from keysnap.sources.descriptors import format_descriptor, parse_descriptor
 from keysnap.sources.files import copy_files, copy_slice_files, delete_paths
 from keysnap.sources.listing import (
-    ListingError, families_of, latest_descriptor, list_files, list_slice_files, resolve_source,
+    ListingError, latest_descriptor, list_files, list_slice_files, resolve_source,
 )
 from keysnap.streaming.archive_stream import read_stats
 from test_snapshot_restore import catalog, row
@@ -92,8 +94,8 @@ def test_delete(spark, tmp_path):
 
 def store(root: Path):
     """Two tables; slice s1 of t lacks a family, s2 its manifest."""
-    put(root / "t/.tableinfo.0000000001", b"old")
-    put(root / "t/.tableinfo.0000000002", b"new")
+    put(root / "t/.tableinfo.0000000001", format_descriptor("t", ["gone"]))
+    put(root / "t/.tableinfo.0000000002", format_descriptor("t", ["f1", "f2"]))
     for sid in ("s0", "s1", "s2"):
         put(root / f"t/{sid}/.regioninfo", sid.encode())
         put(root / f"t/{sid}/f1/file", sid.encode() * 3)
@@ -112,9 +114,8 @@ def slices(spark, *names):
 def test_slice_files(spark, tmp_path):
     root = tmp_path / "store"
     store(root)
-    fams = families_of(spark, {"t": ["f1", "f2"], "u": ["f1"]})
     every = slices(spark, "t/s0", "t/s1", "t/s2", "t/s3", "u/s0")
-    listed = list_slice_files(every, str(root), fams).collect()
+    listed = list_slice_files(every, str(root)).collect()
     ok = {r.path[len(str(root)):] for r in listed if r.slice_id == "s0" and r.table_name == "t"}
     assert ok == {"/t/s0/.regioninfo", "/t/s0/f1", "/t/s0/f2", "/t/s0/f1/file"}
     errors = {(r.table_name, r.slice_id, r.error) for r in listed if r.error}
@@ -123,10 +124,10 @@ def test_slice_files(spark, tmp_path):
         ("t", "s3", "manifest missing"), ("t", "s3", "family missing: f1"),
         ("t", "s3", "family missing: f2"), ("u", "s0", "descriptor missing"),
     }
-    lenient = list_slice_files(every, str(root), fams, on_missing="skip").collect()
+    lenient = list_slice_files(every, str(root), on_missing="skip").collect()
     assert {(r.table_name, r.error) for r in lenient if r.error} == {("u", "descriptor missing")}
     outcomes = copy_slice_files(
-        list_slice_files(every, str(root), fams), str(root), str(tmp_path / "copy")
+        list_slice_files(every, str(root)), str(root), str(tmp_path / "copy")
     ).collect()
     assert {(r.table_name, r.slice_id): (r.status, r.files) for r in outcomes} == {
         ("t", "s0"): ("copied", 2), ("t", "s1"): ("failed", 0), ("t", "s2"): ("failed", 0),
@@ -149,16 +150,17 @@ def test_file_snapshot_and_restore(spark, tmp_path):
             (root / "t/s1/f2").mkdir(exist_ok=True)
         return cat
 
-    copier = FileCopier(str(root), ["t"], families_of(spark, {"t": ["f1", "f2"]}))
+    copier = FileCopier(str(root), ["t"])
     snap = take_snapshot(spark, copier, fresh, str(tmp_path / "snaps"))
     assert snap.seal().head().verified
     got = sorted((r.slice_id, r.attempt, r.status) for r in snap.outcomes().collect())
     assert got == [("s0", 1, "copied"), ("s1", 1, "failed"), ("s1", 2, "copied"), ("s2", 1, "copied")]
     out = restore_tables(spark, snap.path, str(tmp_path / "back")).head()
     assert out.status == "restored", out.error
-    back = tree(tmp_path / "back/t")
-    assert back[".tableinfo.0000000002"] == b"new" and ".tableinfo.0000000001" not in back
-    assert back["s1/f1/file"] == b"s1s1s1" and (tmp_path / "back/t/s1/f2").is_dir()
+    place = Path(restored_path(spark, str(tmp_path / "back"), "t"))
+    back = tree(place)
+    assert parse_descriptor(back[".tableinfo.0000000002"]) == ("t", ["f1", "f2"]) and ".tableinfo.0000000001" not in back
+    assert back["s1/f1/file"] == b"s1s1s1" and (place / "s1/f2").is_dir()
 
 
 def test_latest_descriptor_and_source(spark, tmp_path):
@@ -274,10 +276,10 @@ def test_file_restore_proves_completeness(spark, tmp_path, harm):
         for i in range(3):
             put(root / "t" / s / "f" / f"file{i}", b"x" * 500)
         (root / "t" / s / "g").mkdir()
-    put(root / "t" / ".tableinfo.1", b"d")
+    put(root / "t" / ".tableinfo.1", format_descriptor("t", ["f", "g"]))
     (root / "t" / ".tableinfo.9").mkdir()  # bears the name of a newer descriptor, but is none
     slices = catalog(spark, [row("t", "s0", "", "m"), row("t", "s1", "m", "")])
-    copier = FileCopier(str(root), ["t"], families_of(spark, {"t": ["f", "g"]}))
+    copier = FileCopier(str(root), ["t"])
     snapshot = take_snapshot(spark, copier, lambda _: slices, str(tmp_path / "dest"))
     assert snapshot.seal().head().verified
     place = os.path.join(snapshot.data, "t")
@@ -303,14 +305,14 @@ def test_a_descriptor_that_cannot_be_copied_stops_the_snapshot(spark, tmp_path,
 
     root = tmp_path / "root"
     put(root / "t" / "s0" / ".regioninfo", b"m")
-    put(root / "t" / ".tableinfo.1", b"d")
+    put(root / "t" / ".tableinfo.1", format_descriptor("t", []))
 
     def failing(plan, parallelism=None):
         return copy_files(plan.withColumn("source_path", F.concat("source_path", F.lit("-gone"))), parallelism)
 
     monkeypatch.setattr(plans, "copy_files", failing)
     slices = catalog(spark, [row("t", "s0", "", "")])
-    copier = FileCopier(str(root), ["t"], families_of(spark, {"t": []}))
+    copier = FileCopier(str(root), ["t"])
     with pytest.raises(plans.SnapshotError, match="descriptor"):
         take_snapshot(spark, copier, lambda _: slices, str(tmp_path / "dest"))
 

@@ -5,9 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from keysnap import KeyedTable, restore_tables, take_snapshot
+from keysnap import KeyedTable, read_restored, restore_tables, take_snapshot
 from keysnap.operators.restore import restore_summary
-from keysnap.plans.restore import RestoreError, open_snapshot
+from keysnap.plans.restore import RestoreError, open_snapshot, read_restored_catalog
 from keysnap.plans.snapshot import RowCopier, SnapshotError
 from keysnap.schema import CATALOG_COLS
 from keysnap.sources import rows as rows_module
@@ -76,10 +76,10 @@ def test_roundtrip(spark, numbers, tmp_path, clustered):
     assert manifest["s0"].files >= 1 and manifest["s0"].bytes > 0
     out = restore_tables(spark, snap.path, str(tmp_path / "t")).collect()
     assert [(r.table_name, r.status, r.rows) for r in out] == [("numbers", "restored", 3000)]
-    restored = spark.read.parquet(str(tmp_path / "t" / "numbers"))
+    restored = read_restored(spark, str(tmp_path / "t"), "numbers")
     source = spark.read.parquet(numbers)
     assert restored.schema == source.schema and same(restored, source)
-    back = spark.read.parquet(str(tmp_path / "t" / "restored-catalog"))
+    back = read_restored_catalog(spark, str(tmp_path / "t"), ["numbers"])
     assert back.count() == 5 and back.where("is_split or is_offline").isEmpty()
     # The target exists now; nothing is overwritten.
     with pytest.raises(RestoreError, match="numbers: exists"):
