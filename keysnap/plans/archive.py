@@ -14,8 +14,9 @@ from keysnap.operators.logs import (
 )
 from keysnap.schema import RUN_STATS
 from keysnap.session import cut, local_frame
-from keysnap.sources.files import PARTIAL_PREFIX, copy_files, delete_paths
+from keysnap.sources.files import PARTIAL_PREFIX, delete_paths
 from keysnap.sources.listing import list_files
+from keysnap.sources.ranges import copy_all
 from keysnap.sources.storage import exists
 
 
@@ -91,8 +92,9 @@ def archive_once(
         F.col("path").alias("source_path"),
         F.concat_ws("/", F.lit(archive), F.lit(day), "name").alias("dest_path"),
         F.array(*[F.concat_ws("/", F.lit(r), "name") for r in elsewhere]).alias("fallbacks"),
+        "length",
     )
-    outcomes = cut(copy_files(plan, parallelism))
+    outcomes = cut(copy_all(plan, parallelism))
     counts = outcomes.agg(
         F.count_if(F.col("status") == "copied").alias("ok"),
         F.count_if(F.col("status") == "failed").alias("bad"),

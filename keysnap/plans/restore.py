@@ -22,9 +22,9 @@ from keysnap.operators.rounds import byte_units
 from keysnap.plans.together import LIMIT, run_together
 from keysnap.session import cut, local_frame, tasks
 from keysnap.sources.commits import CommitLog
-from keysnap.sources.files import copy_files
 from keysnap.sources.listing import list_dirs, list_files
 from keysnap.sources.manifest import Snapshot
+from keysnap.sources.ranges import copy_all
 from keysnap.sources.rows import SLICE_DIR, checked_columns, read_slices
 from keysnap.sources.storage import exists, names_in, remove_empty, remove_tree
 
@@ -150,7 +150,7 @@ def _restore_files(snapshot: Snapshot, table: str, place: str, parallelism: int
     )
     n = tasks(snapshot.spark, parallelism)
     units = byte_units(plan, n, "length", Order((), ("source_path",)))
-    bad = cut(copy_files(units, n)).where("status = 'failed'").select("error").head()
+    bad = cut(copy_all(units, n)).where("status = 'failed'").select("error").head()
     if bad:
         raise OSError(bad.error)
 

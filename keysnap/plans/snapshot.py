@@ -18,11 +18,12 @@ from keysnap.operators.rounds import remaining_slices, work_units
 from keysnap.plans.together import LIMIT, run_together
 from keysnap.schema import DESCRIPTOR, IDENTITY, ISSUE, OUTCOME, SLICE_COLS, SNAPSHOT_PREFIX, STAMP_FORMAT
 from keysnap.session import cut, local_frame, tasks
-from keysnap.sources.files import copy_files, copy_slice_files, delete_paths
+from keysnap.sources.files import copy_files, delete_paths
 from keysnap.sources.descriptors import is_descriptor
 from keysnap.sources.listing import latest_descriptor, list_dirs, list_slice_files
 from keysnap.sources.manifest import Snapshot
 from keysnap.sources.rows import KeyedTable, OverlapError, copy_slices, rows_without_key
+from keysnap.sources.slice_files import copy_slice_files
 from keysnap.sources.storage import exists
 
 

@@ -24,9 +24,10 @@ from keysnap.session import cut, fresh_dir, local_frame
 from keysnap.sources import listing
 from keysnap.sources.descriptors import format_descriptor, is_descriptor, read_families
 from keysnap.sources.files import copy_files as copy_files_job
-from keysnap.sources.files import copy_slice_files
+from keysnap.sources.ranges import copy_by_ranges, file_checksums
 from keysnap.sources.files import delete_paths as delete_paths_job
 from keysnap.sources.rows import KeyedTable, read_slices
+from keysnap.sources.slice_files import copy_slice_files
 from keysnap.sources.storage import names_in, open_fs, parent
 from keysnap.streaming.archive_stream import archive_stream
 
@@ -733,6 +734,22 @@ def copy_fallback(spark, sf):
     return used.join(F.broadcast(n))
 
 
+@query
+def copy_ranges(spark, sf):
+    """Events read from log files that were copied in ranges of 4 KB, and whether every copy has its
+    original's checksum, put together from those of ranges of 1,000 bytes."""
+    _, plan = event_logs(spark, sf)
+    place = fresh_dir(spark, "copied")
+    plan = cut(plan.drop("log_user").withColumn("dest_path", F.concat_ws("/", F.lit(place), F.substring_index("dest_path", "/", -1))))
+    lengths = listing.list_files(spark, plan.select(F.regexp_replace("source_path", "/[^/]*$", "").alias("path")))
+    plan = plan.join(lengths.select(F.col("path").alias("source_path"), "length"), "source_path")
+    copied = cut(copy_by_ranges(plan, part_bytes=4096))
+    sums = file_checksums(copied.select(F.col("dest_path").alias("path"), F.col("bytes").alias("length")), part_bytes=1000)
+    both = copied.join(sums.select(F.col("path").alias("dest_path"), F.col("crc32").alias("again")), "dest_path", "left")
+    equal = both.agg(F.bool_and(F.coalesce(F.col("crc32") == F.col("again"), F.lit(False))).alias("checksums_equal"))
+    return read_events(spark, sf, place).crossJoin(F.broadcast(equal))  # one row
+
+
 @query
 def archive_stream_run(spark, sf):
     """Events read from an archive that one tick of the periodic job has filled."""

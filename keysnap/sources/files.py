@@ -3,16 +3,14 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keysnap.operators.ordered import Order
-from keysnap.operators.rounds import byte_units
-from keysnap.schema import COPY_OUTCOME, SLICE_COLS
-from keysnap.session import cut, tasks
+from keysnap.schema import COPY_OUTCOME
+from keysnap.session import tasks
 from keysnap.sources.storage import open_fs, parent
 
 CHUNK_BYTES = 8 << 20
@@ -118,77 +116,3 @@ def delete_paths(paths: DataFrame, parallelism: int | None = None) -> DataFrame:
         .repartition(tasks(paths.sparkSession, parallelism))
         .mapInPandas(_delete_batches, "path string, deleted boolean, error string")
     )
-
-
-def copy_slice_files(
-    listed: DataFrame, root: str, dest: str, attempt: int = 1,
-    fallback_roots: Sequence[str] = (), parallelism: int | None = None,
-    files_out: str | None = None,
-) -> DataFrame:
-    """Copies the files of slices; a slice counts only if all of its files arrived.
-
-    ``listed`` comes from :func:`~keysnap.sources.listing.list_slice_files`. Work is dealt out by
-    the files' bytes: each task copies a run of files, in order of path, of about the same size, so
-    a slice with very many files is copied by many tasks. Earlier copies of the slices
-    are deleted first, and those of failed slices afterwards. Runs jobs; returns OUTCOME rows, and
-    appends a FILE_ENTRY row for each file copied to ``files_out``.
-    """
-    base, target = root.rstrip("/"), dest.rstrip("/")
-    listed = cut(listed)
-    folder = F.concat_ws("/", F.lit(target), "table_name", "slice_id")
-    cut(delete_paths(listed.select(folder.alias("path")).distinct(), parallelism))
-    broken = listed.groupBy(*SLICE_COLS).agg(F.max("error").alias("list_error"))
-    rel = F.substring(F.col("path"), F.lit(len(base) + 1), F.length("path"))
-    plan = (
-        listed.where("path is not null")
-        .join(broken.where("list_error is null"), SLICE_COLS, "left_semi")
-        .select(
-            *SLICE_COLS,
-            F.col("path").alias("source_path"),
-            F.concat(F.lit(target), rel).alias("dest_path"),
-            "is_dir",
-            "length",
-            F.array(*[F.concat(F.lit(r.rstrip("/")), rel) for r in fallback_roots])
-            .cast("array<string>")
-            .alias("fallbacks"),
-        )
-    )
-    n = tasks(plan.sparkSession, parallelism)
-    units = byte_units(plan, n, "length", Order((), ("source_path",)))
-    copied = cut(copy_files(units, n))
-    arrived = plan.select(*SLICE_COLS, "source_path", "dest_path", "is_dir").join(
-        copied.drop("dest_path"), "source_path"
-    )
-    if files_out:
-        # Paths within the table's directory, as a restore lists them.
-        skipped = F.length("table_name") + F.lit(len(target) + 2)
-        arrived.where("status = 'copied'").select(
-            "table_name", "slice_id", F.lit(attempt).alias("attempt"),
-            F.substring(F.col("dest_path"), skipped, F.length("dest_path")).alias("rel_path"),
-            F.col("bytes").alias("length"), "is_dir",
-        ).write.mode("append").parquet(files_out)
-    per_slice = (
-        arrived.groupBy(*SLICE_COLS)
-        .agg(
-            F.count_if((F.col("status") == "copied") & ~F.col("is_dir")).alias("files"),
-            F.sum("bytes").alias("bytes"),
-            F.max("error").alias("copy_error"),
-        )
-    )
-    error = F.coalesce("list_error", "copy_error")
-    outcomes = cut(
-        broken.join(per_slice, SLICE_COLS, "left")
-        .select(
-            *SLICE_COLS,
-            F.lit(attempt).alias("attempt"),
-            F.when(error.isNull(), "copied").otherwise("failed").alias("status"),
-            F.coalesce("files", F.lit(0)).cast("bigint").alias("files"),
-            F.coalesce("bytes", F.lit(0)).cast("bigint").alias("bytes"),
-            F.lit(None).cast("bigint").alias("rows"),
-            F.lit(None).cast("decimal(38,0)").alias("checksum"),
-            error.alias("error"),
-        )
-    )
-    failed = outcomes.where("status = 'failed'").select(folder.alias("path"))
-    cut(delete_paths(failed, parallelism))
-    return outcomes

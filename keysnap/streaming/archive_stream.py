@@ -24,20 +24,22 @@ def archive_stream(
     retries: int | None = 3,
     once: bool = False,
     parallelism: int | None = None,
+    fallback_roots: Sequence[str] = (),
 ) -> StreamingQuery:
     """Runs :func:`archive_once` every ``every``, counted from start to start.
 
     The stream only gives the beat. A file stream would not do, as it never gives a file again
     that has grown. A run cut short by an error of a job or of the file system is repeated at
     once, up to ``retries`` times (None: for ever). RUN_STATS rows are kept below ``stats``, one directory per run, so that a repeated
-    batch replaces its row. With ``once`` a single run is made.
+    batch replaces its row. ``fallback_roots`` are where logs that are gone are looked for. With ``once`` a single run is made.
     """
 
     def tick(_: DataFrame, batch: int) -> None:
         for tried in count():
             try:
                 row = archive_once(
-                    spark, sources, archive, days=days, run=batch, parallelism=parallelism
+                    spark, sources, archive, days=days, run=batch, fallback_roots=fallback_roots,
+                    parallelism=parallelism,
                 )
                 break
             except (OSError, Py4JJavaError, CapturedException):

@@ -4,8 +4,8 @@ import pytest
 
 from keysnap.queries.registry import binary_descriptor
 from keysnap.sources.descriptors import DescriptorError, format_descriptor, parse_descriptor, read_families
-from keysnap.sources.files import copy_slice_files
 from keysnap.sources.listing import list_slice_files
+from keysnap.sources.slice_files import copy_slice_files
 from test_files_archive import put, slices
 
 NAMES = ["f", "Größe", "x" * 127, "y" * 128, "z" * 300]

@@ -13,10 +13,11 @@ from keysnap.operators.logs import archive_stats, empty_days, invalid_logs, list
 from keysnap.plans.restore import restored_path
 from keysnap.plans.snapshot import FileCopier
 from keysnap.sources.descriptors import format_descriptor, parse_descriptor
-from keysnap.sources.files import copy_files, copy_slice_files, delete_paths
+from keysnap.sources.files import copy_files, delete_paths
 from keysnap.sources.listing import (
     ListingError, latest_descriptor, list_files, list_slice_files, resolve_source,
 )
+from keysnap.sources.slice_files import copy_slice_files
 from keysnap.streaming.archive_stream import read_stats
 from test_snapshot_restore import catalog, row
 
