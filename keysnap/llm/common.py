@@ -41,11 +41,13 @@ def map_text(
     fields: T.StructType,
     each: Callable[[], Callable[[str | None], tuple]],
     keep: list[str],
+    rows: int | None = None,
 ) -> DataFrame:
     """The columns ``keep`` and, for each row, the fields that a function makes of its text.
 
     ``each`` is called once for each task and returns that function. Rows stream through in Arrow
-    batches; the text itself goes no further unless it is among ``keep``.
+    batches; the text itself goes no further unless it is among ``keep``. With ``rows`` results go
+    back in batches of so many rows, so that both sides hold little at a time where texts are kept.
     """
     source = df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, text])])
     schema = T.StructType([source.schema[c] for c in keep] + fields.fields)
@@ -56,7 +58,10 @@ def map_text(
 
         arrow = to_arrow_schema(fields)
         make = each()
-        for batch in batches:
+        whole = batches
+        if rows:
+            whole = (b.slice(i, rows) for b in batches for i in range(0, b.num_rows, rows))
+        for batch in whole:
             at = batch.schema.get_field_index(text)
             texts = batch.column(at)
             # A few rows at a time: whole batches of long texts are never held as Python objects.

@@ -79,8 +79,10 @@ def _repeated(words: list[bytes]) -> int:
     return int(np.count_nonzero(np.cumsum(edges)[:-1]))
 
 
-def with_stats(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    return map_text(df, text, STATS, lambda: lambda t: text_stats(t), df.columns if keep is None else keep)
+def with_stats(
+    df: DataFrame, text: str = "text", keep: list[str] | None = None, rows: int | None = None
+) -> DataFrame:
+    return map_text(df, text, STATS, lambda: lambda t: text_stats(t), df.columns if keep is None else keep, rows)
 
 
 def drop_rejected(
@@ -90,7 +92,7 @@ def drop_rejected(
     columns are called."""
     own = [f"c{i}" for i in range(len(documents.columns))]
     place = dict(zip(documents.columns, own))
-    stats = stored(with_stats(documents.toDF(*own), place[text]), "stats")
+    stats = stored(with_stats(documents.toDF(*own), place[text], rows=256), "stats")
     rules = fit_rules(stats.drop(place[text]), labels, place[doc_id], **parameters)
     return judged(stats, rules).where("kept").select(own).toDF(*documents.columns)
 

@@ -99,22 +99,33 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", fp: str = "fp"
     return documents.join(of.toDF(key, name), documents[fp] == F.col(key)).drop(key)
 
 
+def fingerprint_pairs(tagged: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b) of the nodes' rows: each with the first of its fingerprint, and first ones within two bits."""
+    prints = stored(tagged.select("row", "fp").join(nodes.hint("shuffle_hash"), "row", "left_semi"), "prints")
+    firsts = stored(prints.groupBy("fp").agg(F.min("row").alias("a")), "firsts")
+    same = prints.join(firsts, "fp").where("row <> a").select("a", F.col("row").alias("b"))
+    linked = links(firsts.select("fp")).join(firsts, "fp").join(firsts.select(F.col("fp").alias("other"), F.col("a").alias("b")), "other")
+    return same.unionByName(linked.select("a", "b"))
+
+
 def drop_near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each group of near copies stays: that of the smallest document id (nulls come last).
 
-    Near copies share 0.8 of their five-word shingles (``similar``); fingerprints of such texts
-    differ in far more bits than the two of the query.
+    Near copies share 0.8 of their five-word shingles. Fingerprints within two bits are candidates;
+    those of near copies mostly differ in far more bits, so ``similar`` finds further ones, and decides
+    all of them by their complete sets.
     """
     own = [f"c{i}" for i in range(len(documents.columns))]  # no name can clash
     place = dict(zip(documents.columns, own))
     plain = documents.toDF(*own).withColumn("row", F.monotonically_increasing_id())
-    tagged = stored(similar.with_bands(plain, place[text], plain.columns), "tagged")
+    tagged = stored(similar.with_bands(plain, place[text], plain.columns, fingerprint, "fp"), "tagged")
     narrow = tagged.select(F.col(place[doc_id]).alias("id"), "row", "digest")
     distinct = stored(
         narrow.groupBy("digest").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("first"))
         .select("first", F.col("first.row").alias("node")), "sets",
     )
-    root = similar.similar_components(tagged, distinct.select(F.col("node").alias("row")), place[text])
+    nodes = distinct.select(F.col("node").alias("row"))
+    root = similar.similar_components(tagged, nodes, place[text], fingerprint_pairs(tagged, nodes))
     stays = (
         distinct.join(root, "node", "left")
         .groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))

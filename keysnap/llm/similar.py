@@ -1,10 +1,13 @@
 """Near copies by the Jaccard similarity of their sets of five-word shingles.
 
-Candidates share a band: ``ROWS`` of the ``BANDS`` times ``ROWS`` smallest permuted hashes of a set.
-Of a pair with similarity 0.8 all bands differ with a probability of 7e-10, of a closer pair more
-rarely. No candidate counts as it is: a link needs the similarity of the complete sets, which is
-counted from integers. (Fingerprints of such pairs differ in 12 bits and more, and balls of that
-radius around segments of 64 bits hold too much of a large table.)
+A set has ``HASHES`` min-hashes. Each of ``BANDS`` bands is a fixed choice of ``ROWS`` of them, and
+candidates share a band: a pair with similarity 0.8 does with a probability of about 0.9995, a closer
+one nearly always, one with 0.45 in one case of twenty (``tests/llm/test_near_copies.py`` measures
+both). Candidates whose min-hashes, of which two bits each are compared, agree in far too few places
+are dropped: at 0.8 that befalls less than one pair in 100,000. No candidate counts as it is: a link
+needs the similarity of the complete sets, which is counted from integers. (Fingerprints of such
+pairs differ in 12 bits and more, and balls of that radius around segments of 64 bits hold too much
+of a large table.)
 
 Equal sets are one node from the start, so exact copies form no pairs. In a band's bucket all
 members are first compared with the smallest; after that, only members that are in another
@@ -18,6 +21,7 @@ set and are copies of each other.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from hashlib import md5
 
 import numpy as np
@@ -30,13 +34,17 @@ from keysnap.llm.components import components
 
 SHINGLE = 5
 SEED = 42
-BANDS, ROWS = 40, 4
+HASHES, BANDS, ROWS = 160, 64, 9
+# Two bits of each min-hash, in so many longs. At a similarity of 0.8 about 24 of 160 differ, with a
+# standard deviation of 4.5; at 0.45 about 66.
+LANES, MAX_DIFFERENT = 5, 44
 _BLOCK = 1024
 _CODES = 1 << 17
 _SOME = np.random.default_rng(SEED)
 _PLACES = _SOME.integers(0, 1 << 63, SHINGLE, np.uint64) * np.uint64(2) + np.uint64(1)
-_FACTORS = _SOME.integers(0, 1 << 63, (BANDS * ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
+_FACTORS = _SOME.integers(0, 1 << 63, (HASHES, 1), np.uint64) * np.uint64(2) + np.uint64(1)
 _OF_BAND = _SOME.integers(0, 1 << 63, (BANDS, ROWS + 1), np.uint64) * np.uint64(2) + np.uint64(1)
+_CHOICE = np.array([_SOME.choice(HASHES, ROWS, replace=False) for _ in range(BANDS)])
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -71,20 +79,29 @@ def shingle_set(text: str | None, codes: WordCodes) -> np.ndarray:
     return np.unique(_mixed(h))
 
 
-def bands(hashes: np.ndarray) -> np.ndarray:
-    """One key for each band, as signed longs; none of an empty set."""
+def bands(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One key for each band, as signed longs, and two bits of each min-hash; none of an empty set."""
     if not len(hashes):
-        return np.empty(0, np.int64)
-    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+        return np.empty(0, np.int64), np.zeros(LANES, np.int64)
+    low = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(hashes), _BLOCK):
         np.minimum(low, (hashes[at : at + _BLOCK] * _FACTORS).min(axis=1), out=low)
-    keys = (_mixed(low).reshape(BANDS, ROWS) * _OF_BAND[:, :ROWS]).sum(axis=1, dtype=np.uint64) + _OF_BAND[:, ROWS]
-    return _mixed(keys).view(np.int64)
-
-
-def with_bands(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """The columns ``keep``, a digest of each row's shingle set and its bands."""
-    fields = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    low = _mixed(low)
+    keys = (low[_CHOICE] * _OF_BAND[:, :ROWS]).sum(axis=1, dtype=np.uint64) + _OF_BAND[:, ROWS]
+    pairs = (low & np.uint64(3)).reshape(LANES, 32) << np.arange(0, 64, 2, dtype=np.uint64)
+    return _mixed(keys).view(np.int64), np.bitwise_or.reduce(pairs, axis=1).view(np.int64)
+
+
+def with_bands(
+    df: DataFrame, text: str, keep: list[str], mark: Callable[[str | None], int], name: str
+) -> DataFrame:
+    """The columns ``keep``, a digest of each row's shingle set, its bands and the bits of its min-hashes,
+    and a number that ``mark`` makes of the text."""
+    longs = T.ArrayType(T.LongType())
+    fields = T.StructType([
+        T.StructField("digest", T.BinaryType()), T.StructField("bands", longs), T.StructField("lanes", longs),
+        T.StructField(name, T.LongType()),
+    ])
 
     def each():
         codes, last = WordCodes(), {}
@@ -93,12 +110,12 @@ def with_bands(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
             # Copies often lie side by side.
             if last.get("text", "") != t or not last:
                 found = shingle_set(t, codes)
-                last["text"], last["made"] = t, (md5(found.tobytes()).digest(), bands(found))
+                last["text"], last["made"] = t, (md5(found.tobytes()).digest(), *bands(found), mark(t))
             return last["made"]
 
         return make
 
-    return map_text(df, text, fields, each, keep)
+    return map_text(df, text, fields, each, keep, rows=256)
 
 
 def with_sets(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
@@ -109,11 +126,25 @@ def with_sets(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
         codes = WordCodes()
         return lambda t: (shingle_set(t, codes).view(np.int64),)
 
-    return map_text(df, text, fields, each, keep)
+    return map_text(df, text, fields, each, keep, rows=256)
+
+
+def promising(pairs: DataFrame, tagged: DataFrame) -> DataFrame:
+    """Of the pairs (a, b) those whose min-hashes agree in enough places."""
+    of = lambda side: tagged.select(F.col("row").alias(side), F.col("lanes").alias(f"lanes_{side}"))
+    apart = F.lit(0)
+    for i in range(LANES):
+        x = F.get("lanes_a", F.lit(i)).bitwiseXOR(F.get("lanes_b", F.lit(i)))
+        either = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555))
+        apart = apart + F.bit_count(either)
+    both = pairs.join(of("b"), "b").join(of("a"), "a")
+    return stored(both.where(apart <= MAX_DIFFERENT).select("a", "b"), "promising")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, text: str) -> DataFrame:
-    """Of the pairs (a, b) those with a similarity of 0.8 at least; ``texts`` has ``row`` and the text."""
+    """Of the pairs (a, b) those with a similarity of 0.8 at least; ``texts`` has ``row``, the text and
+    ``lanes``."""
+    pairs = promising(pairs, texts)
     needed = stored(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "compared").hint("shuffle_hash")
     sets = stored(with_sets(texts.select("row", text).join(needed, "row", "left_semi"), text, ["row"]), "sets")
     of = lambda side: sets.toDF(side, f"set_{side}")
@@ -124,10 +155,10 @@ def verified(pairs: DataFrame, texts: DataFrame, text: str) -> DataFrame:
     return stored(pairs.join(of("b"), "b").join(of("a"), "a").where(near).select("a", "b"), "similar")
 
 
-def similar_components(tagged: DataFrame, nodes: DataFrame, text: str) -> DataFrame:
+def similar_components(tagged: DataFrame, nodes: DataFrame, text: str, near: DataFrame) -> DataFrame:
     """(node, root) of ``nodes`` (``row``: one of each set) that have a partner.
 
-    ``tagged`` has row, text and bands of all rows.
+    ``tagged`` has row, text, bands and lanes of all rows; ``near`` (a, b) are candidates found before.
     """
     entries = stored(
         tagged.select("row", "bands").join(nodes.hint("shuffle_hash"), "row", "left_semi")
@@ -135,7 +166,9 @@ def similar_components(tagged: DataFrame, nodes: DataFrame, text: str) -> DataFr
     )
     low = entries.groupBy("key").agg(F.min("row").alias("low"), F.count("*").alias("n")).where("n > 1")
     shared = stored(entries.join(stored(low.select("key", "low"), "smallest"), "key"), "buckets")
-    first = stored(shared.where("row <> low").select(F.col("low").alias("a"), F.col("row").alias("b")).distinct(), "pairs")
+    banded = shared.where("row <> low").select(F.col("low").alias("a"), F.col("row").alias("b"))
+    both = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    first = stored(banded.unionByName(both).distinct(), "pairs")
     links = verified(first, tagged, text)
     root = stored(components(links, "a", "b"), "roots")
     part = root.toDF("row", "part")

@@ -4,7 +4,9 @@ import os
 import random
 from collections import Counter, defaultdict
 
-from keysnap.llm import simhash
+import numpy as np
+
+from keysnap.llm import simhash, similar
 from keysnap.llm.common import table
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
@@ -67,3 +69,54 @@ def test_edits_chains_and_a_large_group(spark):
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     kept = {r["doc_id"] for r in simhash.drop_near_duplicates(frame.repartition(5)).collect()}
     assert kept == brute_kept(dict(enumerate(texts)))
+
+
+def sets_with_similarity(rng, share, n=400):
+    """Two sets of hashes, of which ``share`` of the union is common."""
+    common = round(n * share)
+    rest = n - common
+    hashes = np.array([rng.getrandbits(63) for _ in range(n)], np.uint64)
+    cut = common + rest // 2
+    return np.unique(hashes[:cut]), np.unique(np.concatenate((hashes[:common], hashes[cut:])))
+
+
+def agree(a, b):
+    (keys_a, lanes_a), (keys_b, lanes_b) = similar.bands(a), similar.bands(b)
+    x = (lanes_a ^ lanes_b).view(np.uint64)
+    apart = sum(bin(int(v)).count("1") for v in (x | x >> np.uint64(1)) & np.uint64(0x5555555555555555))
+    return bool((keys_a == keys_b).any()), apart <= similar.MAX_DIFFERENT
+
+
+def test_candidates_by_similarity():
+    """Measured recall at 0.8, and how few pairs far below become candidates."""
+    rng = random.Random(12)
+    found = {s: [agree(*sets_with_similarity(rng, s)) for _ in range(400)] for s in (0.8, 0.9, 0.45)}
+    share = {s: sum(all(f) for f in rows) / len(rows) for s, rows in found.items()}
+    assert share[0.8] >= 0.99 and share[0.9] == 1.0 and share[0.45] <= 0.01
+    assert sum(f[0] for f in found[0.45]) / 400 <= 0.15
+
+
+def test_a_family_far_from_similar_forms_few_pairs(spark, monkeypatch):
+    """800 texts, eight of 200 words changed in each: pairs lie near 0.45, and hardly any is compared."""
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    texts = []
+    for _ in range(800):
+        some = list(base)
+        for i in rng.sample(range(200), 8):
+            some[i] = f"c{rng.randrange(10**6)}"
+        texts.append(" ".join(some))
+    compared = []
+    real = similar.promising
+
+    def counted(pairs, tagged):
+        out = real(pairs, tagged)
+        compared.append((pairs.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(similar, "promising", counted)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(frame).collect()}
+    assert kept == brute_kept(dict(enumerate(texts)))
+    candidates, checked = (sum(c) for c in zip(*compared))
+    assert candidates < 60_000 and checked < 2_000  # of 319,600 pairs
