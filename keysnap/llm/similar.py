@@ -3,15 +3,16 @@
 A set has ``HASHES`` min-hashes. Each of ``BANDS`` bands is a fixed choice of ``ROWS`` of them, and
 candidates share a band: a pair with similarity 0.8 does with a probability of about 0.9995, a closer
 one nearly always, one with 0.45 in one case of twenty (``tests/llm/test_near_copies.py`` measures
-both). Candidates whose min-hashes, of which two bits each are compared, agree in far too few places
-are dropped: at 0.8 that befalls less than one pair in 100,000. No candidate counts as it is: a link
+both). Candidates whose min-hashes, of which four bits each are compared, agree in too few places
+are dropped: at 0.8 that befalls about one pair in 2,000, closer ones hardly ever. No candidate counts as it is: a link
 needs the similarity of the complete sets, which is counted from integers. (Fingerprints of such
 pairs differ in 12 bits and more, and balls of that radius around segments of 64 bits hold too much
 of a large table.)
 
 Equal sets are one node from the start, so exact copies form no pairs. In a band's bucket all
-members are first compared with the smallest; after that, only members that are in another
-component than the smallest are compared with the bucket's others. A large group of near copies
+members are first compared with one, the hub: the member that shares most buckets with most others,
+as an original does with its copies. After that, only members that are in another component than
+the hub are compared with the bucket's others. A large group of near copies
 is so joined up by few comparisons, and still no pair in a common bucket is left undecided.
 
 Defined results: words are as in ``simhash`` (A-Z lower-cased, split at ASCII space); a text of
@@ -35,9 +36,9 @@ from keysnap.llm.components import components
 SHINGLE = 5
 SEED = 42
 HASHES, BANDS, ROWS = 160, 64, 9
-# Two bits of each min-hash, in so many longs. At a similarity of 0.8 about 24 of 160 differ, with a
-# standard deviation of 4.5; at 0.45 about 66.
-LANES, MAX_DIFFERENT = 5, 44
+# Four bits of each min-hash, in so many longs. At a similarity of 0.8 about 30 of 160 differ, with a
+# standard deviation of 4.9; at 0.6 about 60, at 0.45 about 83.
+LANES, MAX_DIFFERENT = 10, 46
 _BLOCK = 1024
 _CODES = 1 << 17
 _SOME = np.random.default_rng(SEED)
@@ -80,7 +81,7 @@ def shingle_set(text: str | None, codes: WordCodes) -> np.ndarray:
 
 
 def bands(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One key for each band, as signed longs, and two bits of each min-hash; none of an empty set."""
+    """One key for each band, as signed longs, and four bits of each min-hash; none of an empty set."""
     if not len(hashes):
         return np.empty(0, np.int64), np.zeros(LANES, np.int64)
     low = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
@@ -88,8 +89,8 @@ def bands(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         np.minimum(low, (hashes[at : at + _BLOCK] * _FACTORS).min(axis=1), out=low)
     low = _mixed(low)
     keys = (low[_CHOICE] * _OF_BAND[:, :ROWS]).sum(axis=1, dtype=np.uint64) + _OF_BAND[:, ROWS]
-    pairs = (low & np.uint64(3)).reshape(LANES, 32) << np.arange(0, 64, 2, dtype=np.uint64)
-    return _mixed(keys).view(np.int64), np.bitwise_or.reduce(pairs, axis=1).view(np.int64)
+    some = (low & np.uint64(15)).reshape(LANES, 16) << np.arange(0, 64, 4, dtype=np.uint64)
+    return _mixed(keys).view(np.int64), np.bitwise_or.reduce(some, axis=1).view(np.int64)
 
 
 def with_bands(
@@ -135,7 +136,8 @@ def promising(pairs: DataFrame, tagged: DataFrame) -> DataFrame:
     apart = F.lit(0)
     for i in range(LANES):
         x = F.get("lanes_a", F.lit(i)).bitwiseXOR(F.get("lanes_b", F.lit(i)))
-        either = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        either = x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111))
         apart = apart + F.bit_count(either)
     both = pairs.join(of("b"), "b").join(of("a"), "a")
     return stored(both.where(apart <= MAX_DIFFERENT).select("a", "b"), "promising")
@@ -164,9 +166,12 @@ def similar_components(tagged: DataFrame, nodes: DataFrame, text: str, near: Dat
         tagged.select("row", "bands").join(nodes.hint("shuffle_hash"), "row", "left_semi")
         .select("row", F.explode("bands").alias("key")), "bands",
     )
-    low = entries.groupBy("key").agg(F.min("row").alias("low"), F.count("*").alias("n")).where("n > 1")
-    shared = stored(entries.join(stored(low.select("key", "low"), "smallest"), "key"), "buckets")
-    banded = shared.where("row <> low").select(F.col("low").alias("a"), F.col("row").alias("b"))
+    sizes = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    full = stored(entries.join(stored(sizes, "sizes"), "key"), "full-buckets")
+    weight = full.groupBy("row").agg(F.sum("n").alias("weight"))
+    hubs = full.join(weight, "row").groupBy("key").agg(F.max_by("row", F.struct("weight", -F.col("row"))).alias("low"))
+    shared = stored(full.drop("n").join(stored(hubs, "hubs"), "key"), "buckets")
+    banded = shared.where("row <> low").select(F.least("low", "row").alias("a"), F.greatest("low", "row").alias("b"))
     both = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     first = stored(banded.unionByName(both).distinct(), "pairs")
     links = verified(first, tagged, text)

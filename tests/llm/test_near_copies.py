@@ -83,7 +83,8 @@ def sets_with_similarity(rng, share, n=400):
 def agree(a, b):
     (keys_a, lanes_a), (keys_b, lanes_b) = similar.bands(a), similar.bands(b)
     x = (lanes_a ^ lanes_b).view(np.uint64)
-    apart = sum(bin(int(v)).count("1") for v in (x | x >> np.uint64(1)) & np.uint64(0x5555555555555555))
+    x = x | x >> np.uint64(1)
+    apart = sum(bin(int(v)).count("1") for v in (x | x >> np.uint64(2)) & np.uint64(0x1111111111111111))
     return bool((keys_a == keys_b).any()), apart <= similar.MAX_DIFFERENT
 
 
