@@ -94,10 +94,10 @@ class FileCopier:
 
     def __init__(
         self, root: str, tables: Sequence[str], fallback_roots: Sequence[str] = (),
-        parallelism: int | None = None,
+        parallelism: int | None = None, trash_roots: Sequence[str] = (),
     ):
         self.root, self.names = root, list(tables)
-        self.fallback_roots, self.parallelism = fallback_roots, parallelism
+        self.fallback_roots, self.parallelism, self.trash_roots = fallback_roots, parallelism, trash_roots
 
     def prepare(self, snapshot: Snapshot) -> None:
         spark, base = snapshot.spark, self.root.rstrip("/")
@@ -132,6 +132,7 @@ class FileCopier:
         listed = list_slice_files(work, self.root, parallelism=n)
         outcomes = copy_slice_files(
             listed, self.root, snapshot.data, attempt, self.fallback_roots, n, snapshot.files_path,
+            self.trash_roots,
         )
         outcomes.write.parquet(snapshot.new_outcomes_path())
 

@@ -355,6 +355,7 @@ SQL: dict[str, str] = {
     from (select distinct user_id from {events}) u,
          (select count(*) as events, cast(sum(event_id) as bigint) as id_sum from {events}) e
     group by 1""",
+    "copy_from_trash": "select *, cast(0 as bigint) as failed from {orders}",
     "copy_ranges": "select *, true as checksums_equal from {events}",
     "archive_stream_run": "select * from {events}",
     "copy_files": "select * from {orders}",

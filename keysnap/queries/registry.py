@@ -734,6 +734,25 @@ def copy_fallback(spark, sf):
     return used.join(F.broadcast(n))
 
 
+@query
+def copy_from_trash(spark, sf):
+    """Orders read from copied slices; the first slice's files are deleted between listing and copying.
+    The trash has them twice, cut off in its older checkpoint and whole in the newer one."""
+    root, slices = file_tree(spark, sf)
+    first = slices.orderBy("start_key").head().slice_id
+    listed = cut(listing.list_slice_files(slices, root))
+    data = listed.where((F.col("slice_id") == first) & F.col("name").endswith(".parquet")).select("path", "length")
+    trash, bare = fresh_dir(spark, "trash"), listing.without_store(F.col("path"))
+    put_files(data.select(F.concat(F.lit(f"{trash}/240101"), bare).alias("path"), (F.col("length") - 1).alias("length")))
+    cut(copy_files_job(data.select(F.col("path").alias("source_path"), F.concat(F.lit(f"{trash}/Current"), bare).alias("dest_path"))))
+    cut(delete_paths_job(data))
+    place = fresh_dir(spark, "copied")
+    outcomes = copy_slice_files(listed, root, place, trash_roots=[trash])
+    failed = outcomes.where("status <> 'copied'").agg(F.count("*").alias("failed"))
+    reader = spark.read.schema(table(spark, sf, "orders").schema).option("recursiveFileLookup", "true")
+    return reader.parquet(f"{place}/orders").crossJoin(F.broadcast(failed))  # one row
+
+
 @query
 def copy_ranges(spark, sf):
     """Events read from log files that were copied in ranges of 4 KB, and whether every copy has its

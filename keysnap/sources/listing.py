@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import re
+from collections.abc import Iterable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keysnap.schema import DESCRIPTOR_PREFIX, FILES, SLICE_COLS, SLICE_MANIFEST
 from keysnap.session import cut, local_frame, tasks
 from keysnap.sources.descriptors import is_descriptor, read_families
-from keysnap.sources.storage import children, utc
+from keysnap.sources.storage import children, open_fs, utc
 
 BATCH = 10_000
 _NAMES = FILES.names
@@ -181,6 +182,45 @@ def missing_descriptors(tables: DataFrame, descriptors: DataFrame) -> DataFrame:
     return tables.select("table_name").join(descriptors, "table_name", "left_anti")
 
 
+def trash_candidates(files: DataFrame, trash_roots: Sequence[str], parallelism: int | None = None) -> DataFrame:
+    """Where else files (``path``) may lie: ``rel_path, path, priority`` of those that do.
+
+    Each trash root has checkpoints, directories that repeat deleted files' whole paths below
+    them. The last checkpoint of the last root, by name, has the highest priority. ``rel_path`` is the
+    file's path without scheme and store. The few checkpoints are listed once; whether a file is in
+    one is asked in tasks.
+    """
+    spark = files.sparkSession
+    rank = {r.rstrip("/"): i for i, r in enumerate(trash_roots)}
+    listed = list_files(spark, list(rank), on_missing="skip").where("is_dir").select("root", "path", "name").collect()
+    places = [r.path for r in sorted(listed, key=lambda r: (rank[r.root], r.name))]
+    kind = "rel_path string, path string, priority int"
+    if not places:
+        return local_frame(spark, [], kind)
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for path in batch["path"]:
+                rel = re.sub("^([a-z0-9]+://[^/]*|file:/*(?=/))", "", path)
+                for priority, place in enumerate(places):
+                    try:
+                        filesystem, inner, _ = open_fs(place + rel)
+                        if filesystem.get_file_info(inner).is_file:
+                            rows.append((rel, place + rel, priority))
+                    except OSError:
+                        pass  # as if it were not there
+            yield pd.DataFrame(rows, columns=["rel_path", "path", "priority"])
+
+    n = tasks(spark, parallelism)
+    return files.select("path").distinct().repartition(n).mapInPandas(look, kind)
+
+
+def without_store(path: Column) -> Column:
+    """A path without scheme and store."""
+    return F.regexp_replace(path, "^([a-z0-9]+://[^/]*|file:/*(?=/))", "")
+
+
 def resolve_source(files: DataFrame, candidates: DataFrame) -> DataFrame:
     """Where to read each file from: its own path where ``present``, else the candidate with the
     highest ``priority``; null when nothing is left.

@@ -11,14 +11,35 @@ from keysnap.operators.ordered import Order
 from keysnap.operators.rounds import byte_units
 from keysnap.schema import SLICE_COLS
 from keysnap.session import cut, tasks
-from keysnap.sources.files import delete_paths
+from keysnap.sources.files import copy_files, delete_paths
+from keysnap.sources.listing import resolve_source, trash_candidates, without_store
 from keysnap.sources.ranges import copy_all
 
 
+def _with_trash(copied: DataFrame, plan: DataFrame, trash_roots: Sequence[str], n: int) -> DataFrame:
+    """``copied``, after a second attempt at what failed, from the trash."""
+    failed = copied.where("status = 'failed'").select("source_path", "dest_path").join(
+        plan.where("not is_dir").select("source_path"), "source_path", "left_semi"
+    )
+    if not trash_roots or failed.isEmpty():
+        return copied
+    lost = failed.select(
+        "source_path", "dest_path", without_store(F.col("source_path")).alias("rel_path"),
+        F.col("source_path").alias("path"), F.lit(False).alias("present"),
+    )
+    found = cut(trash_candidates(lost, trash_roots, n))
+    resolved = resolve_source(lost.withColumnRenamed("source_path", "listed_path"), found).where("source_path is not null")
+    # What is in the trash may be longer or shorter than it was when listed: it is copied whole.
+    again = cut(copy_files(resolved.select("source_path", "dest_path"), n))
+    mended = resolved.select("listed_path", "dest_path").join(again.where("status = 'copied'").drop("source_path"), "dest_path")
+    rest = copied.join(mended.select("dest_path"), "dest_path", "left_anti")
+    return cut(rest.unionByName(mended.withColumnRenamed("listed_path", "source_path")))
+
+
 def copy_slice_files(
     listed: DataFrame, root: str, dest: str, attempt: int = 1,
     fallback_roots: Sequence[str] = (), parallelism: int | None = None,
-    files_out: str | None = None,
+    files_out: str | None = None, trash_roots: Sequence[str] = (),
 ) -> DataFrame:
     """Copies the files of slices; a slice counts only if all of its files arrived.
 
@@ -26,7 +47,9 @@ def copy_slice_files(
     the files' bytes: each task copies a run of files, in order of path, of about the same size, so
     a slice with very many files is copied by many tasks. Earlier copies of the slices
     are deleted first, and those of failed slices afterwards. Runs jobs; returns OUTCOME rows, and
-    appends a FILE_ENTRY row for each file copied to ``files_out``.
+    appends a FILE_ENTRY row for each file copied to ``files_out``. A file that is gone when its turn
+    comes is looked for below ``fallback_roots``, then in the checkpoints of ``trash_roots``, of which the
+    last one that has it counts.
     """
     base, target = root.rstrip("/"), dest.rstrip("/")
     listed = cut(listed)
@@ -50,7 +73,7 @@ def copy_slice_files(
     )
     n = tasks(plan.sparkSession, parallelism)
     units = byte_units(plan, n, "length", Order((), ("source_path",)))
-    copied = cut(copy_all(units, n))
+    copied = _with_trash(cut(copy_all(units, n)), plan, trash_roots, n)
     arrived = plan.select(*SLICE_COLS, "source_path", "dest_path", "is_dir").join(
         copied.drop("dest_path"), "source_path"
     )

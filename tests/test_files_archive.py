@@ -164,6 +164,25 @@ def test_file_snapshot_and_restore(spark, tmp_path):
     assert back["s1/f1/file"] == b"s1s1s1" and (place / "s1/f2").is_dir()
 
 
+def test_files_found_in_the_trash(spark, tmp_path):
+    """Of several checkpoints the last that has the file counts; a file that none has fails its slice."""
+    root = tmp_path / "store"
+    store(root)
+    put(root / "t/s2/.regioninfo", b"s2")
+    (root / "t/s1/f2").mkdir()
+    listed = list_slice_files(slices(spark, "t/s0", "t/s1", "t/s2"), str(root)).cache()
+    assert listed.where("error is not null").isEmpty()
+    for sid in ("s0", "s1"):
+        (root / f"t/{sid}/f1/file").unlink()
+    inner = str(root / "t/s0/f1/file")
+    for checkpoint, data in (("1", b"old"), ("2", b"newer"), ("10", b"oldest")):
+        put(Path(f"{tmp_path}/trash/{checkpoint}{inner}"), data)
+    (tmp_path / "trash/3").mkdir()
+    outcomes = copy_slice_files(listed, str(root), str(tmp_path / "copy"), trash_roots=[str(tmp_path / "trash"), str(tmp_path / "no")])
+    assert {r.slice_id: (r.status, r.files) for r in outcomes.collect()} == {"s0": ("copied", 2), "s1": ("failed", 1), "s2": ("copied", 2)}
+    assert tree(tmp_path / "copy")["t/s0/f1/file"] == b"newer" and "t/s1/f1/file" not in tree(tmp_path / "copy")
+
+
 def test_latest_descriptor_and_source(spark, tmp_path):
     files = spark.createDataFrame(
         [("t", ".tableinfo.2", "/t/.tableinfo.2"), ("t", ".tableinfo.1", "/t/.tableinfo.1"),
