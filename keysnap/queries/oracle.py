@@ -355,6 +355,9 @@ SQL: dict[str, str] = {
     from (select distinct user_id from {events}) u,
          (select count(*) as events, cast(sum(event_id) as bigint) as id_sum from {events}) e
     group by 1""",
+    "log_files_source": """
+    select name, length, start_ms, concat('user', regexp_extract(name, '^wal-([0-9]+)', 1)) as folder
+    from logs where start_ms >= 1706659200000 - 20 * 86400000 and starts_with(name, 'wal-1')""",
     "copy_from_trash": "select *, cast(0 as bigint) as failed from {orders}",
     "copy_ranges": "select *, true as checksums_equal from {events}",
     "archive_stream_run": "select * from {events}",

@@ -24,6 +24,7 @@ from keysnap.session import cut, fresh_dir, local_frame
 from keysnap.sources import listing
 from keysnap.sources.descriptors import format_descriptor, is_descriptor, read_families
 from keysnap.sources.files import copy_files as copy_files_job
+from keysnap.sources.files_source import read_files
 from keysnap.sources.ranges import copy_by_ranges, file_checksums
 from keysnap.sources.files import delete_paths as delete_paths_job
 from keysnap.sources.rows import KeyedTable, read_slices
@@ -675,6 +676,20 @@ def archive_run_sequence(spark, sf):
     return held.select("name", "length", "start_ms", F.split("rel_path", "/").getItem(1).alias("day"))
 
 
+@query
+def log_files_source(spark, sf):
+    """Logs as the data source lists them, from a date on and with names that start alike, which is
+    decided where directories are listed."""
+    every = cut(fixture(spark, sf, "logs"))
+    live = fresh_dir(spark, "live")
+    folder = F.concat(F.lit("user"), F.regexp_extract("name", "^wal-([0-9]+)", 1))
+    put_files(every.withColumn("path", F.concat_ws("/", F.lit(live), folder, "name")))
+    found = read_files(
+        spark, [live], True, name_prefix="wal-1", min_start=RUN_MS - 20 * logs.DAY_MS, files_only=True, partitions=8
+    )
+    return found.select("name", "length", "start_ms", F.split("rel_path", "/").getItem(1).alias("folder"))
+
+
 @query
 def archive_stats(spark, sf):
     stats = logs.archive_stats(fixture(spark, sf, "runs"))
