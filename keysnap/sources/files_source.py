@@ -82,7 +82,9 @@ class FilesReader(DataSourceReader):
             level = below
         return done + level
 
-    def read(self, partition: Directory) -> Iterator[tuple]:
+    def read(self, partition: Directory | None) -> Iterator[tuple]:
+        if partition is None:  # Spark's one partition where there is none
+            return
         todo = [partition.path]
         while todo:
             for path, name, length, is_dir, changed in self._listed(todo.pop()):
