@@ -1,22 +1,28 @@
 """SimHash near-duplicates by multi-index hashing.
 
-A fingerprint has two segments of 32 bits. Of two fingerprints within two differing bits, one can
-be led to the other by changing one bit in a segment of each, or two in the same segment, so both
-have a common member in the balls of radius 1 around their segments, all other bits being kept.
-Every fingerprint is entered in the table under each member of its two balls (65 keys); equal
-keys fetch the matches, and complete distances are verified. As a key carries the other segment
-too, a bucket holds 65 fingerprints at most and none but true links, however many near copies
-there are: no bucket needs a cap, and no group emits all its pairs.
+A fingerprint has two segments of 32 bits. Of two fingerprints within two differing bits, at least
+one segment differs in one bit at most. So there is a table for each segment, in which a fingerprint
+stands under the segment's value; every fingerprint looks up the members of the ball of radius 1
+around each of its segments, fetches what stands there, and complete distances are verified. Of two
+values one bit apart, the one that has the bit looks up the other.
+
+Near copies may put very many fingerprints under one value. Where there are more than ``CROWDED``, the
+bucket is split by the next segment: those in it stand under each member of the ball around their other
+segment, those that differ in the first segment already look up their other one as it is, the rest
+their ball. Such a part holds 33 fingerprints at most, so all that meet in it are linked to the
+smallest. No bucket is capped, no group emits all its pairs, and the result is the same for any
+``CROWDED``.
 
 Defined results: a null or empty text, or one without words, has fingerprint zero and is linked
 like any other. Equal texts share a fingerprint, so repeated rows share a component. A component
-without any non-null document id has a null id. Other columns are left alone.
+without any non-null document id has a null id. A very long text is hashed in blocks, whole, without
+further memory for each shingle. An empty table gives no rows. Other columns are left alone.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +33,9 @@ from keysnap.llm.components import components
 SHINGLE = 3
 SEED = 42
 MAX_DISTANCE = 2
+WIDTH = 32  # bits of a segment
+CROWDED = 64
+_SALTS = 16
 _BLOCK = 1 << 16
 
 
@@ -69,19 +78,50 @@ def with_fingerprint(df: DataFrame, text: str = "text", name: str = "fp", keep:
     )
 
 
-def links(fingerprints: DataFrame, fp: str = "fp") -> DataFrame:
-    """(fp, other): within each bucket of the segment tables, every fingerprint and the smallest.
+def _table(fingerprints: DataFrame) -> DataFrame:
+    """(fp, segment, value, rest): each fingerprint under both of its segments."""
+    high, low = F.shiftrightunsigned("fp", WIDTH), F.col("fp").bitwiseAND((1 << WIDTH) - 1)
+    of = lambda i, value, rest: F.struct(F.lit(i).alias("segment"), value.alias("value"), rest.alias("rest"))
+    return fingerprints.select("fp", F.inline(F.array(of(0, high, low), of(1, low, high))))
+
+
+def _ball(value: str) -> Column:
+    """The value and those one bit away."""
+    flipped = f"transform(sequence(0, {WIDTH - 1}), i -> {value} ^ shiftleft(1L, i))"
+    return F.expr(f"array_append({flipped}, {value})")
+
+
+def candidates(fingerprints: DataFrame) -> DataFrame:
+    """(fp, other) of distinct fingerprints that meet in a bucket of the segment tables, not verified.
 
-    ``fingerprints`` are distinct. All links within two bits are covered by chains of these.
+    All links within two bits are covered by chains of those among these. ``fingerprints`` (``fp``)
+    are read several times.
     """
-    flips = fingerprints.select(F.col(fp).alias("fp"), F.explode(F.sequence(F.lit(-1), F.lit(63))).alias("bit"))
-    member = F.when(F.col("bit") < 0, F.col("fp")).otherwise(
-        F.col("fp").bitwiseXOR(F.expr("shiftleft(1L, greatest(bit, 0))"))
-    )
-    bucket = Window.partitionBy("member")
-    found = flips.select("fp", member.alias("member")).select("fp", F.min("fp").over(bucket).alias("other"))
+    table = _table(fingerprints)
+    probes = table.select("fp", "segment", "value", "rest", F.explode(_ball("value")).alias("member"))
+    # A single bit more or less: only the value that has it looks up the other.
+    probes = probes.where("member <= value").withColumn("salt", F.pmod(F.hash("fp"), F.lit(_SALTS)))
+    sizes = table.groupBy("segment", "value").agg(F.count("*").alias("n"))
+    crowded = stored(sizes.where(F.col("n") > CROWDED).select("segment", F.col("value").alias("member")), "crowded")
+    # A value may be looked up by a large part of all rows, so it is told crowded in several places.
+    salted = crowded.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    at = ["segment", "member"]
+
+    few = table.select("segment", F.col("value").alias("member"), F.col("fp").alias("other")).join(crowded, at, "left_anti")
+    met = probes.join(salted, [*at, "salt"], "left_anti").join(few, at).select("fp", "other")
+
+    split = table.withColumnRenamed("value", "member").join(crowded, at, "left_semi")
+    split = split.select(*at, "fp", F.explode(_ball("rest")).alias("part"))
+    least = split.groupBy(*at, "part").agg(F.min("fp").alias("other"))
+    own = F.when(F.col("member") == F.col("value"), _ball("rest")).otherwise(F.array("rest"))
+    asked = probes.join(salted, [*at, "salt"], "left_semi").select(*at, "fp", F.explode(own).alias("part"))
+    return met.union(asked.join(least, [*at, "part"]).select("fp", "other")).where("fp <> other")
+
+
+def links(fingerprints: DataFrame, fp: str = "fp") -> DataFrame:
+    """(fp, other) within two bits, of distinct fingerprints; chains of these cover all such links."""
     apart = F.bit_count(F.col("fp").bitwiseXOR(F.col("other")))
-    return found.where((F.col("fp") != F.col("other")) & (apart <= MAX_DISTANCE)).distinct()
+    return candidates(fingerprints.select(F.col(fp).alias("fp"))).where(apart <= MAX_DISTANCE).distinct()
 
 
 def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", fp: str = "fp") -> DataFrame:

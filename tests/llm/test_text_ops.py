@@ -276,6 +276,44 @@ def test_near_prints(spark):
     assert got == brute_components(prints)
 
 
+@pytest.mark.parametrize("crowded", [0, 3, 64, 10**6])
+def test_crowded_segments(spark, monkeypatch, crowded):
+    """Fingerprints that share a segment, or nearly: the same components however many are a crowd; and
+    what the tables fetch is verified."""
+    monkeypatch.setattr(simhash, "CROWDED", crowded)
+    rng = np.random.default_rng(5)
+    prints, same = [], 0xDEADBEEF
+    for low in rng.integers(0, 1 << 32, 150).tolist():
+        prints.append(same << 32 | low)
+        for _ in range(2):  # bits of both segments, or of one
+            prints.append(prints[-1] ^ 1 << int(rng.integers(64)) ^ 1 << int(rng.integers(64)))
+        prints.append(low << 32 | same ^ 1 << int(rng.integers(32)))
+    distinct = sorted(set(prints))
+    signed = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in distinct], "fp long")
+    linked = simhash.links(signed).collect()
+    assert all(1 <= ((r["fp"] ^ r["other"]) & (1 << 64) - 1).bit_count() <= 2 for r in linked)
+    root = {r["node"] & (1 << 64) - 1: r["root"] & (1 << 64) - 1 for r in components(signed_frame(spark, linked), "fp", "other").collect()}
+    got, want = {}, {}
+    for f, c in brute_components({f: f for f in distinct}).items():
+        want.setdefault(c, set()).add(f)
+        got.setdefault(root.get(f, f), set()).add(f)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+    fetched = simhash.candidates(signed).count()
+    if crowded == 64:
+        assert len(linked) < fetched < 40 * len(distinct)
+    if crowded == 10**6:
+        assert fetched > 150 * 149  # the whole crowd meets, and verification rejects nearly all
+
+
+def signed_frame(spark, rows):
+    return spark.createDataFrame([(r["fp"], r["other"]) for r in rows], "fp long, other long")
+
+
+def test_links_of_nothing(spark):
+    assert simhash.links(spark.createDataFrame([], "fp long")).count() == 0
+    assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, fp long")).count() == 0
+
+
 def test_simhash_odd_rows(spark, odd):
     docs = simhash.with_fingerprint(odd, name="print", keep=["doc_id"])
     rows = simhash.near_duplicates(docs, fp="print").collect()
