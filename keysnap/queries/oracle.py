@@ -361,6 +361,14 @@ SQL: dict[str, str] = {
     "copy_from_trash": "select *, cast(0 as bigint) as failed from {orders}",
     "copy_ranges": "select *, true as checksums_equal from {events}",
     "archive_stream_run": "select * from {events}",
+    "grown_files_run": """
+    with by_user as (
+        select cast(user_id as bigint) as log_user, count(*) as events, sum(event_id) as id_sum
+        from {events} group by user_id
+    )
+    select log_user, cast(0 as integer) as batch, true as is_new, events, id_sum from by_user where log_user % 2 = 0
+    union all
+    select log_user, cast(1 as integer), log_user % 2 = 1, events, id_sum from by_user""",
     "copy_files": "select * from {orders}",
     "restore_files_check": """
     select table_name, slice_id, slice_no = 0 as all_missing,

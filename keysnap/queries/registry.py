@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime, timezone
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +32,7 @@ from keysnap.sources.rows import KeyedTable, read_slices
 from keysnap.sources.slice_files import copy_slice_files
 from keysnap.sources.storage import names_in, open_fs, parent
 from keysnap.streaming.archive_stream import archive_stream
+from keysnap.streaming.grown_files import grown_files_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -794,6 +796,44 @@ def archive_stream_run(spark, sf):
     return read_events(spark, sf, archive)
 
 
+@query
+def grown_files_run(spark, sf):
+    """Events by the batch in which a stream gave their user's log. First there are only logs of users with
+    even numbers, one byte long; then all logs whole; in a third batch nothing has changed. A
+    batch that is cut short is run again."""
+    live, plan = event_logs(spark, sf)
+    plan = cut(plan)
+    state, given = fresh_dir(spark, "stream"), fresh_dir(spark, "given")
+    cut_short = [1]
+
+    def each(files, batch):
+        files.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{given}/batch={batch}")
+        if batch in cut_short:
+            cut_short.remove(batch)
+            raise RuntimeError("cut short")
+
+    def run():
+        grown_files_stream(spark, [live], state, each, once=True).awaitTermination()
+
+    even = plan.where(F.col("log_user").cast("int") % 2 == 0)
+    put_files(even.select(F.col("dest_path").alias("path"), F.lit(1).cast("bigint").alias("length")))
+    run()
+    cut(copy_files_job(plan.drop("log_user")))
+    try:
+        run()
+    except StreamingQueryException:
+        pass  # as a lost driver would
+    run()
+    run()
+    rows = spark.read.option("recursiveFileLookup", "true").parquet(given)
+    user = F.regexp_extract("rel_path", "/host([0-9]+)/", 1).cast("bigint")
+    logs_given = rows.select(user.alias("log_user"), "batch", F.col("previous_length").isNull().alias("is_new"))
+    events = read_events(spark, sf, live).groupBy(F.col("user_id").cast("bigint").alias("log_user")).agg(
+        F.count("*").alias("events"), F.sum("event_id").alias("id_sum")
+    )
+    return logs_given.join(events, "log_user")
+
+
 @query
 def archive_files(spark, sf):
     """Events read from archived log files, one file per user: a run that copies all of them,
