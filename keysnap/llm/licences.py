@@ -10,7 +10,8 @@ All of it is SQL functions. The known texts are a fixed list of a few dozen, so
 hash join is broadcast. Lines are summed up for each row before the one shuffle.
 
 Defined results: a null or empty text, or one without letters and digits, matches nothing (its
-digest is that of the empty form). Repeated rows give repeated results. Texts that the canonical form
+digest is that of the empty form). Repeated rows give repeated results, an empty
+table none. Texts of any length are hashed whole. Texts that the canonical form
 makes equal are one licence if their names agree; the smallest name wins otherwise.
 """
 

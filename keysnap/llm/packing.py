@@ -7,7 +7,9 @@ log2(2048) steps. A task keeps a few integers for each remainder, never the ids,
 its own input split, so nothing is shuffled; sequence numbers hold the partition's number and are
 the same if a lost task runs again.
 
-A null text is an empty one: its only id is the end id. Repeated rows are packed each for itself.
+A null text is an empty one: its only id is the end id. A very long text is encoded whole, by one task, and cut
+like any other. Remainders of equal length are placed in the order of their rows. Repeated rows are
+packed each for itself; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -11,7 +11,9 @@ bound, so the driver holds a small matrix whatever the size of the corpus.
 
 Defined results: a null text counts as one without words; so does an empty one (all statistics
 zero, base failed). Labels that are null or whose document is missing are ignored; several labels
-of one document all count; without labels the list is empty. Repeated rows are judged alike.
+of one document all count; without labels the list is empty. Repeated rows are judged alike; an empty table
+gives no rows. Statistics are those of the whole text, however long. Of thresholds that gain the same the first
+in the order of the statistics is taken.
 """
 
 from __future__ import annotations

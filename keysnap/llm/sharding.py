@@ -17,7 +17,9 @@ shard takes them, running sums are taken in chunks of ``CHUNK`` numbers, and the
 before is carried. Numbering is by range partitions. No group, however large, meets in one task.
 
 Defined results: a null text counts as an empty one. Repeated rows are documents of their own,
-linked like other copies; null ids are kept. Fewer documents than shards leave shards empty.
+linked like other copies; null ids are kept. A text of any length
+is one document of its size. Of labels that a group holds equally the smallest is liked best. An
+empty table gives no rows. Fewer documents than shards leave shards empty.
 """
 
 from __future__ import annotations
@@ -68,12 +70,13 @@ def _propagate(parts: DataFrame, quota: int, rounds: int) -> DataFrame:
         taken = stored(taken.withColumn("chunk", F.floor(F.col("place") / CHUNK)), "taken")
         sums = taken.groupBy("target", "chunk").agg(F.sum("n").alias("sum"))
         over = Window.partitionBy("target").orderBy("chunk").rowsBetween(Window.unboundedPreceding, 0)
-        carried = sums.select("target", "chunk", (F.sum("sum").over(over) - F.col("sum")).alias("carried"))
+        # One row in CHUNK: the planner broadcasts it where its stored size allows, and joins by key beyond.
+        carried = stored(sums.select("target", "chunk", (F.sum("sum").over(over) - F.col("sum")).alias("carried")), "carried")
         order = Window.partitionBy("target", "chunk").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
         filled = F.sum("n").over(order)
         fits = F.col("filled") + F.col("carried") <= quota
         moved = stored(
-            taken.withColumn("filled", filled).join(F.broadcast(carried), ["target", "chunk"]).withColumn("fits", fits).select(
+            taken.withColumn("filled", filled).join(carried, ["target", "chunk"]).withColumn("fits", fits).select(
                 "group", "first", "n", F.when(F.col("fits"), F.col("target")).otherwise(F.col("label")).alias("label"),
                 (F.col("fits") & (F.col("moves") == 1)).alias("moved"),
             ),

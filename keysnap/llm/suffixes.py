@@ -20,7 +20,8 @@ Equal suffixes are collapsed before the exchange, so a passage that very many do
 is one entry for each run.
 
 Matches never cross documents. Defined results: a null text counts as empty; texts of fewer than
-200 bytes lose nothing; repeated rows are texts of their own and so repeat each other. Only the id and
+200 bytes lose nothing; repeated rows are texts of their own and so repeat each other;
+an empty table gives no rows. A very long text is hashed in chunks that overlap by a window. Only the id and
 the text are read of the documents.
 """
 

@@ -13,7 +13,9 @@ benchmark, never with the documents.
 
 Defined results: null or empty texts hold nothing; items of fewer than five tokens are never found
 (any prose would hold them); equal items are reported under each of their ids; repeated rows are
-reported each for itself.
+reported each for itself. A document of any length is searched whole, by one task. Of equally long matches the
+one that comes first in the item, then in the document, is marked. No documents, or no items, give no
+rows.
 """
 
 from __future__ import annotations

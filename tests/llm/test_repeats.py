@@ -64,6 +64,20 @@ def test_query(spark):
     assert sum(r["n_removed"] for r in got) > 0
 
 
+def test_a_very_long_text(spark):
+    """Repeats that lie across the seam of two chunks, within a text and between texts."""
+    rng = random.Random(6)
+    some = lambda n: "".join(rng.choices("abcdefghijklmnop ", k=n))
+    once, twice = some(450), some(260)
+    head = some(S._CHUNK - 200)
+    long = head + once + some(3000) + twice + some(S._CHUNK - 5000) + twice + some(900)
+    texts = [long, some(300) + once + some(10), some(500)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], len(r["spans"]), bytes(r["kept"])) for r in S.remove_repeats(docs).collect()}
+    want = dict(enumerate(brute(texts, 200)))
+    assert got == want and want[0][1] >= 450 + 2 * 260 and want[0][2] == 3
+
+
 def test_repeated_rows_and_no_rows(spark):
     text = "".join(random.Random(1).choices("abcdefgh", k=500))
     docs = spark.createDataFrame([(1, text), (1, text), (None, "z" + text[:300])], "doc_id long, text string")

@@ -180,6 +180,21 @@ def test_decontamination_query(spark):
             assert docs[r["doc_id"]][at : at + n] == items[r["item_id"]][i : i + n]
 
 
+def test_an_item_at_the_end_of_a_very_long_document(spark):
+    item = " ".join(f"word{i}" for i in range(40))
+    text = "some other prose that goes on " * 60_000 + " ".join(item.split()[20:] + ["then"] + item.split()[:20])
+    frame = spark.createDataFrame([(1, text), (2, text[:-400])], "doc_id long, text string")
+    rows = tiling.find_contaminated(frame, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert [(r["doc_id"], r["item_id"], r["covered_tokens"]) for r in rows] == [(1, 7, 40)]
+
+
+def test_a_very_long_page(spark):
+    paragraphs = [f"Paragraph {i} of a long story, told once." for i in range(60_000)]
+    html = "<html><body><nav>Home News</nav><article>" + "".join(f"<p>{p}</p>" for p in paragraphs) + "</article></body></html>"
+    page = spark.createDataFrame([(1, "http://h.org/x", html)], "page_id long, url string, html string")
+    assert html_text.extract_text(page).first()["text"] == "\n\n".join(paragraphs)
+
+
 def test_odd_documents_and_items(spark, monkeypatch):
     words = [f"word{i}" for i in range(30)]
     whole, turned = " ".join(words), " ".join(words[15:] + ["x"] + words[:15])

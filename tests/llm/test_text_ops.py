@@ -361,6 +361,21 @@ def test_links_of_nothing(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, fp long")).count() == 0
 
 
+def test_fingerprint_of_a_very_long_text():
+    """Shingles on both sides of a block's seam count once each."""
+    rng = np.random.default_rng(2)
+    for n in (simhash._BLOCK + 1, simhash._BLOCK + 2, simhash._BLOCK + 3, 2 * simhash._BLOCK + 7):
+        text = " ".join(map(str, rng.integers(0, 300, n)))
+        want = brute_fingerprint(text)
+        assert simhash.fingerprint(text) == (want - (1 << 64) if want >> 63 else want)
+
+
+def test_pii_in_a_very_long_text():
+    filler = "plain words without anything " * 50_000
+    spans = pii.find_spans(filler + "x@y.org" + filler + " 10.0.0.1")
+    assert [(k, s) for k, s, _, _ in spans] == [("email", len(filler)), ("ip", 2 * len(filler) + 8)]
+
+
 def test_simhash_odd_rows(spark, odd):
     docs = simhash.with_fingerprint(odd, name="print", keep=["doc_id"])
     rows = simhash.near_duplicates(docs, fp="print").collect()
