@@ -6,8 +6,8 @@ features, and Spark's logistic regression is trained on a small labelled table o
 is a projection of the page table; nothing is shuffled.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path, so no rule fits
-unless it is for them, and the verdict is the model's for no features. A URL of any length is judged whole; the
-longest rule wins, and rules are told apart by their text, so there are no ties. Repeated rows are judged
+unless it is for them, and the verdict is the model's for no features. A URL of any length is judged whole; of
+rules that fit the longest wins, of equally long ones the first listed. Repeated rows are judged
 alike; an empty table gives no rows. Other columns of the table are not read.
 """
 
