@@ -11,9 +11,19 @@ of a large table.)
 
 Equal sets are one node from the start, so exact copies form no pairs. In a band's bucket all
 members are first compared with one, the hub: the member that shares most buckets with most others,
-as an original does with its copies. After that, only members that are in another component than
-the hub are compared with the bucket's others. A large group of near copies
-is so joined up by few comparisons, and still no pair in a common bucket is left undecided.
+as an original does with its copies. A large group of near copies is so joined up by few comparisons.
+
+After that, only members of different components are left to compare, where a bucket has a member
+that is in another one than the hub. They are compared by their changes, the shingles
+that only one of a member and its hub has. With ``a`` shingles of the hub missing and ``e`` others added,
+the weight ``w = 5a + 4e`` is at most the hub's size if the member is similar to the hub; and two members
+are similar if, and only if, they share at least ``(w1 + w2 - size) / 9`` changes. So of two that are
+not both similar to the hub, the lighter one shares more than a ninth of its weight and the heavier one
+a fifth of what its weight is beyond the hub's size, at least. Changes are sorted by the number of members
+that have them, rarest first, and members meet by the changes in which the first shared one must be,
+if enough can follow it. Texts that were edited independently share few
+of their changes, so a family around 0.8 forms few pairs, and still no pair in a common bucket is left
+undecided.
 
 Defined results: words are as in ``simhash`` (A-Z lower-cased, split at ASCII space); a text of
 fewer than five words is one shingle; null and empty texts, and those without words, have the empty
@@ -26,7 +36,7 @@ from collections.abc import Callable
 from hashlib import md5
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -157,6 +167,52 @@ def verified(pairs: DataFrame, texts: DataFrame, text: str) -> DataFrame:
     return stored(pairs.join(of("b"), "b").join(of("a"), "a").where(near).select("a", "b"), "similar")
 
 
+def changes(members: DataFrame, texts: DataFrame, text: str) -> DataFrame:
+    """The columns of ``members`` (``low``: the hub, ``row``), ``changed``: the shingles that one of both has,
+    ``weight`` and ``hub_size``."""
+    needed = stored(members.select(F.explode(F.array("low", "row")).alias("row")).distinct(), "compared").hint("shuffle_hash")
+    sets = stored(with_sets(texts.select("row", text).join(needed, "row", "left_semi"), text, ["row"]), "sets")
+    both = members.join(sets.toDF("row", "own"), "row").join(sets.toDF("low", "hub"), "low")
+    missing, added = F.array_except("hub", "own"), F.array_except("own", "hub")
+    return stored(
+        both.select(*members.columns, missing.alias("missing"), added.alias("added"), F.size("hub").alias("hub_size"))
+        .select(
+            *members.columns, F.concat("missing", "added").alias("changed"),
+            (5 * F.size("missing") + 4 * F.size("added")).alias("weight"), "hub_size",
+        ), "changes",
+    )
+
+
+def changed_alike(told: DataFrame) -> DataFrame:
+    """(a, b) of all rows in different parts, not both similar to their hub, that share enough changes to be
+    similar; some that share fewer are among them."""
+    each = told.select("low", "row", "part", "weight", "hub_size", F.explode("changed").alias("change"))
+    same = Window.partitionBy("low", "change")
+    # What only one part has, no pair shares.
+    known = each.select("*", F.count("*").over(same).alias("n"), (F.min("part").over(same) < F.max("part").over(same)).alias("some"))
+    listed = stored(
+        known.where("some").groupBy("low", "row", "part", "weight", "hub_size")
+        .agg(F.sort_array(F.collect_list(F.struct("n", "change"))).alias("shared")), "shared-changes",
+    )
+    size = F.size("shared")
+
+    def first(least: Column) -> DataFrame:
+        """The changes of which one is shared by any that share ``least``, and how many come after each."""
+        some = F.slice("shared", F.lit(1), F.greatest(F.lit(0), size - least + 1))
+        each = listed.select("low", "row", "part", "weight", "hub_size", size.alias("size"), F.posexplode(some).alias("at", "c"))
+        return each.select("low", F.col("c.change").alias("change"), "row", "part", "weight", "hub_size", (F.col("size") - F.col("at")).alias("left"))
+
+    light = first(F.expr("weight div 9 + 1").cast("int"))
+    heavy = first(F.expr("(weight - hub_size + 4) div 5").cast("int")).where("weight > hub_size")
+    x = heavy.drop("hub_size").toDF("low", "change", "x", "x_part", "x_weight", "x_left")
+    enough = 9 * F.least("left", "x_left") >= F.col("weight") + F.col("x_weight") - F.col("hub_size")
+    lighter = F.struct("weight", "row") < F.struct("x_weight", "x")
+    return (
+        light.join(x, ["low", "change"]).where((F.col("part") != F.col("x_part")) & lighter & enough)
+        .select(F.least("row", "x").alias("a"), F.greatest("row", "x").alias("b")).distinct()
+    )
+
+
 def similar_components(tagged: DataFrame, nodes: DataFrame, text: str, near: DataFrame) -> DataFrame:
     """(node, root) of ``nodes`` (``row``: one of each set) that have a partner.
 
@@ -177,17 +233,16 @@ def similar_components(tagged: DataFrame, nodes: DataFrame, text: str, near: Dat
     links = verified(first, tagged, text)
     root = stored(components(links, "a", "b"), "roots")
     part = root.toDF("row", "part")
-    placed = shared.join(part, "row", "left").withColumn("part", F.coalesce("part", "row"))
+    placed = shared.where("row <> low").join(part, "row", "left").withColumn("part", F.coalesce("part", "row"))
     lows = part.toDF("low", "low_part")
     placed = stored(
         placed.join(lows, "low", "left").withColumn("low_part", F.coalesce("low_part", "low")), "placed"
     )
-    apart = placed.where("part <> low_part and row <> low").select("key", F.col("row").alias("x"), F.col("part").alias("x_part"))
-    apart = stored(apart, "apart")
-    others = placed.where("row <> low").select("key", "row", "part")
-    pairs = (
-        others.join(apart, "key").where("row <> x and part <> x_part")
-        .select(F.least("row", "x").alias("a"), F.greatest("row", "x").alias("b")).distinct()
+    apart = placed.where("part <> low_part").select("key").distinct()
+    members = stored(
+        placed.join(apart, "key", "left_semi").select("low", "low_part", "row", "part").distinct(), "members"
     )
-    pairs = stored(pairs.join(first, ["a", "b"], "left_anti"), "pairs")
-    return components(links.union(verified(pairs, tagged, text)), "a", "b")
+    told = changes(members, tagged, text)
+    joined = told.where("part <> low_part and weight <= hub_size").select(F.col("low").alias("a"), F.col("row").alias("b"))
+    pairs = stored(changed_alike(told).join(first, ["a", "b"], "left_anti"), "pairs")
+    return components(links.union(joined).union(verified(pairs, tagged, text)), "a", "b")

@@ -121,3 +121,49 @@ def test_a_family_far_from_similar_forms_few_pairs(spark, monkeypatch):
     assert kept == brute_kept(dict(enumerate(texts)))
     candidates, checked = (sum(c) for c in zip(*compared))
     assert candidates < 60_000 and checked < 2_000  # of 319,600 pairs
+
+
+def edited(rng, words, most):
+    some = list(words)
+    for i in rng.sample(range(len(words)), rng.randrange(1, most)):
+        some[i] = f"e{rng.randrange(10**6)}"
+    return some
+
+
+def test_a_family_around_similar_forms_few_pairs(spark, monkeypatch):
+    """600 texts, up to nine of 150 words changed in each: most pairs lie between 0.5 and 0.8."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    texts = [" ".join(edited(rng, base, 10)) for _ in range(600)]
+    compared = []
+    real = similar.promising
+    monkeypatch.setattr(similar, "promising", lambda pairs, tagged: compared.append(pairs.count()) or real(pairs, tagged))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(frame).collect()}
+    assert kept == brute_kept(dict(enumerate(texts)))
+    assert sum(compared) < 15_000  # of 179,700 pairs
+
+
+def test_similar_members_far_from_their_hub(spark):
+    """All similar pairs that the hub does not join up meet by shared changes, whatever the texts have in common."""
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+    texts = [base] + [edited(rng, base, 9) for _ in range(60)]
+    for _ in range(12):  # texts near each other at all distances from the hub, some much longer or shorter
+        center = edited(rng, base, 30)[: rng.choice([40, 80, 100])] + [f"t{rng.randrange(10**6)}" for _ in range(rng.choice([0, 15, 60]))]
+        texts += [center] + [edited(rng, center, 3) for _ in range(8)]
+    sets = [shingles(" ".join(t)) for t in texts]
+    near = lambda a, b: 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b]))
+    n = len(texts)
+    frame = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "row long, text string")
+    members = spark.createDataFrame([(0, 0, i, i) for i in range(1, n)], "low long, low_part long, row long, part long")
+    told = similar.changes(members, frame, "text")
+    assert {r["row"] for r in told.collect() if r["weight"] <= r["hub_size"]} == {i for i in range(1, n) if near(0, i)}
+    got = {(r["a"], r["b"]) for r in similar.changed_alike(told).collect()}
+    pairs = {(a, b) for a in range(1, n) for b in range(a + 1, n) if not (near(0, a) and near(0, b))}
+    expected = {(a, b) for a, b in pairs if near(a, b)}
+    assert expected <= got <= pairs and len(expected) > 100 and len(got) < len(pairs) / 5
+    # Pairs of one part are joined up already.
+    same = members.withColumn("part", members["row"] % 2)
+    got = {(r["a"], r["b"]) for r in similar.changed_alike(similar.changes(same, frame, "text")).collect()}
+    assert {(a, b) for a, b in expected if (a + b) % 2} <= got and all((a + b) % 2 for a, b in got)
