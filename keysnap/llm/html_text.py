@@ -1,15 +1,20 @@
-"""HTML extraction: marked articles first, a host's suffix array for what is not marked.
+"""HTML extraction: a host's suffix array decides, and marks say how much of a repeat it takes.
 
 A page is read into blocks of text. Menus, headers, footers, sidebars, notices, adverts, forms and
-reader comments are known by element, role, or words of class and id. If a page marks its article
-(``article``, ``main``, their roles, or such words), that is its text, whole: nothing that other
-pages repeat is taken from it, as sites do quote each other's passages.
+reader comments are known by element, role, or words of class and id. What a page marks as its article
+(``article``, ``main``, their roles, or such words) is its text, but for blocks that the host's articles
+repeat: the suffixes at the starts of the blocks of all distinct articles of a host stand in the suffix
+array under the whole block, and a block goes if ``MARKED_SHARE`` of these articles (``MARKED_LEAST``
+at least) have it, such as a request to subscribe that a site's template puts inside its articles.
+A passage that fewer share stays whole, as sites do quote each other's passages, and so does what
+equals a repeat in a part of a block only. Articles with equal texts count once, and one that holds
+nothing else stays.
 
 A heading, or a part such as a title or a date line, that carries such a word marks no article: the
 open blocks beside it stay.
 
-Else boilerplate is what a host repeats. The token streams of the pages of all hosts that have an
-unmarked page (outside marked articles, from every token) are the text of a suffix array: suffixes are
+Without a marked article, boilerplate is what a host repeats. The token streams of the pages of all hosts that have an
+unmarked page (outside marked articles, from every token) are in the suffix array, too: suffixes are
 sorted by host and their first ``DEPTH`` or ``LONG`` tokens, one entry for each distinct page; a run of
 equal prefixes in this order counts the pages that have the string. Covered tokens are
 removed from unmarked blocks if a ``SHARE`` of the host's distinct pages (two at least) has the string, or
@@ -32,7 +37,7 @@ from collections.abc import Iterator
 from html import unescape
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,6 +45,7 @@ from keysnap.llm.common import numbered, stored
 
 DEPTH, LONG = 6, 32
 SHARE = 0.25
+MARKED_SHARE, MARKED_LEAST = 0.75, 4
 
 # Elements and words of class, id and role.
 RAW = {"script", "style", "template", "noscript", "textarea", "iframe", "svg", "title", "select", "object", "math"}
@@ -270,6 +276,11 @@ def repeated_suffixes(suffixes: DataFrame) -> DataFrame:
     return pairs.groupBy("host", "key").agg((F.count("*") + 1).alias("n"))
 
 
+def block_key(block: Column) -> Column:
+    """A key of a whole block in a marked article, which no prefix of an unmarked page has."""
+    return F.concat(F.lit("\f"), F.md5(block))
+
+
 def extract_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(page_id, url, text) for every page; the text is empty if there is none."""
     source = pages.select(F.monotonically_increasing_id().alias("row"), F.col(page_id).alias("page"), F.col(url).alias("url"), html)
@@ -282,17 +293,32 @@ def extract_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", h
     )
     read = stored(source.mapInArrow(_read_pages, schema), "pages")
     unmarked = read.where(F.size("open") > 0).select("row", "page", "url", "host", "open")
-    # Only unmarked pages lose anything, so only their hosts are sorted.
+    # Of other hosts' pages only the marked articles are sorted.
     hosts = stored(unmarked.select("host").distinct(), "hosts")
     distinct = stored(
         read.select("host", "digest", "row").join(hosts, "host", "left_semi")
         .groupBy("host", "digest").agg(F.min("row").alias("row")), "distinct-pages",
     )
-    sizes = stored(distinct.groupBy("host").agg(F.count("*").alias("size")), "host-sizes")
+    sizes = distinct.groupBy("host").agg(F.count("*").alias("size"), F.lit(0).alias("marked"))
+    # Equal articles of a host are one: a hash of the text stands for the row, so that no text is joined.
+    articles = read.where("text <> ''").select("host", F.xxhash64("text").alias("row"), "text")
+    # Hosts with fewer articles than that have nothing to lose.
+    marked = stored(
+        articles.select("host", "row").distinct().groupBy("host").agg(F.count("*").alias("marked"))
+        .where(F.col("marked") >= MARKED_LEAST), "marked-hosts",
+    )
+    sizes = stored(
+        sizes.unionByName(marked.select("host", F.lit(0).alias("size"), "marked"))
+        .groupBy("host").agg(F.max("size").alias("size"), F.max("marked").alias("marked")), "host-sizes",
+    )
     keyed = T.StructType([host, source.schema["row"], T.StructField("keys", _STRINGS)])
     counted = read.join(distinct.select("row"), "row", "left_semi").select("host", "row", "open", "other")
     suffixes = counted.mapInArrow(_key_pages, keyed).select("host", F.explode("keys").alias("key"), "row")
-    least = F.greatest(F.lit(2), F.ceil(SHARE * F.col("size")))
+    starts = articles.join(marked, "host", "left_semi")
+    starts = starts.select("host", F.explode(F.array_distinct(F.split("text", "\n\n"))).alias("block"), "row")
+    suffixes = suffixes.union(starts.select("host", block_key(F.col("block")), "row").distinct())
+    least = F.when(F.col("key").startswith("\f"), F.greatest(F.lit(MARKED_LEAST), F.ceil(MARKED_SHARE * F.col("marked"))))
+    least = least.otherwise(F.greatest(F.lit(2), F.ceil(SHARE * F.col("size"))))
     boilerplate = stored(
         repeated_suffixes(suffixes).join(sizes, "host")
         .where((F.col("n") >= least) | F.col("key").startswith("\n")).select("host", "key"), "boilerplate",
@@ -305,5 +331,11 @@ def extract_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", h
     )
     out = T.StructType([source.schema["page"], source.schema["url"], text])
     cut = unmarked.join(repeated, "row", "left").select("page", "url", "open", "repeated").mapInArrow(_cut_pages, out)
-    marked = read.where(F.size("open") == 0).select("page", "url", "text")
-    return marked.union(cut).toDF(page_id, "url", "text")
+    # At most a few blocks for each host: three quarters of its articles have each of them.
+    gone = stored(
+        boilerplate.where(F.col("key").startswith("\f")).groupBy("host").agg(F.collect_list("key").alias("gone")), "gone"
+    )
+    kept = F.filter(F.split("text", "\n\n"), lambda b: ~F.array_contains("gone", block_key(b)))
+    rest = F.when(F.col("gone").isNull() | (F.size(kept) == 0), F.col("text")).otherwise(F.array_join(kept, "\n\n"))
+    whole = read.where(F.size("open") == 0).join(gone, "host", "left").select("page", "url", rest)
+    return whole.union(cut).toDF(page_id, "url", "text")

@@ -37,3 +37,18 @@ def test_a_marked_heading_is_no_article():
     page = '<h1 class="entry-title">Title</h1><p class="post-date">May</p><div>Body</div>'
     assert html_text.blocks(page) == [(html_text.OPEN, x) for x in ("Title", "May", "Body")]
     assert html_text.blocks('<div class="entry"><h1>T</h1></div>') == [(html_text.ARTICLE, "T")]
+
+
+def test_blocks_that_a_hosts_articles_repeat(spark):
+    ask, quote = "Subscribe to us today", words("quoted", 40)
+    page = lambda host, i, *blocks: (f"http://{host}/{i}", f"<nav>n{i}</nav><article>{''.join(f'<p>{b}</p>' for b in blocks)}</article>")
+    site = [page("a.org", i, words(f"a{i}b", 5), ask, *([quote] if i < 3 else []), f"{ask} or {i}") for i in range(7)]
+    site += [page("a.org", 7, ask), page("a.org", 8, words("own", 5))]
+    few = [page("b.org", i, words(f"b{i}c", 5), ask) for i in range(3)]
+    same = [page("c.org", i, ask, quote) for i in range(6)]
+    got = texts(spark, [*site, *few, *same])
+    for i in range(7):
+        assert got[i] == "\n\n".join([words(f"a{i}b", 5), *([quote] if i < 3 else []), f"{ask} or {i}"])
+    assert got[7:9] == [ask, words("own", 5)]
+    assert got[9:12] == [f"{words(f'b{i}c', 5)}\n\n{ask}" for i in range(3)]
+    assert got[12:] == [f"{ask}\n\n{quote}"] * 6
