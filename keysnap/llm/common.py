@@ -27,6 +27,15 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def by_key(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join in which both are dealt out by key and sorted, whatever their size.
+
+    The planner takes a table for as large as its compressed files, and what an explode makes of it for
+    no larger, so by itself it broadcasts tables that the driver cannot hold.
+    """
+    return df.hint("merge")
+
+
 def unused(df: DataFrame, name: str) -> str:
     """``name``, with underscores until no column of ``df`` clashes with it."""
     taken = {c.lower() for c in df.columns}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keysnap.llm.common import stored
+from keysnap.llm.common import by_key, stored
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -33,12 +33,12 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
             both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "minima"
         )
         large = stored(
-            both.join(low, "u").where(F.col("v") > F.col("u"))
+            both.join(by_key(low), "u").where(F.col("v") > F.col("u"))
             .select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(),
             "links",
         )
         low = stored(large.groupBy("u").agg(F.min("v").alias("m")), "minima")
-        joined = large.join(low, "u")
+        joined = large.join(by_key(low), "u")
         e = stored(
             joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .union(low.select("u", F.col("m").alias("v"))).distinct(),

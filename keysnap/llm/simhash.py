@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keysnap.llm import similar
-from keysnap.llm.common import map_text, stored, unused
+from keysnap.llm.common import by_key, map_text, stored, unused
 from keysnap.llm.components import components
 
 SHINGLE = 3
@@ -35,6 +35,7 @@ SEED = 42
 MAX_DISTANCE = 2
 WIDTH = 32  # bits of a segment
 CROWDED = 64
+BROADCAST_ROWS = 1 << 16
 _SALTS = 16
 _BLOCK = 1 << 16
 
@@ -103,19 +104,24 @@ def candidates(fingerprints: DataFrame) -> DataFrame:
     probes = probes.where("member <= value").withColumn("salt", F.pmod(F.hash("fp"), F.lit(_SALTS)))
     sizes = table.groupBy("segment", "value").agg(F.count("*").alias("n"))
     crowded = stored(sizes.where(F.col("n") > CROWDED).select("segment", F.col("value").alias("member")), "crowded")
-    # A value may be looked up by a large part of all rows, so it is told crowded in several places.
-    salted = crowded.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
     at = ["segment", "member"]
+    # Their number decides, not an estimate: so many at most are broadcast.
+    if crowded.count() <= BROADCAST_ROWS:
+        crowded, told, told_at = F.broadcast(crowded), F.broadcast(crowded), at
+    else:
+        # A value may be looked up by a large part of all rows, so it is told crowded in several places.
+        salted = crowded.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+        crowded, told, told_at = by_key(crowded), by_key(salted), [*at, "salt"]
 
     few = table.select("segment", F.col("value").alias("member"), F.col("fp").alias("other")).join(crowded, at, "left_anti")
-    met = probes.join(salted, [*at, "salt"], "left_anti").join(few, at).select("fp", "other")
+    met = probes.join(told, told_at, "left_anti").join(by_key(few), at).select("fp", "other")
 
     split = table.withColumnRenamed("value", "member").join(crowded, at, "left_semi")
     split = split.select(*at, "fp", F.explode(_ball("rest")).alias("part"))
     least = split.groupBy(*at, "part").agg(F.min("fp").alias("other"))
     own = F.when(F.col("member") == F.col("value"), _ball("rest")).otherwise(F.array("rest"))
-    asked = probes.join(salted, [*at, "salt"], "left_semi").select(*at, "fp", F.explode(own).alias("part"))
-    return met.union(asked.join(least, [*at, "part"]).select("fp", "other")).where("fp <> other")
+    asked = probes.join(told, told_at, "left_semi").select(*at, "fp", F.explode(own).alias("part"))
+    return met.union(asked.join(by_key(least), [*at, "part"]).select("fp", "other")).where("fp <> other")
 
 
 def links(fingerprints: DataFrame, fp: str = "fp") -> DataFrame:
@@ -129,14 +135,14 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", fp: str = "fp"
     distinct = stored(documents.groupBy(F.col(fp).alias("fp")).agg(F.min(doc_id).alias("first")), "fingerprints")
     root = components(links(distinct.select("fp")), "fp", "other")
     placed = stored(
-        distinct.join(root.withColumnRenamed("node", "fp"), "fp", "left")
+        distinct.join(by_key(root.withColumnRenamed("node", "fp")), "fp", "left")
         .select("fp", F.coalesce("root", "fp").alias("root"), "first"),
         "roots",
     )
     ids = stored(placed.groupBy("root").agg(F.min("first").alias("component_id")), "component-ids")
-    of = stored(placed.join(ids, "root").select("fp", "component_id"), "components")
+    of = stored(placed.join(by_key(ids), "root").select("fp", "component_id"), "components")
     name, key = unused(documents, "component_id"), unused(documents, "component_fp")
-    return documents.join(of.toDF(key, name), documents[fp] == F.col(key)).drop(key)
+    return documents.join(by_key(of.toDF(key, name)), documents[fp] == F.col(key)).drop(key)
 
 
 def fingerprint_pairs(tagged: DataFrame, nodes: DataFrame) -> DataFrame:

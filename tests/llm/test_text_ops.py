@@ -352,6 +352,21 @@ def test_crowded_segments(spark, monkeypatch, crowded):
         assert fetched > 150 * 149  # the whole crowd meets, and verification rejects nearly all
 
 
+@pytest.mark.parametrize("crowd", [False, True])
+def test_prints_are_not_broadcast(spark, monkeypatch, nothing_broadcast, crowd):
+    """Tables that look small by their files are joined by key; so are crowded values, if there are many."""
+    rng = np.random.default_rng(11)
+    near = [int(x) for x in rng.integers(0, 1 << 63, 600)]
+    near += [x ^ 1 << int(rng.integers(64)) ^ 1 << int(rng.integers(64)) for x in near[:300]]
+    if crowd:
+        monkeypatch.setattr(simhash, "BROADCAST_ROWS", 5)
+        near += [x << 32 | int(low) for x in range(8) for low in rng.integers(0, 1 << 32, 80)]
+    prints = dict(enumerate(near))
+    docs = spark.createDataFrame([(i, f - (1 << 64) if f >> 63 else f) for i, f in prints.items()], "doc_id long, fp long")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs).collect()}
+    assert got == brute_components(prints)
+
+
 def signed_frame(spark, rows):
     return spark.createDataFrame([(r["fp"], r["other"]) for r in rows], "fp long, other long")
 
