@@ -149,8 +149,9 @@ def fingerprint_pairs(tagged: DataFrame, nodes: DataFrame) -> DataFrame:
     """(a, b) of the nodes' rows: each with the first of its fingerprint, and first ones within two bits."""
     prints = stored(tagged.select("row", "fp").join(nodes.hint("shuffle_hash"), "row", "left_semi"), "prints")
     firsts = stored(prints.groupBy("fp").agg(F.min("row").alias("a")), "firsts")
-    same = prints.join(firsts, "fp").where("row <> a").select("a", F.col("row").alias("b"))
-    linked = links(firsts.select("fp")).join(firsts, "fp").join(firsts.select(F.col("fp").alias("other"), F.col("a").alias("b")), "other")
+    same = prints.join(by_key(firsts), "fp").where("row <> a").select("a", F.col("row").alias("b"))
+    others = firsts.select(F.col("fp").alias("other"), F.col("a").alias("b"))
+    linked = links(firsts.select("fp")).join(by_key(firsts), "fp").join(by_key(others), "other")
     return same.unionByName(linked.select("a", "b"))
 
 
@@ -173,7 +174,7 @@ def drop_near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str
     nodes = distinct.select(F.col("node").alias("row"))
     root = similar.similar_components(tagged, nodes, place[text], fingerprint_pairs(tagged, nodes))
     stays = (
-        distinct.join(root, "node", "left")
+        distinct.join(by_key(root), "node", "left")
         .groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
         .select(F.col("first.row").alias("row"))
     )

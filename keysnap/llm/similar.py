@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keysnap.llm.common import map_text, stored
+from keysnap.llm.common import by_key, map_text, stored
 from keysnap.llm.components import components
 
 SHINGLE = 5
@@ -149,7 +149,7 @@ def promising(pairs: DataFrame, tagged: DataFrame) -> DataFrame:
         x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
         either = x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111))
         apart = apart + F.bit_count(either)
-    both = pairs.join(of("b"), "b").join(of("a"), "a")
+    both = pairs.join(by_key(of("b")), "b").join(by_key(of("a")), "a")
     return stored(both.where(apart <= MAX_DIFFERENT).select("a", "b"), "promising")
 
 
@@ -164,7 +164,7 @@ def verified(pairs: DataFrame, texts: DataFrame, text: str) -> DataFrame:
     n, m = F.size("set_a"), F.size("set_b")
     # both / (n + m - both) >= 4 / 5 in integers; sizes alone settle many pairs.
     near = F.when(5 * F.least(n, m) < 4 * F.greatest(n, m), False).otherwise(9 * both >= 4 * (n + m))
-    return stored(pairs.join(of("b"), "b").join(of("a"), "a").where(near).select("a", "b"), "similar")
+    return stored(pairs.join(by_key(of("b")), "b").join(by_key(of("a")), "a").where(near).select("a", "b"), "similar")
 
 
 def changes(members: DataFrame, texts: DataFrame, text: str) -> DataFrame:
@@ -172,7 +172,7 @@ def changes(members: DataFrame, texts: DataFrame, text: str) -> DataFrame:
     ``weight`` and ``hub_size``."""
     needed = stored(members.select(F.explode(F.array("low", "row")).alias("row")).distinct(), "compared").hint("shuffle_hash")
     sets = stored(with_sets(texts.select("row", text).join(needed, "row", "left_semi"), text, ["row"]), "sets")
-    both = members.join(sets.toDF("row", "own"), "row").join(sets.toDF("low", "hub"), "low")
+    both = members.join(by_key(sets.toDF("row", "own")), "row").join(by_key(sets.toDF("low", "hub")), "low")
     missing, added = F.array_except("hub", "own"), F.array_except("own", "hub")
     return stored(
         both.select(*members.columns, missing.alias("missing"), added.alias("added"), F.size("hub").alias("hub_size"))
@@ -208,7 +208,7 @@ def changed_alike(told: DataFrame) -> DataFrame:
     enough = 9 * F.least("left", "x_left") >= F.col("weight") + F.col("x_weight") - F.col("hub_size")
     lighter = F.struct("weight", "row") < F.struct("x_weight", "x")
     return (
-        light.join(x, ["low", "change"]).where((F.col("part") != F.col("x_part")) & lighter & enough)
+        light.join(by_key(x), ["low", "change"]).where((F.col("part") != F.col("x_part")) & lighter & enough)
         .select(F.least("row", "x").alias("a"), F.greatest("row", "x").alias("b")).distinct()
     )
 
@@ -223,26 +223,26 @@ def similar_components(tagged: DataFrame, nodes: DataFrame, text: str, near: Dat
         .select("row", F.explode("bands").alias("key")), "bands",
     )
     sizes = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    full = stored(entries.join(stored(sizes, "sizes"), "key"), "full-buckets")
+    full = stored(entries.join(by_key(stored(sizes, "sizes")), "key"), "full-buckets")
     weight = full.groupBy("row").agg(F.sum("n").alias("weight"))
-    hubs = full.join(weight, "row").groupBy("key").agg(F.max_by("row", F.struct("weight", -F.col("row"))).alias("low"))
-    shared = stored(full.drop("n").join(stored(hubs, "hubs"), "key"), "buckets")
+    hubs = full.join(by_key(weight), "row").groupBy("key").agg(F.max_by("row", F.struct("weight", -F.col("row"))).alias("low"))
+    shared = stored(full.drop("n").join(by_key(stored(hubs, "hubs")), "key"), "buckets")
     banded = shared.where("row <> low").select(F.least("low", "row").alias("a"), F.greatest("low", "row").alias("b"))
     both = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     first = stored(banded.unionByName(both).distinct(), "pairs")
     links = verified(first, tagged, text)
     root = stored(components(links, "a", "b"), "roots")
     part = root.toDF("row", "part")
-    placed = shared.where("row <> low").join(part, "row", "left").withColumn("part", F.coalesce("part", "row"))
+    placed = shared.where("row <> low").join(by_key(part), "row", "left").withColumn("part", F.coalesce("part", "row"))
     lows = part.toDF("low", "low_part")
     placed = stored(
-        placed.join(lows, "low", "left").withColumn("low_part", F.coalesce("low_part", "low")), "placed"
+        placed.join(by_key(lows), "low", "left").withColumn("low_part", F.coalesce("low_part", "low")), "placed"
     )
     apart = placed.where("part <> low_part").select("key").distinct()
     members = stored(
-        placed.join(apart, "key", "left_semi").select("low", "low_part", "row", "part").distinct(), "members"
+        placed.join(by_key(apart), "key", "left_semi").select("low", "low_part", "row", "part").distinct(), "members"
     )
     told = changes(members, tagged, text)
     joined = told.where("part <> low_part and weight <= hub_size").select(F.col("low").alias("a"), F.col("row").alias("b"))
-    pairs = stored(changed_alike(told).join(first, ["a", "b"], "left_anti"), "pairs")
+    pairs = stored(changed_alike(told).join(by_key(first), ["a", "b"], "left_anti"), "pairs")
     return components(links.union(joined).union(verified(pairs, tagged, text)), "a", "b")

@@ -144,6 +144,18 @@ def test_a_family_around_similar_forms_few_pairs(spark, monkeypatch):
     assert sum(compared) < 15_000  # of 179,700 pairs
 
 
+def test_sets_are_not_broadcast(spark, nothing_broadcast):
+    """Pairs, sets and changes that look small by their files are joined by key."""
+    rng = random.Random(12)
+    texts = []
+    for _ in range(60):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        texts += [" ".join(edited(rng, base, 4)) for _ in range(6)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(frame).collect()}
+    assert kept == brute_kept(dict(enumerate(texts)))
+
+
 def test_similar_members_far_from_their_hub(spark):
     """All similar pairs that the hub does not join up meet by shared changes, whatever the texts have in common."""
     rng = random.Random(9)
